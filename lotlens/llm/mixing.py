@@ -60,12 +60,12 @@ def exact(column: Column) -> Column:
 
 def balance(classes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     """Lambda of each source: (source, source_size, target, lam), by safeguarded Newton steps on the dual."""
-    ends = classes.filter("size > 0").groupBy("source").agg(F.min("size").alias("least"))
+    ends = classes.filter("size > 0").groupBy(F.col("source").alias("of")).agg(F.min("size").alias("least"))
     growth = F.log(F.col("target") / F.col("source_size"))
     full = F.col("target") >= F.col("source_size") * F.lit(cap * (1 - NEAR))
     state = settle(
-        targets.join(ends, targets["source"].eqNullSafe(ends["source"]), "left")
-        .drop(ends["source"])
+        targets.join(ends, F.col("source").eqNullSafe(F.col("of")), "left")
+        .drop("of")
         .withColumn("lam", F.when(F.col("least").isNull(), 0.0).when(full, F.lit(math.inf)).otherwise(F.lit(0.0)))
         .withColumn("done", F.col("least").isNull() | full)
         .withColumn("lo", F.when(~F.col("done"), F.least(growth / F.col("least"), F.lit(0.0))))

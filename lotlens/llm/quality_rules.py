@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import left_join_checked, settle, text_of, words
+from lotlens.llm.common import left_join_checked, settle, text_key, text_of, words
 
 #: Hash buckets of the two multinomials, and what each bucket's counts start from.
 BUCKETS, SMOOTHING = 1 << 16, 1.0
 #: Mean log-likelihood ratio below which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 #: Trusted ids up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 SYMBOLS = r"[#*$%&|<>]"
@@ -111,12 +111,15 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
 
     The score is null where the base rules fail. The table of ratios has at most BUCKETS rows and is broadcast.
     """
-    table = F.broadcast(llr_table(docs, trusted))
+    return _verdicts(docs, llr_table(docs, trusted), threshold)
+
+
+def _verdicts(docs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     grams = F.when(F.col("base_failed"), F.array().cast("array<int>")).otherwise(_ngrams(F.col("w")))
-    each = base_metrics(docs).select(F.monotonically_increasing_id().alias("row"), *keys, F.explode_outer(grams).alias("bucket"))
+    each = base_metrics(docs).select(F.monotonically_increasing_id().alias("row"), *keys, grams.alias("grams")).select("row", *keys, F.explode_outer("grams").alias("bucket"))
     return (
-        each.join(table, "bucket", "left")
+        each.join(F.broadcast(table), "bucket", "left")
         .groupBy("row", *keys)
         .agg(F.round(F.sum("llr") / F.count("bucket"), 9).alias("score"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
@@ -125,8 +128,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
 
 
 def passing(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    from lotlens.llm.common import text_key
-
-    keyed = docs.select("doc_id", "text").withColumn("doc_id", F.struct(F.col("doc_id"), text_key(text_of()).alias("key")))
-    raise NotImplementedError(keyed)
+    """The rows of docs that the rules keep, with all their columns. Rejected rows are few beside the kept, and
+    a row is known by its doc_id and a hash of its text."""
+    keyed = docs.select(F.struct("doc_id", text_key(text_of()).alias("key")).alias("doc_id"), "text")
+    verdict = _verdicts(keyed, llr_table(docs, trusted), threshold)
+    failed = verdict.filter("not kept").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key")).distinct()
+    rows = docs.withColumn("__text_key", text_key(text_of()))
+    return rows.join(failed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").drop("__text_key")

@@ -16,11 +16,10 @@ whatever lies within four bits of it; rows alike are linked; component_id is nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from lotlens.llm.common import WORD, choices, components, settle, text_key, text_of, words
+from lotlens.llm.common import choices, components, settle, text_key, text_of, words
 
 SHINGLE, BITS_APART = 4, 4
 #: Postings of more different fingerprints than this are linked by shared near values, not by pairs.
@@ -48,7 +47,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The 64 counters of a document are kept in 16 sums of four 16-bit lanes, over chunks of shingles that no lane
     can overflow.
     """
-    each = docs.select("doc_id", text_key(text_of()).alias("key"), F.monotonically_increasing_id().alias("row"), F.posexplode_outer(shingle_hashes(text_of())).alias("pos", "h"))
+    rows = docs.select("doc_id", text_of().alias("__text"), F.monotonically_increasing_id().alias("row"))
+    hashed = rows.select("doc_id", text_key(F.col("__text")).alias("key"), "row", shingle_hashes(F.col("__text")).alias("hs"))
+    each = hashed.select("doc_id", "key", "row", F.posexplode_outer("hs").alias("pos", "h"))
     lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(16)]
     chunks = each.groupBy("doc_id", "key", "row", F.floor(F.col("pos") / _CHUNK).alias("chunk")).agg(*lanes, F.count("h").alias("n"))
     packed = chunks.groupBy("doc_id", "key", "row").agg(F.collect_list(F.array(*[f"s{j}" for j in range(16)])).alias("sums"), F.sum("n").alias("n"))
@@ -82,7 +83,7 @@ def links(fps: DataFrame) -> DataFrame:
     tally = sum(((F.shiftrightunsigned(apart, 8 * p).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for p in range(1, 8)), (apart.bitwiseAND(F.lit(0xFF)) == 0).cast("int"))
     pairs = a.join(b, ["mask", "bytes"]).filter((F.col("fp") > F.col("v")) & (tally >= 4) & (F.bit_count(apart) <= BITS_APART)).select(F.col("fp").alias("u"), "v").distinct()
 
-    one, other = F.shiftleft(F.lit(1).cast("long"), F.col("i")), F.when(F.col("j") < 64, F.shiftleft(F.lit(1).cast("long"), F.col("j"))).otherwise(F.lit(0).cast("long"))
+    one, other = F.expr("shiftleft(1L, i)"), F.expr("if(j < 64, shiftleft(1L, j), 0L)")
     near = (
         met.filter(f"n > {PAIRED}").select("fp").distinct()
         .select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
@@ -120,5 +121,3 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
-
-__all__ = ["WORD", "fingerprints", "hex16", "links", "near_duplicates", "one_of_each", "shingle_hashes", "with_components"]
