@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.llm.common import table
@@ -39,6 +39,26 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _held_out(folds: int, fold: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lotlens.llm.quality_classifier import quality_classifier
+
+    labels = table(spark, sf_dir, "labels").filter(~_held_out(5, 0))
+    found = quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lotlens.llm.toxicity import toxicity
+
+    labels = table(spark, sf_dir, "labels").filter(~_held_out(3, 1))
+    found = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lotlens.llm.line_dedup import line_dedup
 
@@ -55,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
