@@ -16,6 +16,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lotlens.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lotlens.llm.search import top_k
+
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0")
+    return top_k(table(spark, sf_dir, "documents"), asked, 10, "item_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lotlens.llm.mixing import mix
 
@@ -24,6 +39,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"), m["rate"].alias("rate"), m["copies"].alias("copies"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lotlens.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lotlens.llm.simhash import hex16, near_duplicates
 
@@ -73,9 +94,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
+    "op3_search": op3_search,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
