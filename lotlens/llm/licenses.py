@@ -2,8 +2,9 @@
 
 Words that licenses use open candidate blocks in a text. Each block is compressed alone and with every template as a
 raw zstandard dictionary; the templates are ranked by the bytes they save, as a share of what they could save at
-most. The best are confirmed by their exact differences in wording: nearly all words of the template must stand in
-the block in order, all those that tell licenses apart among them, with few others between.
+most. In that order they are compared with the block word by word, up to the first that stands there exactly; else
+the one with the fewest differences wins. Nearly all words of a template must stand in the block in order, all
+those that tell licenses apart among them, with few others between.
 
 Defined results: a null text counts as empty; a text without a license gives no row; rows alike give the same rows;
 offsets are in words of the whole text.
@@ -48,8 +49,8 @@ TEMPLATES: dict[str, tuple[str, str]] = {
 #: Words that open a block, and how far it reaches before the first and after the last; blocks split where none is.
 TRIGGER = r"(?i)licen[cs]|permission|redistribut|copyright|mozilla|unencumbered|\bcc0\b|rights reserved|creative commons"
 BEFORE, AFTER = 12, 26
-#: Shares of a template's words that may be missing, or strange words between; templates confirmed in one round.
-MISSING, STRANGE, TRIED, LEVEL = 0.1, 0.25, 4, 9
+#: Shares of a template's words that may be missing, or strange words between; level of compression.
+MISSING, STRANGE, LEVEL = 0.1, 0.25, 9
 FINDING = "doc_id long, license string, start long, words long, n_missing long, n_strange long, saved double"
 _TRIGGER, _WORD, _EDGE = re.compile(TRIGGER), re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"^\W+|\W+$")
 
@@ -106,9 +107,11 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         ranked = sorted(((alone - len(by.compress(raw))) / most, name, words, keys) for name, words, keys, by, most in self.templates)
         confirmed = []
-        for saved, name, words, keys in ranked[: -TRIED - 1 : -1]:
+        for saved, name, words, keys in reversed(ranked):
             if (of := self._confirm(words, keys, block)) is not None:
                 confirmed.append((of[2] + of[3], -saved, name, of))
+                if not of[2] + of[3]:
+                    break
         if not confirmed:
             return None
         _, saved, name, (start, end, missing, strange) = min(confirmed)
