@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut a lineage: compressed Parquet in the shared folder, removed when the session ends.
 
     Unlike a checkpointed frame, the table read back carries no constraints of its past, which in a loop grow
@@ -57,7 +57,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lotlens-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,9 +25,11 @@ from lotlens.llm.common import settle, text_of
 
 SEQUENCE, CLOSING_ID = 4096, 2
 #: Dimensions of the projected point and bits of each on the curve; buckets of the hashed document vector.
-DIMENSIONS, BITS, HASHED = 4, 8, 2048
+DIMENSIONS, BITS, HASHED = 4, 8, 512
 #: Documents tokenised at a time.
 BATCH = 256
+#: The hashed bucket of every id.
+_BUCKET = (np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(23)).astype(np.int64)
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -63,12 +65,12 @@ def _directions() -> np.ndarray:
     return np.random.default_rng(20240501).standard_normal((HASHED, DIMENSIONS)).astype(np.float32)
 
 
-def points_of(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
+def points_of(packed: list[bytes], directions: np.ndarray) -> np.ndarray:
     """Integer points of documents: damped hashed counts of unit length, projected and squashed to the grid."""
-    v = np.zeros((len(ids), HASHED), dtype=np.float32)
-    for k, one in enumerate(ids):
-        v[k] = np.bincount((one.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(21)).astype(np.int64), minlength=HASHED)
-    v = np.sqrt(v)
+    ids = np.frombuffer(b"".join(packed), dtype="<u2")
+    owner = np.repeat(np.arange(len(packed)) * HASHED, [len(b) // 2 for b in packed])
+    v = np.bincount(owner + _BUCKET[ids], minlength=len(packed) * HASHED).reshape(-1, HASHED)
+    v = np.sqrt(v, dtype=np.float32)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     z = v @ directions
     return np.clip((1 << BITS) / (1 + np.exp(-2 * z)), 0, (1 << BITS) - 1).astype(np.int64)
@@ -83,7 +85,7 @@ def _tokenise(path: str):
             for i in range(0, len(batch), BATCH):
                 some = batch.iloc[i : i + BATCH]
                 packed = [b + CLOSING_ID.to_bytes(2, "little") for b in own.encode(some["text"].tolist())]
-                key = hilbert_key(points_of([np.frombuffer(b, dtype="<u2") for b in packed], directions))
+                key = hilbert_key(points_of(packed, directions))
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "row": range(row, row + len(some)), "key": key, "n": [len(b) // 2 for b in packed], "ids": packed})
                 row += len(some)
 
@@ -93,7 +95,7 @@ def _tokenise(path: str):
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, row, key, n, ids): packed ids with the closing one, their number, the place on the curve."""
     rows = docs.select("doc_id", text_of().alias("text"))
-    return settle(rows.mapInPandas(_tokenise(tokenizer), "doc_id long, row long, key long, n long, ids binary"))
+    return settle(rows.mapInPandas(_tokenise(tokenizer), "doc_id long, row long, key long, n long, ids binary"), "snappy")
 
 
 def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

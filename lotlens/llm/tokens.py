@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+#: Texts of these characters only (ASCII and Latin-1 letters) meet the normaliser with their case and white space
+#: alone, so that the parts below can be found before it.
+PLAIN = re.compile(r"[\x09-\x0D -~À-ÖØ-öø-ÿ]*")
+#: The parts that the tokenizer splits such a text in, none of which merge: letters, one digit, or other signs.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: White space that no tokenizer part crosses, for texts of other characters.
 GAP = regex.compile(r"[\x20\x09-\x0D]+")
-#: Words of these characters only (visible Latin-1) are left alone by the normaliser but for their case, and so can
-#: be encoded many at a time.
-PLAIN = regex.compile(r"[!-~¡-ÿ]+")
-#: Fixed pattern of the tokenizer's own pre-tokenizer.
-PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words, in each of two generations, and parts that a worker remembers.
+REMEMBERED = 600_000
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, PartEncoder] = {}
 
 
-class WordEncoder:
-    """Ids of a text from the ids of its words: the tokenizer drops white space and never merges across it."""
+class PartEncoder:
+    """Ids of a text from those of its words and of their parts, which are remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -28,43 +31,64 @@ class WordEncoder:
         self.ends = np.zeros(1 << 16, dtype=np.int64)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = 1
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _each(self, some: list[str]) -> dict[str, bytes]:
+        return {w: np.array(e.ids, dtype="<u2").tobytes() for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain = [w for w in new if PLAIN.fullmatch(w) and "<|" not in w and len(w) < 200]
-        told = set(plain)
-        out = {w: np.array(e.ids, dtype="<u2").tobytes() for w, e in self._each([w for w in new if w not in told])}
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of plain parts, a thousand at a time: the last id of a part is the only one that ends a word."""
+        out = {}
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
-            parts = np.array([len(PART.findall(w.lower())) for w in some])
-            upto = np.cumsum(self.ends[ids])
-            if not len(ids) or upto[-1] != parts.sum():  # a word met the normaliser after all
-                out |= {w: np.array(e.ids, dtype="<u2").tobytes() for w, e in self._each(some)}
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                out |= self._each(some)
                 continue
-            cut = np.searchsorted(upto, np.cumsum(parts), side="left") + 1
             raw, start = ids.tobytes(), 0
-            for w, end in zip(some, cut.tolist(), strict=True):
+            for w, end in zip(some, cut, strict=True):
                 out[w] = raw[2 * start : 2 * end]
                 start = end
         return out
 
-    def _each(self, some: list[str]):
-        return zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of plain words from those of their parts; most are letters with one sign after them at most."""
+        parts = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[:-1].isalpha() else PART.findall(w) for w in words]
+        new = set().union(*parts).difference(self.parts)
+        if len(self.parts) + len(new) > REMEMBERED:
+            self.parts = {}
+            new = set().union(*parts)
+        self.parts.update(self._learn(list(new)))
+        find = self.parts
+        return {w: find[v[0]] if len(v) == 1 else find[v[0]] + find[v[1]] if len(v) == 2 else b"".join([find[p] for p in v]) for w, v in zip(words, parts, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [[w for w in GAP.split(t) if w] for t in texts]
-        new = {w for v in split for w in v}.difference(self.known)
-        found = self._learn(list(new))
-        if len(self.known) + len(found) > REMEMBERED:
-            keep, self.known = self.known, {}
-            found |= {w: keep[w] for v in split for w in v if w in keep}
-        self.known.update(found)
-        return [b"".join(map(self.known.__getitem__, v)) for v in split]
+        split, plain, other = [], set(), set()
+        for t in texts:
+            if PLAIN.fullmatch(t) and "<|" not in t:
+                words = t.lower().split()
+                plain.update(words)
+            else:  # keyed by the space before them, so that they are never taken for plain ones
+                words = [" " + w for w in GAP.split(t) if w]
+                other.update(words)
+            split.append(words)
+        new = plain.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.older = {}, self.known
+            new = plain
+        if new:
+            kept = {w: self.older[w] for w in new if w in self.older}
+            self.known.update(kept)
+            self.known.update(self._words([w for w in new if w not in kept]))
+        find = (self.known | self._each(list(other))).__getitem__ if other else self.known.__getitem__
+        return [b"".join(map(find, words)) for words in split]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> PartEncoder:
     """The encoder of this worker process."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = PartEncoder(path)
     return _encoders[path]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lotlens.llm import packing as p
-from lotlens.llm.tokens import WordEncoder
+from lotlens.llm.tokens import PartEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -57,10 +57,10 @@ def test_sequences(odd_docs, no_docs):
     assert p.pieces(no_docs, PATH).count() == 0
 
 
-def test_words_encode_as_texts(odd_docs):
+def test_parts_encode_as_texts(odd_docs):
     texts = [r.text or "" for r in odd_docs.collect()]
-    texts += ["It's a <|endoftext|> b <|x|> we'll 3.14 x y é İstanbul ﬁ \x1c z àÉ ab­ ½² 'S 'Ll !!?", "ΑΣ x Σ", "w" * 500]
-    own = WordEncoder(PATH)
+    texts += ["It's a <|endoftext|> b <|x|> we'll 3.14 x y é İstanbul ﬁ \x1c z àÉ ab­ ½² 'S 'Ll !!?", "ΑΣ x Σ", "w" * 500, "rock'n'roll it's IT'S !'s ''s _a_b 1_2 a1b22 x<|y", "Ünï ÄÖÜ ß × ÷", "a\x0bb\x0cc\x1dd"]
+    own = PartEncoder(PATH)
     for _ in range(2):
         assert [np.frombuffer(b, dtype="<u2").tolist() for b in own.encode(texts)] == [ids_of(t)[:-1] for t in texts]
 
