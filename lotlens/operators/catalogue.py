@@ -130,3 +130,19 @@ def best_values(compared: DataFrame, rules: Sequence[tuple[str, str]], id_column
         best = F.min(column).over(w) if better == "lower" else F.max(column).over(w)
         out = out.withColumn(f"best_{column}", F.coalesce((F.col(column) == best) & (F.min(column).over(w) != F.max(column).over(w)), F.lit(False)))
     return out.select(id_column, *[f"best_{c}" for c, _ in rules])
+
+
+def shortlist(pool: DataFrame, views: Sequence[Column], each: int, top: int) -> DataFrame:
+    """L3: the heads of several orders together, one ad a vehicle, scored by price and distance within the pool."""
+    found = None
+    for view in views:
+        head = pool.orderBy(view, "listing_id").limit(each)
+        found = head if found is None else found.unionByName(head)
+    cars = first_by(found.dropDuplicates(["listing_id"]), ["vehicle_id"], F.col("price"), F.col("listing_id"))
+    every = Window.partitionBy()  # the pool is bounded by the views
+
+    def low(c: str) -> Column:
+        a, b = F.min(c).over(every), F.max(c).over(every)
+        return F.when(a == b, 0.5).otherwise((b - F.col(c)) / F.nullif(b - a, F.lit(0)))
+
+    return cars.select("listing_id", F.round(0.6 * low("price") + 0.4 * low("mileage_km"), 6).alias("score")).orderBy(F.desc("score"), "listing_id").limit(top)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-from lotlens.operators import catalogue, history, ingest, market, reports, text, valuation
+from lotlens.functions import rules as r
+from lotlens.operators import catalogue, costs, history, ingest, market, reports, text, valuation
 from lotlens.sources.tables import LISTING_SQL, OBSERVATION_SQL, equipment, listings, observations, table
 
 AS_OF = datetime(2002, 1, 1)
@@ -400,6 +401,120 @@ def q14_summary(spark, sf):
     return catalogue.summary(listings(spark, sf))
 
 
+_AGE_Y = "greatest(0, 2002 - model_year)"
+_RET = lambda a: f"CASE WHEN {a} <= 0 THEN 1.0 WHEN {a} <= 1 THEN 1 - (1 - first) * {a} ELSE first * power(later, {a} - 1) END"
+_UNIT = "CASE fuel_type WHEN 'petrol' THEN 18.5 WHEN 'diesel' THEN 19.5 WHEN 'electric' THEN 2.5 ELSE 18.5 END"
+
+
+@query(f"""WITH {LISTING_SQL}, b AS (SELECT *, {_AGE_Y} AS age, CAST(greatest(price, greatest(3000, 25000 - 2000 * (2002 - model_year))) AS DOUBLE) AS basis, CASE WHEN fuel_type = 'electric' THEN 0.75 ELSE 0.8 END AS first,
+  CASE WHEN fuel_type = 'electric' THEN 0.88 ELSE 0.87 END AS later, CASE WHEN fuel_type = 'electric' THEN 18.0 ELSE 6.5 END AS use FROM listing),
+c AS (SELECT *, 6.5 * CASE WHEN fuel_type = 'diesel' THEN 26.4 ELSE 23.2 END AS co2 FROM b)
+SELECT listing_id, CAST(floor(basis * (1 - ({_RET("(age + 1)")}) / ({_RET("age")})) + 0.5) AS BIGINT) AS depreciation, CAST(floor(150 * use * {_UNIT} + 0.5) AS BIGINT) AS energy,
+ CAST(floor(5500 + greatest(0, horsepower - 150) * 15 + least(basis, 300000.0) * 0.01 + 0.5) AS BIGINT) AS insurance, CAST(floor(4000 + least(age, 15) * 350 + 900 + 0.5) AS BIGINT) AS maintenance,
+ CAST(floor(CASE WHEN fuel_type = 'electric' THEN 360.0 WHEN fuel_type = 'diesel' THEN (360 + greatest(0.0, co2 - 111) * 22) * 2.37 ELSE 360 + greatest(0.0, co2 - 111) * 22 END + 0.5) AS BIGINT) AS tax,
+ price < greatest(3000, 25000 - 2000 * (2002 - model_year)) AS implausible_price FROM c""")
+def v12_ownership_cost(spark, sf):
+    c = costs.ownership(F.col("price"), F.col("model_year"), F.col("fuel_type"), F.lit(None).cast("double"), F.col("horsepower"), AS_OF.year)
+    return listings(spark, sf).select("listing_id", c.alias("c")).select("listing_id", "c.*")
+
+
+@query(f"""WITH {SCORED_SQL}, m AS (SELECT CAST(month(last_seen_at) AS INT) AS month, count(*) AS n, avg(residual) AS r, count(*) FILTER (residual < -0.2) AS cuts, quantile_cont(CAST({_AGE} AS DOUBLE), 0.5) AS age FROM usable GROUP BY 1),
+f AS (SELECT *, n >= 25 AND (sum(CAST(n >= 25 AS INT)) OVER ()) >= 2 AS fit, cuts / n AS rate FROM m),
+a AS (SELECT avg(r) FILTER (fit) AS mr, avg(n) FILTER (fit) AS mn, avg(rate) FILTER (fit) AS mc, avg(age) FILTER (fit) AS ma FROM f),
+s AS (SELECT month, fit, (exp(r - mr) - 1) * 100 AS rel, n / mn * 100 AS inv, greatest(0, least(100, 50 + greatest(-25, least(25, -(exp(r - mr) - 1) * 100 * 3)) + greatest(-12, least(12, (n / mn * 100 - 100) * 0.25)) + greatest(-12, least(12, (rate - mc) * 100 * 1.5)) + greatest(-8, least(8, (age - ma) * 0.4)))) AS t FROM f, a)
+SELECT month, CASE WHEN fit THEN round(rel, 6) END AS relative_price, round(inv, 6) AS inventory_index, CASE WHEN fit THEN CAST(floor(t + 0.5) AS BIGINT) END AS score,
+ CASE WHEN NOT fit THEN NULL WHEN floor(t + 0.5) >= 68 THEN 'great' WHEN floor(t + 0.5) >= 57 THEN 'good' WHEN floor(t + 0.5) >= 43 THEN 'normal' ELSE 'expensive' END AS verdict FROM s""")
+def q11_buyer_scores(spark, sf):
+    usable = market.comparable(market.residuals(live(spark, sf)))
+    age = F.datediff(F.lit(AS_OF).cast("date"), F.col("last_seen_at").cast("date")).cast("double")
+    months = usable.groupBy(F.month("last_seen_at").alias("month")).agg(
+        F.count("*").alias("listing_count"), F.avg("residual").alias("mean_log_residual"), F.count_if(F.col("residual") < -0.2).alias("reductions"), r.median(age).alias("median_age_days")
+    )
+    return rounded(costs.buyer_scores(months), "relative_price", "inventory_index")
+
+
+@query(f"""WITH {OBSERVATION_SQL}, s AS (SELECT make, CAST(observed_at AS DATE) AS day, quantile_cont(price, 0.5) AS median_price FROM observation GROUP BY 1, 2)
+SELECT make, max(day) AS day, round(max_by(median_price, day), 4) AS median_price FROM s WHERE day <= DATE '2024-01-16' - 7 GROUP BY make""")
+def q13_trend_reference(spark, sf):
+    daily = observations(spark, sf).groupBy("make", F.col("observed_at").cast("date").alias("day")).agg(r.median("price").alias("median_price"))
+    return rounded(history.trend_point(daily, ["make"], DAY_END, 7), "median_price", digits=4)
+
+
+@query(f"""WITH {ACTIVE_SQL}, o AS (SELECT make, price AS v, mileage_km AS w, sum(mileage_km) OVER k AS upto, lag(price) OVER k AS before, sum(mileage_km) OVER (PARTITION BY make) AS total FROM active WHERE mileage_km > 0 WINDOW k AS (PARTITION BY make ORDER BY price, listing_id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, row_number() OVER (PARTITION BY make ORDER BY upto) AS n FROM o WHERE upto >= 0.5 * total)
+SELECT make, round(CASE WHEN before IS NULL THEN v ELSE before + (0.5 * total - (upto - w)) / w * (v - before) END, 4) AS p50 FROM c WHERE n = 1""")
+def a14_weighted_median(spark, sf):
+    return rounded(valuation.weighted_percentile(live(spark, sf), "make", "price", "mileage_km", {"p50": 0.5}, "listing_id"), "p50", digits=4)
+
+
+@query(f"""WITH {OBSERVATION_SQL}, k AS (SELECT listing_id, event_id, observed_at, price FROM observation WHERE kind IN ('first_seen', 'price_change'))
+SELECT listing_id, string_agg(CAST(price AS VARCHAR), ',' ORDER BY observed_at, event_id) AS prices, count(*) AS points FROM k GROUP BY 1""")
+def w9_price_history(spark, sf):
+    k = observations(spark, sf).filter(F.col("kind").isin("first_seen", "price_change"))
+    told = F.array_sort(F.collect_list(F.struct("observed_at", "event_id", "price")))
+    return k.groupBy("listing_id").agg(told.alias("h")).select("listing_id", F.array_join(F.transform("h", lambda x: x["price"].cast("string")), ",").alias("prices"), F.size("h").cast("long").alias("points"))
+
+
+@query(f"""WITH {LISTING_SQL}, v AS (SELECT listing_id, CASE WHEN provider = 's0' THEN NULL ELSE last_seen_at END AS checked_at FROM listing WHERE status = 'active') SELECT listing_id, checked_at FROM v ORDER BY checked_at ASC NULLS FIRST, listing_id LIMIT 200""")
+def t7_rotation_queue(spark, sf):
+    checked = F.when(F.col("provider") != "s0", F.col("last_seen_at"))
+    return listings(spark, sf).filter("status = 'active'").select("listing_id", checked.alias("checked_at")).orderBy(F.col("checked_at").asc_nulls_first(), "listing_id").limit(200)
+
+
+@query(f"""WITH {ACTIVE_SQL} SELECT make, round(quantile_cont(price, 0.2), 4) AS q20, round(quantile_cont(price, 0.4), 4) AS q40, round(quantile_cont(price, 0.6), 4) AS q60, round(quantile_cont(price, 0.8), 4) AS q80 FROM active GROUP BY 1""")
+def a20_colour_thresholds(spark, sf):
+    q = live(spark, sf).groupBy("make").agg(F.percentile("price", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
+    return q.select("make", *[F.round(F.col("q")[k], 4).alias(f"q{20 * (k + 1)}") for k in range(4)])
+
+
+@query(f"""WITH {LISTING_SQL}, v AS (SELECT * FROM listing WHERE status = 'active' AND price BETWEEN 20000 AND 40000),
+u AS ((SELECT * FROM v ORDER BY price, listing_id LIMIT 75) UNION (SELECT * FROM v ORDER BY first_seen_at DESC, listing_id LIMIT 75) UNION (SELECT * FROM v ORDER BY mileage_km, listing_id LIMIT 75) UNION (SELECT * FROM v ORDER BY model_year DESC, listing_id LIMIT 75)),
+o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY price, listing_id) = 1),
+s AS (SELECT *, min(price) OVER () AS pa, max(price) OVER () AS pb, min(mileage_km) OVER () AS ka, max(mileage_km) OVER () AS kb FROM o),
+z AS (SELECT listing_id, round(0.6 * CASE WHEN pa = pb THEN 0.5 ELSE (pb - price) / (pb - pa) END + 0.4 * CASE WHEN ka = kb THEN 0.5 ELSE (kb - mileage_km) / (kb - ka) END, 6) AS score FROM s) SELECT listing_id, score FROM z ORDER BY score DESC, listing_id LIMIT 20""")
+def l3_search_inventory(spark, sf):
+    band = listings(spark, sf).filter("status = 'active'").filter(F.col("price").between(20_000, 40_000))
+    views = [F.col("price").asc(), F.col("first_seen_at").desc(), F.col("mileage_km").asc(), F.col("model_year").desc()]
+    return catalogue.shortlist(band, views, 75, 20)
+
+
+@query("""SELECT o_orderkey AS listing_id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_children FROM orders WHERE o_orderkey % 7 = 0""")
+def j12_presence(spark, sf):
+    o = table(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("listing_id"))
+    kids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id")).distinct().withColumn("k", F.lit(True))
+    return o.join(kids, "listing_id", "left").select("listing_id", F.col("k").isNotNull().alias("has_children"))
+
+
+@query("""SELECT o_orderkey AS listing_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def j13_unmatched(spark, sf):
+    kids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("listing_id")).join(kids, "listing_id", "left_anti")
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, 55 + n_nationkey * 0.5 AS lat, 11 + n_nationkey * 0.3 AS lng FROM nation), d AS (SELECT k, power(sin(radians(59.33 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(59.33)) * power(sin(radians(18.07 - lng) / 2), 2) AS a FROM n)
+SELECT CAST(k AS BIGINT) AS place, round(6371.0 * 2 * atan2(sqrt(a), sqrt(1 - a)), 6) AS km FROM d""")
+def p11_distances(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("place"), (55 + F.col("n_nationkey") * 0.5).alias("lat"), (11 + F.col("n_nationkey") * 0.3).alias("lng"))
+    return n.select("place", F.round(r.haversine_km(F.col("lat"), F.col("lng"), F.lit(59.33), F.lit(18.07)), 6).alias("km"))
+
+
+@query(f"""WITH {LISTING_SQL} SELECT count(*) FILTER (status = 'active') AS pending, count(*) FILTER (status = 'active' AND seller_type = 'private') AS visible, min(first_seen_at) FILTER (status = 'active') AS oldest FROM listing""")
+def q22_backlog(spark, sf):
+    on = F.col("status") == "active"
+    return listings(spark, sf).agg(F.count_if(on).alias("pending"), F.count_if(on & (F.col("seller_type") == "private")).alias("visible"), F.min(F.when(on, F.col("first_seen_at"))).alias("oldest"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, length(props) AS payload_length FROM events""")
+def s3_json_payload(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.length("props").cast("long").alias("payload_length"))
+
+
+@query(f"""WITH {ACTIVE_SQL} SELECT listing_id, price FROM active ORDER BY md5(listing_id), listing_id LIMIT 1200""")
+def t1_stable_sample(spark, sf):
+    return live(spark, sf).select("listing_id", "price").orderBy(F.md5("listing_id"), "listing_id").limit(1200)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q6_depreciation(spark, sf_dir)
 
