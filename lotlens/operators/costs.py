@@ -20,6 +20,16 @@ FEATURES = [
     (3, "tradlos.*ladd|wireless charg"), (3, "parkeringssensor|pdc"), (3, "blind.?spot|doda.?vinkel"), (1, "ambient"), (1, "tonade.*rutor"), (1, "avbland.*spegel|auto.?dim"),
     (1, "regnsensor"), (1, "bluetooth"), (1, "filvarn|lane warning"),
 ]
+#: Insurance risk of brands (others 1.0), drivetrains, ages and licence years.
+BRAND_RISK = {
+    0.85: ["dacia", "kia", "hyundai", "suzuki", "fiat", "citroën", "citroen", "mitsubishi", "seat", "skoda", "toyota", "mazda"],
+    1.25: ["cupra", "volvo", "audi", "mercedes-benz", "mercedes", "bmw", "land rover", "jaguar", "lexus", "mini", "polestar"],
+    1.6: ["porsche", "tesla"],
+}
+DRIVE_RISK = {"electric": 1.2, "plug_in_hybrid": 1.5}
+AGE_RISK = {"18-24": 1.35, "25-29": 1.15, "30-39": 1.0, "40-49": 0.95, "50-64": 0.9, "65+": 1.0}
+LICENCE_RISK = [(2, 1.25), (5, 1.1), (15, 1.0), (None, 0.92)]
+METRO, METRO_RISK = ["stockholm", "göteborg", "goteborg", "malmö", "malmo"], 1.15
 #: Points a unit and the most each part may add or take.
 SEASON = {"price": (3.0, 25.0), "inventory": (0.25, 12.0), "reductions": (1.5, 12.0), "age": (0.4, 8.0)}
 
@@ -74,6 +84,23 @@ def ownership(price: Column, model_year: Column, fuel: Column, litres: Column, p
     return F.struct(*[half_up(c).cast("long").alias(n) for n, c in parts.items()], (price < price_floor(model_year, year)).alias("implausible_price"))
 
 
+def insurance_risk(make: Column, fuel: Column, age_band: Column, licence_years: Column, region: Column) -> Column:
+    """Brand times drivetrain times what a buyer tells of themselves; an untold or unknown value changes nothing."""
+    brand = F.lit(1.0)
+    for risk, names in BRAND_RISK.items():
+        brand = F.when(F.lower(F.trim(make)).isin(*names), risk).otherwise(brand)
+    drive = F.lit(1.0)
+    for name, risk in DRIVE_RISK.items():
+        drive = F.when(fuel == name, risk).otherwise(drive)
+    age = F.lit(1.0)
+    for band, risk in AGE_RISK.items():
+        age = F.when(age_band == band, risk).otherwise(age)
+    licence = F.when(licence_years.isNull(), 1.0)
+    for below, risk in LICENCE_RISK:
+        licence = licence.otherwise(risk) if below is None else licence.when(licence_years < below, risk)
+    return brand * drive * age * licence * F.when(F.lower(F.trim(region)).isin(*METRO), METRO_RISK).otherwise(1.0)
+
+
 def insurance_estimate(targets: DataFrame, quotes: DataFrame, least: int = 3, nearest: int = 40) -> DataFrame:
     """For each target the narrowest tier of quotes with enough of them: model, make with body and fuel, or body
     and fuel within a band of value.

@@ -80,6 +80,51 @@ def identities(tokens: DataFrame) -> DataFrame:
             return labels.select("listing_id", F.col("label").alias("vehicle_key"))
 
 
+def match_method(plate_match: Column, vin_match: Column) -> Column:
+    """The strongest evidence that an ad shows a known vehicle."""
+    return F.when(plate_match, "exact_registration").when(vin_match, "exact_vin").otherwise("source_listing")
+
+
+def upsert(current: DataFrame, incoming: DataFrame, synced_at: Column) -> DataFrame:
+    """Listings after a reading. An ad that is there is active again; its first sight stays, its listing date
+    moves only with a real publish date, and what a host had confirmed of it must be confirmed anew.
+
+    current: (listing_id, price, published_at, listed_at, first_seen_at, status, confirmed_at); incoming: (listing_id,
+    price, published_at).
+    """
+    new = incoming.select("listing_id", F.col("price").alias("n_price"), F.col("published_at").alias("n_published"), F.lit(True).alias("n_there"))
+    rows = current.withColumn("o_there", F.lit(True)).join(new, "listing_id", "full_outer")
+    there, known = F.col("n_there").isNotNull(), F.col("o_there").isNotNull()
+    return rows.select(
+        "listing_id",
+        F.when(there, F.col("n_price")).otherwise(F.col("price")).alias("price"),
+        F.when(there, F.col("n_published")).otherwise(F.col("published_at")).alias("published_at"),
+        F.when(there, F.coalesce("n_published", F.when(known, F.col("listed_at")).otherwise(synced_at))).otherwise(F.col("listed_at")).alias("listed_at"),
+        F.when(known, F.col("first_seen_at")).otherwise(synced_at).alias("first_seen_at"),
+        F.when(there, "active").otherwise(F.col("status")).alias("status"),
+        F.when(~there, F.col("confirmed_at")).alias("confirmed_at"),
+    )
+
+
+def host_evidence(listings: DataFrame, checks: DataFrame) -> DataFrame:
+    """Listings after checks of their pages. Only the newest check of each counts, and only if it is later than
+    the last reading and the last check; a price that changed leaves the listing without a deal score.
+
+    listings: (listing_id, status, price, deal_score, synced_at, checked_at); checks: (listing_id, at, availability,
+    seen_price).
+    """
+    newest = first_by(checks, ["listing_id"], F.desc("at"), F.col("availability"))
+    rows = listings.join(newest, "listing_id", "left")
+    counts = F.coalesce(F.col("status").isin("active", "reserved") & (F.col("at") >= F.col("synced_at")) & (F.col("checked_at").isNull() | (F.col("at") > F.col("checked_at"))), F.lit(False))
+    on = counts & (F.col("availability") == "active")
+    moved = F.coalesce(on & (F.col("seen_price") != F.col("price")), F.lit(False))
+    status = F.when(on, "active").when(counts & (F.col("availability") == "missing"), "removed").when(counts & (F.col("availability") == "reserved"), "reserved").otherwise(F.col("status"))
+    return rows.select(
+        "listing_id", status.alias("status"), F.when(moved, F.col("seen_price")).otherwise(F.col("price")).alias("price"), F.when(~moved, F.col("deal_score")).alias("deal_score"), "synced_at",
+        F.when(counts, F.col("at")).otherwise(F.col("checked_at")).alias("checked_at"),
+    )
+
+
 def quality_reasons(current_year: int, text: Column) -> Column:
     """The reasons against a listing, in their order."""
     price, km, year = F.col("price"), F.col("mileage_km"), F.col("model_year")
