@@ -3,7 +3,7 @@
 From a bounded sample of labelled documents, two thirds serve to train the dictionaries: one on the words that toxic
 documents use far more often than ordinary ones, one on ordinary words. Both are used as raw content over the same
 ordinary base, so that they differ only in what was trained apart. The windows of a text are its words with their
-boundaries; a window counts against the text when the toxic dictionary makes it shorter by some bytes. The other
+boundaries; a window counts against the text when the toxic dictionary saves some share of its bytes. The other
 third of the sample calibrates how the number and the share of such windows become a probability.
 
 Defined results: a null text counts as empty and has no window; without labels of both kinds every score is that
@@ -27,8 +27,9 @@ from lotlens.llm.quality_classifier import sample, score_by
 FIT_ROWS, LEXICON = 4000, 6000
 #: A toxic word is in at least so many toxic documents, and so many times likelier there.
 SUPPORT, RATIO = 3, 25.0
-#: Bytes of the trained parts; level of compression; bytes saved that make a window count, weakly and strongly.
-TOXIC_BYTES, BASE_BYTES, LEVEL, SAVED = 6144, 15360, 12, (4, 6)
+#: Bytes of the trained parts, and words that are put after them as they are; level of compression; the bytes that
+#: must be saved at least, and the shares of a window's own bytes from which it counts weakly to strongly.
+TOXIC_BYTES, BASE_BYTES, PLAIN_WORDS, LEVEL, LEAST, SHARES = 8192, 15360, 150, 12, 3, (0.45, 0.65, 0.85, 0.99)
 #: Windows whose lengths a worker remembers.
 REMEMBERED = 400_000
 _OPEN, _CLOSE, _PAD = b"\x01\x01\x01", b"\x02\x02\x02", b"0123456789abcdefghijklmn"
@@ -46,7 +47,7 @@ def _bytes(word: str) -> bytes:
 
 def _trained(words: list[tuple[str, int]], size: int, each: int) -> bytes:
     """Raw content of a dictionary trained on words with their numbers; the words themselves if they are too few."""
-    repeated = [_bytes(w) for w, n in words for _ in range(min(n, 50))]
+    repeated = [_bytes(w) for w, n in words for _ in range(min(n, 200))]
     order = np.random.default_rng(7).permutation(len(repeated))
     samples = [b"".join(repeated[k] for k in order[i : i + each]) for i in range(0, len(order), each)]
     try:
@@ -62,15 +63,17 @@ def dictionaries(toxic: list[tuple[str, int]], ordinary: list[tuple[str, int]])
     """Raw dictionaries (toxic, ordinary) that share base and end."""
     base = _trained(ordinary[::2], BASE_BYTES, 12)
     own, other = _trained(toxic, TOXIC_BYTES, 8), _trained(ordinary[1::2], TOXIC_BYTES, 12)
+    own += b"".join(_bytes(w) for w, _ in toxic[:PLAIN_WORDS])
+    other += b"".join(_bytes(w) for w, _ in ordinary[1 : 4 * PLAIN_WORDS : 2])
     return own + base + _PAD, other[: len(own)] + base + _PAD
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on a window."""
+    """What the toxic dictionary saves on a window, as a share of its bytes."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, float] = {}
 
     @staticmethod
     def _compressor(raw: bytes):
@@ -78,19 +81,20 @@ class Distance:
         own.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def saved(self, word: str) -> int:
+    def saved(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            raw = _PAD + _bytes(word)
-            found = self.known[word] = len(self.ordinary.compress(raw)) - len(self.toxic.compress(raw))
+            own = _bytes(word)
+            less = len(self.ordinary.compress(_PAD + own)) - len(self.toxic.compress(_PAD + own))
+            found = self.known[word] = less / (len(own) - len(_OPEN) - len(_CLOSE)) if less >= LEAST else 0.0
         return found
 
     def features(self, text: str) -> list[float]:
         saved = np.array([self.saved(w) for w in windows(text)])
         n = max(len(saved), 1)
-        hits = [int((saved >= k).sum()) for k in SAVED]
+        hits = [int((saved >= k).sum()) for k in SHARES]
         return [1.0, *[np.log1p(h) for h in hits], *[np.log1p(100 * h / n) for h in hits], np.log(n)]
 
 
