@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import n_words, settle, text_key, text_of
+from lotlens.llm.common import n_words, settle, small_or_none, text_key, text_of
 
 #: Newton steps at most; a source ends when its words are within this share of its target.
 STEPS, NEAR = 60, 1e-6
+#: Size classes up to this number are broadcast to the documents.
+BROADCAST_CLASSES = 300_000
 #: Parts of the hash range in which the members of a size class are counted before any are ranked.
 PARTS = 4096
 
@@ -160,7 +162,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, int
     )
     here = F.shiftrightunsigned("__h", 64 - int(math.log2(PARTS)))
     more = F.col("__p.cut_h").isNotNull() & ((here < F.col("__p.of_part")) | ((here == F.col("__p.of_part")) & (F.col("__h") <= F.col("__p.cut_h"))))
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__of_size")), "left")
+    classes_of = small_or_none(plan, BROADCAST_CLASSES) or plan  # else documents are shuffled by their class
+    joined = sized.join(classes_of, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__of_size")), "left")
     found = F.struct(
         F.col("__size").alias("size"),
         F.col("__p.source_size").alias("source_size"),

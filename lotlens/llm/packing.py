@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import settle, text_of
+from lotlens.llm.common import settle, small_or_none, text_of
 
 SEQUENCE, CLOSING_ID = 4096, 2
 #: Dimensions of the projected point and bits of each on the curve; buckets of the hashed document vector.
 DIMENSIONS, BITS, HASHED = 4, 8, 512
+#: Places (two longs each) up to this number are broadcast to the ids; beyond, ids are shuffled to them.
+BROADCAST_ROWS = 400_000
 #: Documents tokenised at a time.
 BATCH = 256
 #: The hashed bucket of every id.
@@ -140,7 +142,8 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """A row for each piece of a document: where it is cut out, and where it lies. ids: 32-bit, if asked for."""
     tokens = tokenised(docs, tokenizer)
-    placed = tokens.select("row", "doc_id", "ids").join(starts(tokens), "row").select("doc_id", "start", "ids")
+    at = starts(tokens)
+    placed = tokens.select("row", "doc_id", "ids").join(small_or_none(at, BROADCAST_ROWS) or at, "row").select("doc_id", "start", "ids")
     return placed.mapInPandas(_cut(with_ids), PIECE + ", ids binary" * with_ids)
 
 

@@ -50,7 +50,9 @@ def test_rates_solve_the_dual(odd_docs):
     assert all(r.t == pytest.approx(r.target, rel=1e-4) for r in by)
 
 
-def test_hot_class_and_capped_source(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_hot_class_and_capped_source(spark, monkeypatch, limit):
+    monkeypatch.setattr(m, "BROADCAST_CLASSES", limit)
     rows = [(k, "a b c", "hot") for k in range(3000)] + [(5000 + k, "x " * (k % 50), "big") for k in range(400)] + [(9000, "z " * 10, "tiny"), (9001, None, "none")]
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
 
