@@ -29,7 +29,7 @@ DIMENSIONS, BITS, HASHED = 4, 8, 512
 #: Places (two longs each) up to this number are broadcast to the ids; beyond, ids are shuffled to them.
 BROADCAST_ROWS = 400_000
 #: Documents tokenised at a time.
-BATCH = 256
+BATCH = 1024
 #: The hashed bucket of every id.
 _BUCKET = (np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(23)).astype(np.int64)
 

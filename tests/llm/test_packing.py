@@ -43,7 +43,9 @@ def test_round_trip(odd_docs):
     check(odd_docs.withColumn("key", F.lit("mine")).withColumn("row", F.lit(1)))
 
 
-def test_one_text_many_times(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_one_text_many_times(spark, monkeypatch, limit):
+    monkeypatch.setattr(p, "BROADCAST_ROWS", limit)
     rows = [(k, "the same words again and again") for k in range(2500)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
 
