@@ -1,7 +1,6 @@
 """Fuzzy line deduplication by MinHash: of every component of near-equal lines one line of the corpus stays.
 
-The shingles of a line are its runs of nine characters that begin with the space before a word; that they begin
-there is a property of the shingle, so an edit touches only the shingles over it. A line's signature is its
+The shingles of a line are all its runs of CHARS characters, wherever they begin. A line's signature is its
 smallest shingle hashes (bottom-k MinHash) and its bands are all triples of them, so that lines of Jaccard
 similarity 0.8 meet in one with a probability of 0.98. Lines that meet are compared exactly, by the Jaccard
 similarity of all their shingles, and verified links are joined to components by distributed union-find. Bands that more lines share are linked through one representative each,
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lotlens.llm.common import GAP, choices, components, left_join_checked, settle, small_or_none, text_key, text_of
 
-SIMILARITY, CHARS = 0.8, 9
+SIMILARITY, CHARS = 0.8, 5
 #: Shorter lines are structure ("of.", "---") that documents share without being copies.
 MIN_CHARS = 20
 #: Hashes in a signature, and how many of them make a band.
@@ -42,9 +41,9 @@ def normal(line: Column) -> Column:
 
 
 def shingles(norm: Column) -> Column:
-    """Hashes of the shingles of a line, one that comes again included again."""
-    grams = F.regexp_extract_all(F.concat(F.lit(" "), norm), F.lit(rf"(?s)(?=( .{{{CHARS - 1}}}))"), F.lit(1))
-    return F.transform(grams, lambda g: F.xxhash64(g))
+    """Hashes of the different shingles of a line."""
+    grams = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -52,7 +51,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("__text"))
     each = rows.select("doc_id", text_key(F.col("__text")).alias("key"), F.posexplode(F.split("__text", "\n")).alias("line", "raw"))
     each = each.select("doc_id", "key", "line", normal(F.col("raw")).alias("norm")).filter(F.length("norm") >= MIN_CHARS)
-    signed = each.withColumn("sig", F.array_distinct(F.slice(F.sort_array(shingles(F.col("norm"))), 1, 4 * SIGNATURE)))
+    signed = each.withColumn("sig", F.slice(F.sort_array(shingles(F.col("norm"))), 1, SIGNATURE))
     return signed.select("doc_id", "key", "line", F.xxhash64("norm").alias("hash"), "norm", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)])
 
 
@@ -78,7 +77,7 @@ def verified(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """The pairs whose lines reach the similarity, by exact comparison."""
     ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct())
     texts = occurrences.select("hash", "norm").join(small_or_none(ids, BROADCAST_LINES) or ids, "hash")
-    sets = settle(texts.dropDuplicates(["hash"]).select("hash", F.array_distinct(shingles(F.col("norm"))).alias("grams")))
+    sets = settle(texts.dropDuplicates(["hash"]).select("hash", shingles(F.col("norm")).alias("grams")))
     u, v = sets.select(F.col("hash").alias("u"), F.col("grams").alias("a")), sets.select(F.col("hash").alias("v"), F.col("grams").alias("b"))
     small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
     shared = F.size(F.array_intersect("a", "b"))

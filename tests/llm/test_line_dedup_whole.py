@@ -1,0 +1,55 @@
+"""Lines compared by all their character 5-grams, against brute force."""
+
+import random
+
+import test_line_dedup
+
+from lotlens.llm import line_dedup as d
+
+
+def grams(x):
+    return {x[i : i + 5] for i in range(len(x) - 4)}
+
+
+def alike(a, b):
+    return len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))
+
+
+def groups(lines):
+    """Of every line the first line of its component, by comparing all pairs."""
+    root = list(range(len(lines)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for n in range(len(lines)):
+        for m in range(n):
+            a, b = find(n), find(m)
+            if a != b and alike(lines[n], lines[m]):
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(lines))]
+
+
+def kept(spark, lines):
+    out = d.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    return sorted(r.doc_id for r in out.filter("n_removed = 0").collect())
+
+
+def test_every_character_counts(spark):
+    """Addresses and last words differ after the eighth character of a word, or have no space before them."""
+    rng = random.Random(6)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    lines = [f"https://{part(12)}.example/{part(20)}" for _ in range(30)]
+    lines += [f"see https://{part(30)}" for _ in range(10)] + ["the city was founded in 1987", "the city was founded in paris"]
+    long = part(80)
+    lines += [long, long[:-1] + "!", "-" * 25, "-" * 30, "ab" * 15, "ab" * 20]
+    want = groups(lines)
+    assert kept(spark, lines) == sorted(set(want)) and len(set(want)) == len(lines) - 3
+
+
+def test_former_brute_force(spark, no_docs, monkeypatch):
+    """The fixture of test_line_dedup.py by the shingles that its brute force had before commit cca4f8c."""
+    monkeypatch.setattr(test_line_dedup, "grams", grams)
+    test_line_dedup.test_against_brute_force(spark, no_docs)
