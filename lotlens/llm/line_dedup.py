@@ -3,8 +3,11 @@
 The shingles of a line are all its runs of CHARS characters, wherever they begin. A line's signature is its
 smallest shingle hashes (bottom-k MinHash) and its bands are all triples of them, so that lines of Jaccard
 similarity 0.8 meet in one with a probability of 0.98. Lines that meet are compared exactly, by the Jaccard
-similarity of all their shingles, and verified links are joined to components by distributed union-find. Bands that more lines share are linked through one representative each,
-another in every band, instead of in pairs. Everything is built from DataFrame functions.
+similarity of all their shingles, and verified links are joined to components by distributed union-find. Bands that
+more lines share are linked through one representative each, another in every band; what that leaves apart is then
+searched exactly: two sets of Jaccard similarity 0.8 share one of the first fifth of the larger set, in any order
+common to all lines, that is also of the first ninth of the smaller one. Rare shingles come first, and lines that
+are in one component already are not paired again. Everything is built from DataFrame functions.
 
 Lines are compared in lower case with white space collapsed. Of a component the occurrence with the smallest
 (doc_id, text hash, line number) stays, null ids last.
@@ -28,6 +31,8 @@ MIN_CHARS = 20
 SIGNATURE, ROWS = 5, 3
 #: Bands of up to this many lines are compared in pairs.
 PAIRED = 40
+#: Counters of shingles that order them from rare to common; shingles of one counter are ordered by their hash.
+COUNTERS = 1 << 15
 #: Tables of line hashes up to this number are broadcast; larger ones are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
@@ -51,28 +56,67 @@ def lines_of(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("__text"))
     each = rows.select("doc_id", text_key(F.col("__text")).alias("key"), F.posexplode(F.split("__text", "\n")).alias("line", "raw"))
     each = each.select("doc_id", "key", "line", normal(F.col("raw")).alias("norm")).filter(F.length("norm") >= MIN_CHARS)
-    signed = each.withColumn("sig", F.slice(F.sort_array(shingles(F.col("norm"))), 1, SIGNATURE))
-    return signed.select("doc_id", "key", "line", F.xxhash64("norm").alias("hash"), "norm", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)])
+    signed = each.withColumn("grams", shingles(F.col("norm"))).withColumn("sig", F.slice(F.sort_array("grams"), 1, SIGNATURE))
+    return signed.select("doc_id", "key", "line", F.xxhash64("norm").alias("hash"), "norm", F.size("grams").alias("size"), *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)])
 
 
-def candidates(occurrences: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of line hashes that share a band."""
+def meetings(occurrences: DataFrame) -> DataFrame:
+    """(hash, size, band, n, head) of bands that n > 1 lines share, with a head where they are too many to pair."""
     signed = [f"s{k}" for k in range(SIGNATURE)]
-    distinct = occurrences.select("hash", *signed).distinct()
+    distinct = occurrences.select("hash", "size", *signed).distinct()
     bands = F.array_distinct(F.array(*[F.xxhash64(*[f"s{k}" for k in some]) for some in choices(SIGNATURE, ROWS)]))
     band = Window.partitionBy("band")
-    met = settle(
-        distinct.select("hash", F.explode(bands).alias("band"))
+    return (
+        distinct.select("hash", "size", F.explode(bands).alias("band"))
         .withColumn("n", F.count("*").over(band))
         .filter("n > 1")
-        .withColumn("head", F.when(F.col("n") > PAIRED, F.min_by("hash", F.xxhash64("hash", "band")).over(band)))
+        .withColumn("head", F.when(F.col("n") > PAIRED, F.min_by(F.struct("hash", "size"), F.xxhash64("hash", "band")).over(band)))
     )
-    a = met.filter("head is null").select("band", F.col("hash").alias("u"))
-    pairs = a.join(a.select("band", F.col("u").alias("v")), "band").filter("u > v").select("u", "v")
-    stars = met.filter("head <> hash").select(F.greatest("hash", "head").alias("u"), F.least("hash", "head").alias("v"))
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of line hashes that share a band, or one of them its head, and whose sizes allow the similarity."""
+    a = met.filter("head is null").select("band", F.col("hash").alias("u"), F.col("size").alias("a"))
+    pairs = a.join(a.select("band", F.col("u").alias("v"), F.col("a").alias("b")), "band").filter("u > v").filter(_sizes("a", "b")).select("u", "v")
+    stars = met.filter("head.hash <> hash").filter(_sizes("size", "head.size"))
+    stars = stars.select(F.greatest("hash", "head.hash").alias("u"), F.least("hash", "head.hash").alias("v"))
     return pairs.union(stars).distinct()
 
 
+def _sizes(a: str, b: str) -> Column:
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+
+
+def apart(met: DataFrame, occurrences: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of lines of large bands in different components that may reach the similarity; none that does is left out."""
+    ids = settle(met.filter("head is not null").select("hash").distinct())
+    crowd = occurrences.select("hash", "norm").join(small_or_none(ids, BROADCAST_LINES) or ids, "hash").dropDuplicates(["hash"])
+    crowd = settle(left_join_checked(crowd, roots, "hash", BROADCAST_LINES).select("hash", F.coalesce("root", "hash").alias("root"), "norm"))
+    counter = lambda g: F.pmod(g, F.lit(COUNTERS)).cast("int")
+    counts = crowd.select(F.explode(shingles(F.col("norm"))).alias("g")).groupBy(counter(F.col("g")).alias("c")).agg(F.count("*").alias("n"))
+    # One row of COUNTERS numbers.
+    every = met.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c")).join(counts, "c", "left")
+    order = settle(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", F.coalesce("n", F.lit(0)).alias("n")))), lambda e: e["n"]).alias("order")))
+    ranked = crowd.crossJoin(F.broadcast(order)).select(
+        "hash", "root", F.sort_array(F.transform(shingles(F.col("norm")), lambda g: F.struct(F.get("order", counter(g)).alias("n"), g.alias("g")))).alias("grams")
+    )
+    size = F.size("grams")
+    first = lambda share: F.floor(size * share + 1e-9).cast("int") + 1
+    keys = settle(
+        ranked.select("hash", "root", size.alias("size"), first((1 - SIMILARITY) / (1 + SIMILARITY)).alias("few"), F.posexplode(F.slice("grams", F.lit(1), first(1 - SIMILARITY))).alias("at", "gram"))
+        .select("hash", "root", "size", (F.col("at") < F.col("few")).alias("small"), F.col("gram.g").alias("key"))
+    )
+    mains = keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("n > 1")
+    keys = settle(keys.join(mains.drop("n"), "key").withColumn("rest", F.col("root") != F.col("main")).drop("main"))
+    large = keys.select("key", F.col("hash").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("rest").alias("xa"))
+    small = keys.filter("small").select("key", F.col("hash").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("rest").alias("xb"))
+    # Lines of the commonest component of a key are one already; they meet the others, never each other.
+    met_again = large.filter("xa").join(small, "key").unionByName(large.filter("not xa").join(small.filter("xb"), "key"))
+    fits = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    found = met_again.filter("ra <> rb").filter(fits & (F.col("nb") >= SIMILARITY * F.col("na")))
+    return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def verified(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """The pairs whose lines reach the similarity, by exact comparison."""
     ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct())
@@ -92,8 +136,13 @@ def verified(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, lines): the numbers (from 0) of the lines that each document loses."""
     occurrences = settle(lines_of(docs))
-    pairs = settle(candidates(occurrences))
-    roots = settle(components(verified(pairs, occurrences)).select(F.col("node").alias("hash"), "root"))
+    met = settle(meetings(occurrences))
+    roots = settle(components(verified(settle(candidates(met)), occurrences)).select(F.col("node").alias("hash"), "root"))
+    if not met.filter("head is not null").isEmpty():
+        more = settle(verified(settle(apart(met, occurrences, roots)), occurrences))
+        if not more.isEmpty():
+            known = roots.select(F.col("hash").alias("u"), F.col("root").alias("v"))
+            roots = settle(components(known.union(more)).select(F.col("node").alias("hash"), "root"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
     grouped = left_join_checked(occurrences.select("doc_id", "key", "line", "hash"), roots, "hash", BROADCAST_LINES).select(
         "doc_id", "key", "line", F.coalesce("root", "hash").alias("group")

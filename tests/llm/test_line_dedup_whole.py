@@ -53,3 +53,18 @@ def test_former_brute_force(spark, no_docs, monkeypatch):
     """The fixture of test_line_dedup.py by the shingles that its brute force had before commit cca4f8c."""
     monkeypatch.setattr(test_line_dedup, "grams", grams)
     test_line_dedup.test_against_brute_force(spark, no_docs)
+
+
+def test_pairs_away_from_the_heads(spark):
+    """Bands of far more lines than are paired: twins that are near each other only, in a family with one opening."""
+    rng = random.Random(8)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    opening = " ".join(part(7) for _ in range(14))
+    lines = []
+    for _ in range(120):
+        own = part(28)
+        lines += [f"{opening} {own} {part(4)}" for _ in range(rng.choice([1, 2, 3]))]
+    rng.shuffle(lines)
+    want = groups(lines)
+    assert len(lines) > 4 * d.PAIRED and len(set(want)) < len(lines) - 60 and len(set(want)) >= 100
+    assert kept(spark, lines) == sorted(set(want))
