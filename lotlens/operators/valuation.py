@@ -78,7 +78,7 @@ def comparables(targets: DataFrame, pool: DataFrame, enough: int = FIT) -> DataF
     counts = scored.groupBy("t_listing_id").agg(*[F.count_if(F.col("tier") == k).alias(f"n_{k}") for k in "ABC"])
     above = F.when(F.col("tier") == "A", F.lit(0)).when(F.col("tier") == "B", F.col("n_A")).when(F.col("tier") == "C", F.col("n_A") + F.col("n_B")).otherwise(F.col("n_A") + F.col("n_B") + F.col("n_C"))
     kept = scored.join(counts, "t_listing_id").filter(above < enough)
-    return kept.withColumn("weight", F.round(tier_weight(F.col("tier")) * recency(F.col("age_days")), 9))
+    return kept.withColumn("weight", tier_weight(F.col("tier")) * recency(F.col("age_days")))
 
 
 def weighted_percentile(rows: DataFrame, key: str, value: str, weight: str, fractions: dict[str, float], *ties: str) -> DataFrame:
@@ -114,8 +114,8 @@ def value(pairs: DataFrame, as_of_year: int) -> DataFrame:
     nearest = sane.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), closeness, "listing_id"))).filter(F.col("k") <= NEAREST)
     w = Window.partitionBy(key)
     near = nearest.withColumn("n", F.count("*").over(w)).withColumn("mid", F.percentile("price", 0.5).over(w)).filter((F.col("n") >= LEAST) & ((F.col("n") < 4) | F.col("price").between(0.4 * F.col("mid"), 2.5 * F.col("mid"))))
-    weighted = lambda c: F.sum(F.col("weight") * F.col(c)) / F.sum("weight")
-    means = near.groupBy(key).agg(F.count("*").alias("m"), F.percentile("price", 0.5).alias("plain"), weighted("age").alias("ma"), weighted("mileage_km").alias("mk"), weighted("price").alias("mp"), (F.max("age") - F.min("age")).alias("spread"), (F.pow(F.sum("weight"), 2) / F.sum(F.pow("weight", F.lit(2)))).alias("effective"))
+    weighted = lambda c: F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum("weight"))
+    means = near.groupBy(key).agg(F.count("*").alias("m"), F.percentile("price", 0.5).alias("plain"), weighted("age").alias("ma"), weighted("mileage_km").alias("mk"), weighted("price").alias("mp"), (F.max("age") - F.min("age")).alias("spread"), F.coalesce(F.try_divide(F.pow(F.sum("weight"), 2), F.sum(F.pow("weight", F.lit(2)))), F.lit(0.0)).alias("effective"))
     a, k, p, wt = F.col("age") - F.col("ma"), F.col("mileage_km") - F.col("mk"), F.col("price") - F.col("mp"), F.col("weight")
     near = near.drop("n", "mid").join(means.filter(F.col("m") >= LEAST), key)
     sums = near.groupBy(key).agg(F.sum(wt * a * a).alias("aa"), F.sum(wt * k * k).alias("kk"), F.sum(wt * a * k).alias("ak"), F.sum(wt * a * p).alias("ap"), F.sum(wt * k * p).alias("kp"), F.first("m").alias("rows"), F.first("spread").alias("s"))

@@ -197,6 +197,13 @@ def q17_similar_vehicles(spark, sf):
     return rounded(catalogue.similar(targets, ads), "distance")
 
 
+@query(ORACLE_SQL["q17_similar_vehicles"].replace(" ORDER BY md5(listing_id), listing_id LIMIT 40", "").replace("round(distance, 6) AS distance", "distance"))
+def q17_all_similar_vehicles(spark, sf):
+    """q17_similar_vehicles with every active listing of a known body as a target; distances keep their nine digits."""
+    ads = listings(spark, sf).filter("status = 'active'")
+    return catalogue.similar(ads, ads)
+
+
 @query(f"""WITH {LISTING_SQL}, car AS (SELECT provider, vehicle_id, count(*) AS ads, min(first_seen_at) AS f, max(last_seen_at) AS l, bool_or(length(trim(variant)) > 0) AS d FROM listing WHERE status = 'active' GROUP BY 1, 2),
 s AS (SELECT vehicle_id, count(*) AS sources, min(f) FILTER (provider = 's0') AS main_at FROM car GROUP BY 1)
 SELECT provider, CAST(sum(ads) AS BIGINT) AS active_listings, count(*) AS active_vehicles, count(*) FILTER (sources = 1) AS unique_vehicles, round(100.0 * count(*) FILTER (sources = 1) / count(*), 1) AS unique_rate,
@@ -302,13 +309,22 @@ kept AS (SELECT q.*, round(CASE tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.65 WHEN '
 @query(f"""WITH {_PAIRS} SELECT target_id, listing_id, CAST(similarity AS BIGINT) AS similarity, tier, weight FROM kept""")
 def v1_comparables(spark, sf):
     out = valuation.comparables(_targets(spark, sf), _pool(spark, sf))
-    return out.select(F.col("t_listing_id").alias("target_id"), "listing_id", "similarity", "tier", "weight")
+    return out.select(F.col("t_listing_id").alias("target_id"), "listing_id", "similarity", "tier", F.round("weight", 9).alias("weight"))
 
 
 @query()
 def v4_valuation(spark, sf):
     """Weighted interpolation and a guarded fit: held against a plain Python version in the tests."""
-    return valuation.value(valuation.comparables(_targets(spark, sf), _pool(spark, sf)), AS_OF.year)
+    pool = _pool(spark, sf)
+    return valuation.value(valuation.comparables(pool, pool), AS_OF.year)
+
+
+@query(ORACLE_SQL["v1_comparables"].replace(" ORDER BY md5(listing_id), listing_id LIMIT 60", ""))
+def v1_all_comparables(spark, sf):
+    """v1_comparables with every listing of the pool as a target."""
+    pool = _pool(spark, sf)
+    out = valuation.comparables(pool, pool)
+    return out.select(F.col("t_listing_id").alias("target_id"), "listing_id", "similarity", "tier", F.round("weight", 9).alias("weight"))
 
 
 _CURVE = lambda x, points: f"CASE WHEN {x} <= {points[0][0]} THEN {points[0][1]}.0 " + " ".join(f"WHEN {x} <= {b} THEN {ya}.0 + ({yb}.0 - {ya}.0) * (({x} - {a}) / ({b} - {a}))" for (a, ya), (b, yb) in zip(points, points[1:], strict=False)) + f" ELSE {points[-1][1]}.0 END"
