@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -389,10 +389,18 @@ def g11_two_strikes(spark, sf):
 @query("""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4000 AS a, o_custkey AS b FROM orders WHERE o_orderkey % 3 = 0) SELECT id AS listing_id, count(*) OVER () AS n FROM t""")
 def g1_identity_tokens(spark, sf):
     """Every listing gets one vehicle; that they are the right ones is held against plain search in the tests."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 3 = 0")
-    tokens = o.select(F.col("o_orderkey").alias("listing_id"), F.explode(F.array(F.concat(F.lit("v"), F.col("o_custkey").cast("string")), F.concat(F.lit("p"), (F.col("o_orderkey") % 4000).cast("string")))).alias("token"))
-    out = ingest.identities(tokens)
-    return out.select("listing_id", F.count("*").over(Window.partitionBy()).alias("n"))
+    out = ingest.identities(_tokens(table(spark, sf, "orders").filter("o_orderkey % 3 = 0")))
+    return out.select("listing_id").crossJoin(F.broadcast(out.agg(F.count("*").alias("n"))))
+
+
+def _tokens(orders):
+    return orders.select(F.col("o_orderkey").alias("listing_id"), F.explode(F.array(F.concat(F.lit("v"), F.col("o_custkey").cast("string")), F.concat(F.lit("p"), (F.col("o_orderkey") % 4000).cast("string")))).alias("token"))
+
+
+@query()
+def g1_vehicle_keys(spark, sf):
+    """The vehicle of every order's listing: held against plain search over whole tables in the tests."""
+    return ingest.identities(_tokens(table(spark, sf, "orders")))
 
 
 @query("""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']*)["'']', 1)) AS BIGINT) AS links FROM pages""")
@@ -501,6 +509,14 @@ def j12_presence(spark, sf):
     return o.join(kids, "listing_id", "left").select("listing_id", F.col("k").isNotNull().alias("has_children"))
 
 
+@query("""SELECT o_orderkey AS listing_id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_children FROM orders""")
+def j12_all_presence(spark, sf):
+    """j12_presence over all orders."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("listing_id"))
+    kids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id")).distinct().withColumn("k", F.lit(True))
+    return o.join(kids, "listing_id", "left").select("listing_id", F.col("k").isNotNull().alias("has_children"))
+
+
 @query("""SELECT o_orderkey AS listing_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
 def j13_unmatched(spark, sf):
     kids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id"))

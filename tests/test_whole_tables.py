@@ -25,3 +25,22 @@ def test_every_listing_is_valued(spark):
             want[t["listing_id"]] = x
     got = {x.listing_id: (x.market_value, x.range_low, x.range_high, x.comparable_count, x.method) for x in q.v4_valuation(spark, SF).collect()}
     assert got == want and len(got) > 60
+
+
+def test_every_order_has_its_vehicle(spark):
+    orders = [(x.o_orderkey, x.o_custkey) for x in q.table(spark, SF, "orders").collect()]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, c in orders:
+        for token in (("v", c), ("p", k % 4000)):
+            root[find(token)] = find(k)
+    least = {}
+    for k, _ in orders:
+        least[find(k)] = min(k, least.get(find(k), k))
+    assert {x.listing_id: x.vehicle_key for x in q.g1_vehicle_keys(spark, SF).collect()} == {k: least[find(k)] for k, _ in orders}
