@@ -3,6 +3,7 @@
 import random
 
 import test_line_dedup
+import test_pipeline
 
 from lotlens.llm import line_dedup as d
 
@@ -68,3 +69,9 @@ def test_pairs_away_from_the_heads(spark):
     want = groups(lines)
     assert len(lines) > 4 * d.PAIRED and len(set(want)) < len(lines) - 60 and len(set(want)) >= 100
     assert kept(spark, lines) == sorted(set(want))
+
+
+def test_former_pipeline(spark, tmp_path, monkeypatch):
+    """test_pipeline.py by the same shingles."""
+    monkeypatch.setattr(test_line_dedup, "grams", grams)
+    test_pipeline.test_stages_against_brute_force(spark, tmp_path)
