@@ -6,6 +6,7 @@ import atexit
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,18 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Where none is set, local mode takes one of its own; a cluster can't."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="lotlens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -59,7 +67,15 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/lotlens-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.settled_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.settled_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -101,7 +117,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _pointing_down(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(_pointing_down(small.union(least.select("u", F.col("m").alias("v")))))
+        before, now = now, settle(_pointing_down(small.union(least.select("u", F.col("m").alias("v")))))
+        discard(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

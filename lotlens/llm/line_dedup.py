@@ -1,32 +1,34 @@
 """Fuzzy line deduplication by MinHash: of every component of near-equal lines one line of the corpus stays.
 
-The shingles of a line are all its runs of CHARS characters, wherever they begin. A line's signature is its
-smallest shingle hashes (bottom-k MinHash) and its bands are all triples of them, so that lines of Jaccard
-similarity 0.8 meet in one with a probability of 0.98. Lines that meet are compared exactly, by the Jaccard
-similarity of all their shingles, and verified links are joined to components by distributed union-find. Bands that
-more lines share are linked through one representative each, another in every band; what that leaves apart is then
-searched exactly: two sets of Jaccard similarity 0.8 share one of the first fifth of the larger set, in any order
-common to all lines, that is also of the first ninth of the smaller one. Rare shingles come first, and lines that
-are in one component already are not paired again. Everything is built from DataFrame functions.
+The shingles of a line are all its runs of CHARS characters, wherever they begin (a shorter line is its own single
+shingle, so that it has exact repeats only). A line's signature is its smallest different shingle hashes (bottom-k
+MinHash) and its bands are the triples of them, so that lines of Jaccard similarity 0.8 meet in one with a
+probability of 0.98. Lines that meet are compared exactly, by the Jaccard similarity of all their shingles, and
+verified links are joined to components by distributed union-find.
+
+Each band is first linked through one representative. What that leaves in different components is compared again:
+pair by pair in bands of up to PAIRED lines, and in larger ones by an exact search, since two sets of Jaccard
+similarity 0.8 share one of the first fifth of the larger set, in any order common to all lines, that is also of the
+first ninth of the smaller one. Rare shingles come first. Everything is built from DataFrame functions.
 
 Lines are compared in lower case with white space collapsed. Of a component the occurrence with the smallest
 (doc_id, text hash, line number) stays, null ids last.
 
-Defined results: a line of fewer than MIN_CHARS characters always stays; a null text counts as empty, and comes
-back as it was; rows alike in doc_id and text are one document, and lose the same lines; columns of the input are
-kept as they are.
+Defined results: a line without a word always stays, and so does one of fewer than min_chars characters (none by
+default); a null text has no lines and comes back as it was, an empty one has a line without a word; texts may be of
+any length; of lines that are alike the first stays, within a document as well; rows alike in doc_id and text are one
+document, and lose the same lines; an empty table gives an empty one; columns of the input are kept as they are,
+whatever their names, but for text and the two counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import GAP, choices, components, left_join_checked, settle, small_or_none, text_key, text_of
+from lotlens.llm.common import GAP, choices, components, discard, left_join_checked, once, settle, small_or_none, text_key, text_of
 
-SIMILARITY, CHARS = 0.8, 5
-#: Shorter lines are structure ("of.", "---") that documents share without being copies.
-MIN_CHARS = 20
+SIMILARITY, CHARS = 0.8, 9
 #: Hashes in a signature, and how many of them make a band.
 SIGNATURE, ROWS = 5, 3
 #: Bands of up to this many lines are compared in pairs.
@@ -45,104 +47,142 @@ def normal(line: Column) -> Column:
     return F.trim(F.lower(F.when(odd, F.regexp_replace(line, GAP, " ")).otherwise(line)))
 
 
+def all_shingles(norm: Column) -> Column:
+    """Hashes of the shingles of a line in order, repeats included. In UTF-32 the place of a character is known."""
+    size = 4 * CHARS
+    return once(
+        F.encode(norm, "UTF-32"),
+        lambda b: F.when(F.octet_length(b) <= size, F.array(F.xxhash64(b))).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b) - size + 1, F.lit(1)), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(size))))
+        ),
+    )
+
+
 def shingles(norm: Column) -> Column:
     """Hashes of the different shingles of a line."""
-    grams = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+    return F.array_distinct(all_shingles(norm))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, line, hash, norm, s0..) for every line that takes part: its place, text and signature."""
-    rows = docs.select("doc_id", text_of().alias("__text"))
-    each = rows.select("doc_id", text_key(F.col("__text")).alias("key"), F.posexplode(F.split("__text", "\n")).alias("line", "raw"))
-    each = each.select("doc_id", "key", "line", normal(F.col("raw")).alias("norm")).filter(F.length("norm") >= MIN_CHARS)
-    signed = each.withColumn("grams", shingles(F.col("norm"))).withColumn("sig", F.slice(F.sort_array("grams"), 1, SIGNATURE))
-    return signed.select("doc_id", "key", "line", F.xxhash64("norm").alias("hash"), "norm", F.size("grams").alias("size"), *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)])
+def signature(norm: Column) -> Column:
+    """The smallest different shingle hashes; the whole list is searched for repeats only where its beginning repeats."""
+    some = 4 * SIGNATURE
+    first = lambda s: once(F.array_distinct(F.slice(s, 1, some)), lambda d: F.when((F.size(d) >= SIGNATURE) | (F.size(s) <= some), d).otherwise(F.array_distinct(s)))
+    return F.slice(once(F.sort_array(all_shingles(norm)), first), 1, SIGNATURE)
 
 
-def meetings(occurrences: DataFrame) -> DataFrame:
-    """(hash, size, band, n, head) of bands that n > 1 lines share, with a head where they are too many to pair."""
-    signed = [f"s{k}" for k in range(SIGNATURE)]
-    distinct = occurrences.select("hash", "size", *signed).distinct()
-    bands = F.array_distinct(F.array(*[F.xxhash64(*[f"s{k}" for k in some]) for some in choices(SIGNATURE, ROWS)]))
-    band = Window.partitionBy("band")
-    return (
-        distinct.select("hash", "size", F.explode(bands).alias("band"))
-        .withColumn("n", F.count("*").over(band))
-        .filter("n > 1")
-        .withColumn("head", F.when(F.col("n") > PAIRED, F.min_by(F.struct("hash", "size"), F.xxhash64("hash", "band")).over(band)))
-    )
+def lines_of(docs: DataFrame, min_chars: int = 0) -> DataFrame:
+    """(doc_id, key, line, hash, norm, s0..) for every line that takes part: its place, text and signature."""
+    rows = docs.select("doc_id", text_of().alias("text"))
+    each = rows.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    each = each.select("doc_id", "key", "line", normal(F.col("raw")).alias("norm")).filter(F.length("norm") >= max(min_chars, 1))
+    signed = each.withColumn("sig", signature(F.col("norm")))
+    return signed.select("doc_id", "key", "line", F.xxhash64("norm").alias("hash"), "norm", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)])
 
 
-def candidates(met: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of line hashes that share a band, or one of them its head, and whose sizes allow the similarity."""
-    a = met.filter("head is null").select("band", F.col("hash").alias("u"), F.col("size").alias("a"))
-    pairs = a.join(a.select("band", F.col("u").alias("v"), F.col("a").alias("b")), "band").filter("u > v").filter(_sizes("a", "b")).select("u", "v")
-    stars = met.filter("head.hash <> hash").filter(_sizes("size", "head.size"))
-    stars = stars.select(F.greatest("hash", "head.hash").alias("u"), F.least("hash", "head.hash").alias("v"))
-    return pairs.union(stars).distinct()
+def meetings(occurrences: DataFrame) -> DataFrame:
+    """(hash, band, n, head) of bands that n > 1 different lines share; head is one of these lines."""
+    lines = settle(occurrences.select("hash", *[f"s{k}" for k in range(SIGNATURE)]).distinct())
+    # A line of few shingles has no bands but those of its own hashes, the first one always.
+    of = [F.when(F.lit(some == tuple(range(ROWS))) | F.col(f"s{some[-1]}").isNotNull(), F.xxhash64(*[f"s{k}" for k in some])) for some in choices(SIGNATURE, ROWS)]
+    members = lines.select("hash", F.explode(F.array_distinct(F.array_compact(F.array(*of)))).alias("band"))
+    shared = settle(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = settle(members.join(small_or_none(shared, BROADCAST_LINES) or shared, "band"))
+    heads = met.groupBy("band").agg(F.min("hash").alias("least"), F.min_by("hash", F.xxhash64("hash", "band")).alias("any"))
+    # One head in all small bands of a group spares comparisons; large bands have different ones.
+    heads = settle(heads)
+    out = settle(met.join(small_or_none(heads, BROADCAST_LINES) or heads, "band").select("hash", "band", "n", F.when(F.col("n") > PAIRED, F.col("any")).otherwise(F.col("least")).alias("head")))
+    discard(lines, shared, met, heads)
+    return out
+
+
+def texts_of(met: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(hash, norm, size) of the lines that meet others; size counts different shingles."""
+    ids = settle(met.select("hash").distinct())
+    found = occurrences.select("hash", "norm").join(small_or_none(ids, BROADCAST_LINES) or ids, "hash").dropDuplicates(["hash"])
+    out = settle(found.select("hash", "norm", F.size(shingles(F.col("norm"))).alias("size")))
+    discard(ids)
+    return out
 
 
 def _sizes(a: str, b: str) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def apart(met: DataFrame, occurrences: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of lines of large bands in different components that may reach the similarity; none that does is left out."""
-    ids = settle(met.filter("head is not null").select("hash").distinct())
-    crowd = occurrences.select("hash", "norm").join(small_or_none(ids, BROADCAST_LINES) or ids, "hash").dropDuplicates(["hash"])
-    crowd = settle(left_join_checked(crowd, roots, "hash", BROADCAST_LINES).select("hash", F.coalesce("root", "hash").alias("root"), "norm"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose lines reach the similarity, by exact comparison of all shingles."""
+    u, v = texts.select(F.col("hash").alias("u"), F.col("norm").alias("a"), F.col("size").alias("na")), texts.select(F.col("hash").alias("v"), F.col("norm").alias("b"), F.col("size").alias("nb"))
+    both = pairs.join(u, "u").join(v, "v").filter(_sizes("na", "nb"))
+    shared = F.size(F.array_intersect(all_shingles(F.col("a")), all_shingles(F.col("b"))))
+    return both.select("u", "v", "na", "nb", shared.alias("shared")).filter(F.col("shared") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("shared"))).select("u", "v")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
+
+
+def pairs_apart(met: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the bands of up to PAIRED lines, that are in different components. met: with root."""
+    a = met.filter(f"n <= {PAIRED}").select("band", F.col("hash").alias("a"), F.col("root").alias("ra"))
+    # Only bands of several components have any.
+    some = a.groupBy("band").agg(F.min("ra").alias("low"), F.max("ra").alias("high")).filter("low < high").select("band")
+    a = settle(a.join(some, "band", "left_semi"))
+    b = a.select("band", F.col("a").alias("b"), F.col("ra").alias("rb"))
+    return a.join(b, "band").filter("a > b and ra <> rb").select(*_pair("a", "b")).distinct()
+
+
+def crowd_apart(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines of larger bands in different components that may reach the similarity; none that does is left out."""
+    ids = met.filter(f"n > {PAIRED}").groupBy("hash").agg(F.first("root").alias("root"))
+    crowd = settle(texts.join(ids, "hash").select("hash", "root", shingles(F.col("norm")).alias("grams")))
     counter = lambda g: F.pmod(g, F.lit(COUNTERS)).cast("int")
-    counts = crowd.select(F.explode(shingles(F.col("norm"))).alias("g")).groupBy(counter(F.col("g")).alias("c")).agg(F.count("*").alias("n"))
+    counts = crowd.select(F.explode("grams").alias("g")).groupBy(counter(F.col("g")).alias("c")).agg(F.count("*").alias("n"))
     # One row of COUNTERS numbers.
     every = met.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c")).join(counts, "c", "left")
     order = settle(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", F.coalesce("n", F.lit(0)).alias("n")))), lambda e: e["n"]).alias("order")))
-    ranked = crowd.crossJoin(F.broadcast(order)).select(
-        "hash", "root", F.sort_array(F.transform(shingles(F.col("norm")), lambda g: F.struct(F.get("order", counter(g)).alias("n"), g.alias("g")))).alias("grams")
-    )
+    ranked = crowd.crossJoin(F.broadcast(order)).select("hash", "root", F.sort_array(F.transform("grams", lambda g: F.struct(F.get("order", counter(g)).alias("n"), g.alias("g")))).alias("grams"))
     size = F.size("grams")
     first = lambda share: F.floor(size * share + 1e-9).cast("int") + 1
     keys = settle(
         ranked.select("hash", "root", size.alias("size"), first((1 - SIMILARITY) / (1 + SIMILARITY)).alias("few"), F.posexplode(F.slice("grams", F.lit(1), first(1 - SIMILARITY))).alias("at", "gram"))
         .select("hash", "root", "size", (F.col("at") < F.col("few")).alias("small"), F.col("gram.g").alias("key"))
     )
+    discard(crowd)
     mains = keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("n > 1")
-    keys = settle(keys.join(mains.drop("n"), "key").withColumn("rest", F.col("root") != F.col("main")).drop("main"))
-    large = keys.select("key", F.col("hash").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("rest").alias("xa"))
-    small = keys.filter("small").select("key", F.col("hash").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("rest").alias("xb"))
+    held = settle(keys.join(mains.drop("n"), "key").withColumn("rest", F.col("root") != F.col("main")).drop("main"))
+    discard(keys)
+    large = held.select("key", F.col("hash").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("rest").alias("xa"))
+    small = held.filter("small").select("key", F.col("hash").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("rest").alias("xb"))
     # Lines of the commonest component of a key are one already; they meet the others, never each other.
     met_again = large.filter("xa").join(small, "key").unionByName(large.filter("not xa").join(small.filter("xb"), "key"))
     fits = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    found = met_again.filter("ra <> rb").filter(fits & (F.col("nb") >= SIMILARITY * F.col("na")))
-    return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-
-
-def verified(pairs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """The pairs whose lines reach the similarity, by exact comparison."""
-    ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct())
-    texts = occurrences.select("hash", "norm").join(small_or_none(ids, BROADCAST_LINES) or ids, "hash")
-    sets = settle(texts.dropDuplicates(["hash"]).select("hash", shingles(F.col("norm")).alias("grams")))
-    u, v = sets.select(F.col("hash").alias("u"), F.col("grams").alias("a")), sets.select(F.col("hash").alias("v"), F.col("grams").alias("b"))
-    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(u, "u").join(v, "v")
-        .filter(small >= SIMILARITY * large)
-        .filter(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared))
-        .select("u", "v")
-    )
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
+    return met_again.filter("ra <> rb").filter(fits & (F.col("nb") >= SIMILARITY * F.col("na"))).select(*_pair("a", "b")).distinct()
+
+
+def joined(occurrences: DataFrame) -> DataFrame:
+    """(hash, root) of the lines that have near-equal ones."""
+    met = meetings(occurrences)
+    texts = texts_of(met, occurrences)
+    stars = settle(met.filter("hash <> head").select(*_pair("hash", "head")).distinct())
+    links = settle(verified(stars, texts))
+    roots = settle(components(links).select(F.col("node").alias("hash"), "root"))
+    rooted = settle(left_join_checked(met, roots, "hash", BROADCAST_LINES).withColumn("root", F.coalesce("root", "hash")))
+    rest = pairs_apart(rooted)
+    if not rooted.filter(f"n > {PAIRED}").isEmpty():
+        rest = rest.union(crowd_apart(rooted, texts)).distinct()
+    rest = settle(rest)
+    more = settle(verified(rest, texts))
+    if not more.isEmpty():
+        known = roots.select(F.col("hash").alias("u"), F.col("root").alias("v"))
+        before, roots = roots, settle(components(known.union(more)).select(F.col("node").alias("hash"), "root"))
+        discard(before)
+    discard(met, texts, stars, links, rooted, rest, more)
+    return roots
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """(doc_id, key, lines): the numbers (from 0) of the lines that each document loses."""
-    occurrences = settle(lines_of(docs))
-    met = settle(meetings(occurrences))
-    roots = settle(components(verified(settle(candidates(met)), occurrences)).select(F.col("node").alias("hash"), "root"))
-    if not met.filter("head is not null").isEmpty():
-        more = settle(verified(settle(apart(met, occurrences, roots)), occurrences))
-        if not more.isEmpty():
-            known = roots.select(F.col("hash").alias("u"), F.col("root").alias("v"))
-            roots = settle(components(known.union(more)).select(F.col("node").alias("hash"), "root"))
+    occurrences = settle(lines_of(docs, min_chars))
+    roots = joined(occurrences)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
     grouped = left_join_checked(occurrences.select("doc_id", "key", "line", "hash"), roots, "hash", BROADCAST_LINES).select(
         "doc_id", "key", "line", F.coalesce("root", "hash").alias("group")
@@ -150,31 +190,34 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # Written, so that the join below is one of plain exchanges, which Spark can split where one line is very common.
     first = settle(grouped.groupBy("group").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"))
     gone = grouped.join(small_or_none(first, BROADCAST_LINES) or first, "group").filter(place != F.col("first"))
-    return gone.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines"))
+    out = settle(gone.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines")))
+    discard(occurrences, roots, first)
+    return out
 
 
-def line_dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def line_dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed", min_chars: int = 0) -> DataFrame:
     """docs with repeated lines taken out of the text, and the counts of lines before and of lines taken out.
 
     Input columns of these two names are replaced.
     """
-    gone = repeated_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("lines").alias("__gone"))
-    keyed = docs.drop(n_lines, n_removed).withColumn("__text_key", text_key(text_of()))
-    rows = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    lines = F.split(F.col("text"), "\n")
-    left = F.transform(
-        F.array(lines),
-        lambda v: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col("__gone")), lambda k: F.get(v, k)), "\n"),
-    )[0]
-    return (
-        rows.withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn(n_removed, F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-        .select(*[c for c in docs.columns if c not in (n_lines, n_removed)], n_lines, n_removed)
+    names = [c for c in docs.columns if c not in (n_lines, n_removed)]
+    gone = repeated_lines(docs.select("doc_id", "text"), min_chars).select(F.col("doc_id").alias("id"), F.col("key").alias("id_key"), F.col("lines").alias("gone"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("own"), text_key(text_of()).alias("own_key"), F.col("text").alias("old"))
+    rows = rows.join(small_or_none(gone, BROADCAST_LINES) or gone, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("id_key")), "left")
+    left = once(
+        F.split("old", "\n"),
+        lambda v: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(v) - 1), F.col("gone")), lambda k: F.get(v, k)), "\n"),
+    )
+    text = F.when(F.col("gone").isNull(), F.col("old")).otherwise(left)
+    return rows.select(
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names],
+        F.when(F.col("old").isNull(), 0).otherwise(F.size(F.split("old", "\n"))).cast("long").alias(n_lines),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed),
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """docs without the repeated lines; a document goes if it had words and none are left."""
-    out = line_dedup(docs, "__lines", "__removed")
-    return out.filter((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    lines, removed = (next(n for k in range(len(docs.columns) + 1) if (n := f"{name}{k}") not in docs.columns) for name in ("lines", "removed"))
+    out = line_dedup(docs, lines, removed, min_chars)
+    return out.filter((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,13 +15,17 @@ def norm(x):
 
 
 def grams(x):
-    x = " " + x
-    return {x[i : i + 9] for i in range(len(x) - 8) if x[i] == " "}
+    """All runs of nine characters; a shorter line is one."""
+    return {x[i : i + 9] for i in range(len(x) - 8)} or {x}
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
 
 
 def brute(rows):
     """Lines each document loses, by comparing all pairs of lines."""
-    places = sorted({(i is None, i or 0, t or "", k, norm(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if len(norm(x)) >= d.MIN_CHARS})
+    places = sorted({(i is None, i or 0, t or "", k, norm(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if norm(x)})
     texts = sorted({p[-1] for p in places})
     root = {t: t for t in texts}
 
@@ -31,7 +37,7 @@ def brute(rows):
     sets = {t: grams(t) for t in texts}
     for n, a in enumerate(texts):
         for b in texts[:n]:
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if alike(sets[a], sets[b]):
                 root[find(a)] = find(b)
     return places, {t: find(t) for t in texts}
 
@@ -63,7 +69,7 @@ def test_against_brute_force(spark, no_docs):
         if t is None:
             want.append((i, None, 0))
             continue
-        keep = [x for k, x in enumerate(t.split("\n")) if len(norm(x)) < d.MIN_CHARS or (i is None, i or 0, d_key(spark, t), k) in stay]
+        keep = [x for k, x in enumerate(t.split("\n")) if not norm(x) or (i is None, i or 0, d_key(spark, t), k) in stay]
         want.append((i, "\n".join(keep), len(t.split("\n")) - len(keep)))
     out = d.line_dedup(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
@@ -100,6 +106,92 @@ def test_bands_recall():
     assert met / 3000 > 0.97
 
 
+def groups(lines):
+    """Of every line the first line of its component, by comparing all pairs."""
+    root, sets = list(range(len(lines))), [grams(x) for x in lines]
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for n in range(len(lines)):
+        for m in range(n):
+            a, b = find(n), find(m)
+            if a != b and alike(sets[n], sets[m]):
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(lines))]
+
+
+def kept(spark, lines, **more):
+    out = d.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), **more)
+    return sorted(r.doc_id for r in out.filter("n_removed = 0").collect())
+
+
+def letters(rng, n):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def test_every_character_counts(spark):
+    """Addresses, text without spaces, lines that differ only at their end, repeated phrases, short lines."""
+    rng = random.Random(6)
+    lines = [f"https://{letters(rng, 12)}.example/{letters(rng, 20)}" for _ in range(30)]
+    lines += ["https://www.alpha.org/catalogue/green-lamps/4411", "https://news.beta.net/2021/05/quite-another-story"]
+    lines += ["我们在城市的北边找到了那座老房子", "我们在城市的北边看见很多新的汽车和人"]
+    lines += [f"see https://{letters(rng, 30)}" for _ in range(10)] + ["the city was founded in 1987", "the city was founded in paris"]
+    long = letters(rng, 80)
+    lines += [long, long[:-1] + "!", "-" * 25, "-" * 30, "ab" * 15, "ab" * 20, "the same phrase " * 4, "the same phrase " * 14, "é" * 9 + long, "é" * 10 + long]
+    lines += ["of.", "of,", "Of.", "---", "--- ", "a", "b", "ninechars", "ninecharsninechars"]
+    want = groups([norm(x) for x in lines])
+    assert kept(spark, lines) == sorted(set(want)) and len(set(want)) == len(lines) - 8
+    assert len(kept(spark, lines, min_chars=20)) == len(lines) - 6
+
+
+def test_recall_and_precision(spark):
+    """The lines of a whole table: near-equal pairs by an exact prefix filter in Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({n for r in docs.select("text").collect() for x in (r.text or "").split("\n") if (n := norm(x))})
+    sets = {t: grams(t) for t in texts}
+    often = Counter(g for s in sets.values() for g in s)
+    index, near = defaultdict(list), set()
+    for t in sorted(texts, key=lambda t: len(sets[t])):
+        ordered = sorted(sets[t], key=lambda g: (often[g], g))
+        for g in ordered[: len(ordered) - math.ceil(0.8 * len(ordered) - 1e-9) + 1]:
+            near |= {(u, t) for u in index[g] if len(sets[u]) >= 0.8 * len(sets[t]) and alike(sets[u], sets[t])}
+            index[g].append(t)
+    occurrences = d.settle(d.lines_of(docs))
+    root = {r.norm: r.root for r in occurrences.join(d.joined(occurrences), "hash").select("norm", "root").distinct().collect()}
+    met = sum(a in root and root[a] == root.get(b) for a, b in near)
+    assert len(near) > 100 and met / len(near) >= 0.97
+    partners = {t for pair in near for t in pair}
+    assert set(root) <= partners
+
+
+def test_pairs_away_from_the_heads(spark):
+    """Bands of far more lines than are paired: twins that are near each other only, in a family with one opening."""
+    rng = random.Random(8)
+    opening = " ".join(letters(rng, 7) for _ in range(17))
+    lines = []
+    for _ in range(120):
+        own = letters(rng, 40)
+        lines += [f"{opening} {own} {letters(rng, 4)}" for _ in range(rng.choice([1, 2, 3]))]
+    rng.shuffle(lines)
+    want = groups(lines)
+    assert len(lines) > 4 * d.PAIRED and len(set(want)) < len(lines) - 60 and len(set(want)) >= 100
+    assert kept(spark, lines) == sorted(set(want))
+
+
+def test_clashing_names_and_long_lines(spark):
+    rng = random.Random(1)
+    long = " ".join(letters(rng, rng.randint(2, 9)) for _ in range(60_000))
+    rows = [(1, long, 1, "x"), (2, long + " more", 2, "y"), (3, None, 3, None), (3, None, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone int, row string").selectExpr("*", "1 as gone", "2 as id", "3 as own", "4 as lines0")
+    out = d.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r["row"], r.own, r.n_lines, r.n_removed) for r in out.collect() if r["row"]) == [(1, "x", 3, 1, 0), (2, "y", 3, 1, 1)]
+    assert d.deduplicated(docs).columns == docs.columns and d.deduplicated(docs).count() == 3
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_large_band(spark, monkeypatch, limit):
     """A line with more variants than are paired in a band."""

@@ -8,7 +8,7 @@ from test_packing import ids_of
 from test_quality_rules import WORD, brute
 from test_simhash import fingerprint, reach
 
-from lotlens.llm import line_dedup, mixing, quality_rules
+from lotlens.llm import mixing, quality_rules
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -33,7 +33,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     stay = {min((p[1], d_key(spark, p[2]), p[3]) for p in g) for g in groups.values()}
     want = {}
     for i, t in rows:
-        left = [x for k, x in enumerate(t.split("\n")) if len(norm(x)) < line_dedup.MIN_CHARS or (i, d_key(spark, t), k) in stay]
+        left = [x for k, x in enumerate(t.split("\n")) if not norm(x) or (i, d_key(spark, t), k) in stay]
         if WORD.search("\n".join(left)):
             want[i] = "\n".join(left)
     assert {r.doc_id: r.text for r in lined.collect()} == want and lined.columns == docs.columns
