@@ -1,77 +1,107 @@
 """Exact top-k search: BM25 over sharded inverted indexes with block-max WAND, merged by global statistics.
 
-A first pass lays the index of each shard (a run of documents of one partition) down as a table: a row for each
-query term with its postings and, for each block of postings, the largest term frequency and the shortest document,
-which bound every score in the block whatever the global statistics turn out to be. Document frequencies and the
-mean length are then summed over all shards. Each shard is searched with those and returns its k best documents for
-every query; the k best of these are the exact answer.
-
-Terms that no query holds are never looked up, so they are counted in the lengths but get no postings.
+A first pass lays the whole index down as a table, shard by shard (a run of documents of one partition): a row for
+each term with its postings and, for each block of postings, the largest term frequency and the shortest document,
+which bound every score in the block whatever the global statistics turn out to be. Any queries can be answered from
+it. Queries are dealt into batches of bounded size; their terms are joined with the index, document frequencies and the
+mean length are summed over all shards, and each shard is searched for each batch. The k best of all shards' best
+documents are the exact answer.
 
 Defined results: text is lower-cased, terms are runs of letters, digits and underscores; a null text is empty;
 documents without a term of the query are no result, so a query may have fewer than k; equal scores are ordered by
-doc_id, nulls last; rows alike are results each for itself.
+doc_id, nulls last; rows alike are results each for itself; a query without an id is left out, and of queries with
+one id the first text in order counts; empty tables give no results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import settle, text_of
+from lotlens.llm.common import discard, settle, small_or_none, text_of
 
 K1, B = 1.2, 0.75
-#: Documents of a shard and postings of a block.
-SHARD, BLOCK = 20_000, 64
+#: Documents and postings of a shard, postings of a block, queries of a batch, terms that are broadcast at most.
+SHARD, SHARD_POSTINGS, BLOCK, BATCH, BROADCAST_TERMS = 20_000, 1_000_000, 64, 64, 200_000
 _TERM = re.compile(r"\w+")
-_INDEX = "shard long, term string, docs int, tokens long, ids array<long>, at binary, tf binary, length binary, most binary, least binary"
+_INDEX = "shard long, term string, docs int, tokens long, ids array<long>, at array<int>, tf array<int>, length array<int>, most array<int>, least array<int>"
+_ARROW = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("docs", pa.int32()), ("tokens", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.list_(pa.int32())) for c in ("at", "tf", "length", "most", "least")]])
 
 
 def terms_of(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def _shard_rows(shard: int, ids: list, lengths: list[int], postings: dict) -> pd.DataFrame:
-    length = np.array(lengths, dtype=np.int32)
-    rows = [(shard, None, len(ids), int(length.sum()), ids, None, None, length.tobytes(), None, None)]
-    for term, (at, tf) in sorted(postings.items()):
-        at, tf = np.array(at, dtype=np.int32), np.array(tf, dtype=np.int32)
-        cuts = np.arange(0, len(at), BLOCK)
-        most, least = np.maximum.reduceat(tf, cuts), np.minimum.reduceat(length[at], cuts)
-        rows.append((shard, term, len(at), 0, None, at.tobytes(), tf.tobytes(), None, most.astype(np.int32).tobytes(), least.astype(np.int32).tobytes()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _INDEX.split(", ")])
-
-
-def build_index(docs: DataFrame, terms: set[str]) -> DataFrame:
+class _Shard:
+    """Postings of a run of documents, in the order in which they come."""
+
+    def __init__(self):
+        self.ids, self.lengths = [], array("i")
+        self.term, self.at, self.tf = array("i"), array("i"), array("i")
+        self.terms: dict[str, int] = {}
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        found = terms_of(text)
+        for term, n in Counter(found).items():
+            self.term.append(self.terms.setdefault(term, len(self.terms)))
+            self.at.append(len(self.ids))
+            self.tf.append(n)
+        self.ids.append(doc_id)
+        self.lengths.append(len(found))
+
+    def full(self) -> bool:
+        return len(self.ids) >= SHARD or len(self.at) >= SHARD_POSTINGS
+
+    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
+        """A row for the documents, then one for each term."""
+        length = np.array(self.lengths, dtype=np.int32)
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "docs": len(length), "tokens": int(length.sum()), "ids": self.ids, "length": length}], schema=_ARROW)
+        if not self.terms:
+            return
+        term = np.array(self.term, dtype=np.int32)
+        order = np.argsort(term, kind="stable")
+        at, tf = np.array(self.at, dtype=np.int32)[order], np.array(self.tf, dtype=np.int32)[order]
+        docs = np.bincount(term, minlength=len(self.terms))
+        ends = np.concatenate([[0], np.cumsum(docs)])
+        blocks = -(-docs // BLOCK)
+        bounds = np.concatenate([[0], np.cumsum(blocks)])
+        cuts = np.repeat(ends[:-1] - bounds[:-1] * BLOCK, blocks) + np.arange(bounds[-1]) * BLOCK
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        n, none = len(docs), lambda kind: pa.nulls(len(docs), kind)
+        columns = [
+            pa.array(np.full(n, shard)), pa.array(list(self.terms)), pa.array(docs, pa.int32()), pa.array(np.zeros(n, dtype=np.int64)), none(pa.list_(pa.int64())), lists(ends, at), lists(ends, tf),
+            none(pa.list_(pa.int32())), lists(bounds, np.maximum.reduceat(tf, cuts)), lists(bounds, np.minimum.reduceat(length[at], cuts)),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+        for i in range(0, n, 20_000):
+            yield whole.slice(i, 20_000)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
     """The shards' rows: one without a term for the documents, one for each term with postings."""
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, ids, lengths, postings = TaskContext.get().partitionId() << 20, [], [], defaultdict(lambda: ([], []))
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own = TaskContext.get().partitionId() << 20, _Shard()
         for batch in batches:
-            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = terms_of(text)
-                for term, n in Counter(filter(terms.__contains__, found)).items():
-                    at, tf = postings[term]
-                    at.append(len(ids))
-                    tf.append(n)
-                ids.append(None if pd.isna(i) else int(i))
-                lengths.append(len(found))
-                if len(ids) == SHARD:
-                    yield _shard_rows(shard, ids, lengths, postings)
-                    shard, ids, lengths, postings = shard + 1, [], [], defaultdict(lambda: ([], []))
-        if ids:
-            yield _shard_rows(shard, ids, lengths, postings)
-
-    return settle(docs.select("doc_id", text_of().alias("text")).mapInPandas(part, _INDEX))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own.add(doc_id, text)
+                if own.full():
+                    yield from own.rows(shard)
+                    shard, own = shard + 1, _Shard()
+        if own.ids:
+            yield from own.rows(shard)
+
+    return settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(part, _INDEX))
 
 
 class _Cursor:
@@ -80,8 +110,8 @@ class _Cursor:
     __slots__ = ("at", "bound", "doc", "end", "gain", "i", "last", "norm", "tf", "top", "weight")
 
     def __init__(self, row, weight: float, norm: np.ndarray, floor: float, slope: float):
-        self.at, self.tf = np.frombuffer(row.at, dtype=np.int32), np.frombuffer(row.tf, dtype=np.int32)
-        most, least = np.frombuffer(row.most, dtype=np.int32), np.frombuffer(row.least, dtype=np.int32)
+        self.at, self.tf = np.asarray(row.at, dtype=np.int32), np.asarray(row.tf, dtype=np.int32)
+        most, least = np.asarray(row.most, dtype=np.int32), np.asarray(row.least, dtype=np.int32)
         self.weight, self.norm = weight, norm
         self.bound = weight * most * (K1 + 1) / (most + floor + slope * least) * (1 + 1e-12)
         self.last = self.at[np.minimum(np.arange(1, len(most) + 1) * BLOCK, len(self.at)) - 1]
@@ -147,32 +177,58 @@ def _best(cursors: list[_Cursor], k: int, rank) -> list[tuple[float, int]]:
     return [(s, d) for s, _, d in heap]
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id") -> DataFrame:
-    """(query_id, doc_id, score, rank) of the k best documents for each row of queries (query_id, text).
+def _query_terms(queries: DataFrame, query_id: str) -> DataFrame:
+    """(query, term, times) of every query."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(q, term, n) for q, text in zip(batch["query"], batch["text"], strict=True) for term, n in Counter(terms_of(text)).items()]
+            yield pd.DataFrame(rows, columns=["query", "term", "times"])
+
+    one = queries.select(F.col(query_id).cast("long").alias("query"), text_of().alias("text")).filter("query is not null").groupBy("query").agg(F.min("text").alias("text"))
+    return settle(one.mapInPandas(part, "query long, term string, times long"))
+
 
-    The queries are a stated, small set; they, their terms and the statistics of these are held by the driver.
-    """
-    asked = [(int(r[0]), Counter(terms_of(r[1]))) for r in queries.select(query_id, text_of()).filter(F.col(query_id).isNotNull()).distinct().collect()]
-    index = build_index(docs, {t for _, terms in asked for t in terms})
-    size = index.filter("term is null").agg(F.sum("docs"), F.sum("tokens")).first()
+def search(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id") -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best documents of an index for each row of queries (query_id, text)."""
+    asked = _query_terms(queries, query_id)
+    terms = settle(asked.select("term").distinct())
+    used = settle(index.filter("term is not null").join(small_or_none(terms, BROADCAST_TERMS) or terms, "term"))
+    about = index.filter("term is null")
+    size = about.agg(F.sum("docs"), F.sum("tokens")).first()
     n, mean = size[0] or 0, (size[1] or 0) / max(size[0] or 0, 1)
-    idf = {r["term"]: math.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5)) for r in index.filter("term is not null").groupBy("term").agg(F.sum("docs").alias("df")).collect()}
-    slope = K1 * B / max(mean, 1e-9)
-    floor = K1 * (1 - B)
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        about = rows[rows["term"].isna()].iloc[0]
-        norm = floor + slope * np.frombuffer(about.length, dtype=np.int32)
-        ids = about.ids
+    slope, floor = K1 * B / max(mean, 1e-9), K1 * (1 - B)
+    found = used.groupBy("term").agg(F.sum("docs").alias("df"))
+    batches = max(-(-asked.select("query").distinct().count() // BATCH), 1)
+    weighted = asked.join(found, "term").select(
+        F.pmod(F.xxhash64("query"), F.lit(batches)).cast("int").alias("batch"), "term", F.struct("query", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("times")).alias("weight")).alias("of")
+    )
+    work = used.join(weighted.groupBy("batch", "term").agg(F.collect_list("of").alias("asked")), "term").select("shard", "batch", "term", "at", "tf", "most", "least", "asked")
+    every = about.select("shard", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "ids", "length").unionByName(work, allowMissingColumns=True)
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows[rows["term"].isna()].iloc[0]
+        norm, ids = floor + slope * np.asarray(one.length, dtype=np.int32), one.ids
         rank = lambda d: (1, 0) if ids[d] is None or ids[d] != ids[d] else (0, int(ids[d]))
-        of, out = {r.term: r for r in rows[~rows["term"].isna()].itertuples()}, []
-        for q, terms in asked:
-            cursors = [_Cursor(of[t], idf[t] * m, norm, floor, slope) for t, m in sorted(terms.items()) if t in of]
-            out += [(q, None if rank(d)[0] else int(ids[d]), s) for s, d in _best(cursors, k, rank)]
-        frame = pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
+        cursors: dict[int, list[_Cursor]] = {}
+        for r in rows[~rows["term"].isna()].sort_values("term").itertuples():
+            for of in r.asked:
+                cursors.setdefault(of["query"], []).append(_Cursor(r, of["weight"], norm, floor, slope))
+        out = [(q, None if rank(d)[0] else int(ids[d]), s) for q, own in cursors.items() for s, d in _best(own, k, rank)]
+        frame = pd.DataFrame(out, columns=["query", "doc_id", "score"])
         return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    found = index.groupBy("shard").applyInPandas(search, "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select(F.col("query_id").alias(query_id), "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    hits = every.groupBy("shard", "batch").applyInPandas(best, "query long, doc_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = settle(ranked.select(F.col("query").alias(query_id), "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank")))
+    discard(asked, terms, used)
+    return out
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id") -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best documents for each row of queries (query_id, text)."""
+    index = build_index(docs)
+    out = search(index, queries, k, query_id)
+    discard(index)
+    return out

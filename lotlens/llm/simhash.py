@@ -1,12 +1,12 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint of 64 bits is eight bytes at eight positions. Two fingerprints that differ in at most four bits share
-the bytes of at least four positions, so the index has a posting for every choice of four positions and their
-bytes: fingerprints that meet in a posting have reached the guaranteed count. Shared positional bytes are then
-tallied for each pair and the pair is verified by its differing bits.
+the bytes of at least four positions. The index has a posting for every choice of three positions and their bytes;
+the meetings of each pair are tallied, pairs that reach the four meetings which four shared bytes guarantee are kept
+(one that shares three bytes meets once), and these are verified by their differing bits.
 
-Postings that many different fingerprints share (they lie in one dense cluster) are not paired. There, every
-fingerprint is listed under all values within two bits of it: two fingerprints are within four bits of each other
+Postings that many different fingerprints share (they lie in one dense cluster) are not paired. Every fingerprint of
+one is listed under all values within two bits of it: two fingerprints are within four bits of each other
 if and only if they share such a value, so that linking each value's fingerprints to the smallest of them gives
 the same components with work in proportion to the fingerprints.
 
@@ -16,14 +16,18 @@ whatever lies within four bits of it; rows alike are linked; component_id is nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import choices, components, settle, text_key, text_of, words
+from lotlens.llm.common import choices, components, settle, small_or_none, text_key, text_of, words
 
 SHINGLE, BITS_APART = 4, 4
 #: Postings of more different fingerprints than this are linked by shared near values, not by pairs.
 PAIRED = 48
+#: Fingerprints that are indexed by three positions; postings shared by two that are broadcast, at most.
+FEW, BROADCAST_POSTINGS = 1 << 26, 500_000
 #: Shingles counted in one packed sum; each of its four counters has 16 bits.
 _CHUNK = 32767
 _LANES = 0x0001000100010001
@@ -65,23 +69,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return packed.select("doc_id", "key", F.when(F.col("n") > 0, fp).otherwise(F.lit(0).cast("long")).alias("fp"))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, positions: int | None = None) -> DataFrame:
     """Edges (u, v) between different fingerprints (one column fp, distinct) whose components are those of all
-    pairs within four bits."""
-    masks = [sum(0xFF << 8 * p for p in some) for some in choices(8, 4)]
+    pairs within four bits.
+
+    positions: bytes that a posting fixes. Three, unless there are so many fingerprints that a random posting of
+    three would hold several; then four, where one meeting is the guaranteed number.
+    """
+    if positions is None:
+        positions = 3 if fps.limit(FEW + 1).count() <= FEW else 4
+    masks = [sum(0xFF << 8 * p for p in some) for some in choices(8, positions)]
     signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-    posting = Window.partitionBy("mask", "bytes")
-    met = settle(
-        fps.select("fp", F.explode(signed).alias("mask"))
-        .select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"))
-        .withColumn("n", F.count("*").over(posting))
-        .filter("n > 1")
-    )
-    a = met.filter(f"n <= {PAIRED}")
-    b = a.select(F.col("fp").alias("v"), "mask", "bytes")
-    apart = F.col("fp").bitwiseXOR(F.col("v"))
-    tally = sum(((F.shiftrightunsigned(apart, 8 * p).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for p in range(1, 8)), (apart.bitwiseAND(F.lit(0xFF)) == 0).cast("int"))
-    pairs = a.join(b, ["mask", "bytes"]).filter((F.col("fp") > F.col("v")) & (tally >= 4) & (F.bit_count(apart) <= BITS_APART)).select(F.col("fp").alias("u"), "v").distinct()
+    postings = fps.select("fp", F.explode(signed).alias("mask")).select("fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("posting"))
+    shared = settle(postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = settle(postings.join(small_or_none(shared, BROADCAST_POSTINGS) or shared, "posting"))
+    a = met.filter(f"n <= {PAIRED}").drop("n")
+    pairs = a.join(a.select(F.col("fp").alias("v"), "posting"), "posting").filter("fp > v").groupBy(F.col("fp").alias("u"), "v").agg(F.count("*").alias("tally"))
+    # Four shared bytes are met in every choice of them; a pair that misses one meets in a large posting, see below.
+    pairs = pairs.filter(F.col("tally") >= math.comb(8 - BITS_APART, positions)).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS_APART).select("u", "v")
 
     one, other = F.expr("shiftleft(1L, i)"), F.expr("if(j < 64, shiftleft(1L, j), 0L)")
     near = (
@@ -91,7 +96,8 @@ def links(fps: DataFrame) -> DataFrame:
         .filter("i <> j or i = 0")
         .select("fp", F.col("fp").bitwiseXOR(F.when(F.col("i") == F.col("j"), F.lit(0).cast("long")).otherwise(one.bitwiseXOR(other))).alias("value"))
     )
-    stars = near.withColumn("v", F.min("fp").over(Window.partitionBy("value"))).filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    least = near.groupBy("value").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v < most").drop("most")
+    stars = near.join(least, "value").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return pairs.union(stars).distinct()
 
 
