@@ -19,3 +19,42 @@ def test_every_template_is_found(spark, no_docs):
 def test_other_wording_is_not(spark):
     rows = [(1, "A driving license is issued under the law of the land, version of 1998."), (2, "Licensed under CC BY-XX 4.0."), (3, "You need permission to use this."), (4, "the GNU General Public License"), (5, "Copyright 2020 Someone")]
     assert x.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
+def test_whole_texts_with_edits(spark):
+    """A share of a license's words left out or put in, up to what is allowed, against a scan of every window by difflib."""
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    words = [w.strip('(),.;:"') for w in x.MIT.split()]
+    filler = "erre thon ingor stea " * 30
+    rows, want = [], {}
+    for k, (out, more) in enumerate([(0, 0), (3, 0), (0, 8), (8, 10), (14, 20), (30, 0), (0, 80), (80, 0)]):
+        gone = set(rng.sample(range(len(words)), out))
+        own = [w for j, w in enumerate(words) if j not in gone]
+        for _ in range(more):
+            own.insert(rng.randrange(1, len(own)), "strange")
+        rows.append((k, f"{filler} {' '.join(own)} {filler}"))
+        lower = [w.lower() for w in words]
+        # Every window: the whole text, since nothing of the filler is in the license.
+        runs = [m for m in difflib.SequenceMatcher(None, lower, [w.lower() for w in own], autojunk=False).get_matching_blocks() if m.size]
+        n = sum(m.size for m in runs)
+        strange = runs[-1].b + runs[-1].size - runs[0].b - n
+        want[k] = len(words) - n <= 0.1 * len(words) and strange <= 0.25 * len(words)
+    got = {r.doc_id: (r.license, r.n_missing, r.n_strange) for r in x.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.license == "MIT-text"}
+    assert set(got) == {k for k, yes in want.items() if yes} and {0, 1, 2, 3} <= set(got) and not {5, 6, 7} & set(got)
+    assert got[0] == ("MIT-text", 0, 0)
+
+
+def test_variants_and_strays(spark):
+    rows = [(1, "Licensed under the MIT License"), (2, "Apache License, Version 2.0"), (3, "under CC BY 4.0 by me"), (4, "license " * 40 + "and then far away " * 20 + x.ISC.replace("software", "program", 1) + " granted " + "erre " * 50 + "license")]
+    got = {r.doc_id: r.license for r in x.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT-licensed", 2: "Apache-2.0-name", 3: "CC-BY-4.0-name", 4: "ISC"}
+
+
+def test_own_templates_and_odd_inputs(spark, odd_docs):
+    assert x.license_scan(odd_docs).columns == [c.split()[0] for c in x.FINDING.split(", ")] and x.license_scan(odd_docs).count() == 0
+    own = {"house": ("Only members of the house may read this letter aloud", "house members")}
+    docs = spark.createDataFrame([(None, "Only members of the house may read this letter aloud"), (None, "Only members of the house may read this letter aloud"), (1, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.license, r.words) for r in x.license_scan(docs, own).collect()] == [(None, "house", 10)] * 2
