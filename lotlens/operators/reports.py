@@ -114,3 +114,64 @@ def source_pairs(listings: DataFrame) -> DataFrame:
     shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
     a, b = size.select(F.col("provider").alias("a"), F.col("size").alias("size_a")), size.select(F.col("provider").alias("b"), F.col("size").alias("size_b"))
     return shared.join(a, "a").join(b, "b").select("a", "b", "shared", ratio(F.col("shared"), F.least("size_a", "size_b")).alias("overlap"))
+
+
+def per_day(rows: DataFrame, column: str, until: datetime, days: int = 7, distinct: str | None = None) -> DataFrame:
+    """A daily mean over the days before a moment, quiet days included."""
+    count = F.count_distinct(distinct) if distinct else F.count("*")
+    start = F.lit(until) - F.expr(f"interval {days} days")
+    return rows.filter((F.col(column) >= start) & (F.col(column) < F.lit(until))).agg((count / days).alias("average"))
+
+
+def extreme(rows: DataFrame, current_year: int, dearest: bool = False) -> DataFrame:
+    """The cheapest or the dearest plausible row; equal prices go by event id."""
+    return rows.filter(plausible(current_year)).orderBy(F.desc("price") if dearest else F.asc("price"), "event_id").limit(1)
+
+
+def active_count(listings: DataFrame) -> DataFrame:
+    """R1."""
+    return listings.filter("status = 'active'").agg(F.count("*").alias("n"))
+
+
+def by_provider(rows: DataFrame) -> DataFrame:
+    """How many by provider and their mean price, plausible or not."""
+    return rows.groupBy(F.col("provider").alias("name")).agg(F.count("*").alias("n"), F.avg("price").alias("average_price"))
+
+
+def import_health(runs: DataFrame, start: datetime, end: datetime, manual: str) -> DataFrame:
+    """What the runs of each provider but the manual one did in a window."""
+    counts = [F.sum(f"{c}_count").alias(f"{c}_count") for c in ("created", "updated", "removed", "failed")]
+    return runs.filter(within("started_at", start, end) & (F.col("provider") != manual)).groupBy("provider").agg(F.count("*").alias("runs"), *counts, F.count_if(F.col("status") == "failed").alias("failed_runs"))
+
+
+def verification_coverage(listings: DataFrame, provider: str) -> DataFrame:
+    """How the active ads of one provider were last checked."""
+    last = lambda s: F.count_if(F.col("check_status") == s).alias(f"last_{s}")
+    return listings.filter((F.col("provider") == provider) & (F.col("status") == "active")).agg(
+        F.count("*").alias("active_total"), F.count_if(F.col("checked_at").isNull()).alias("never_checked"), last("active"), last("missing"), last("inconclusive"),
+        F.min("checked_at").alias("oldest_check"), F.max("checked_at").alias("newest_check"),
+    )
+
+
+def disappearance_methods(gone: DataFrame, listings: DataFrame) -> DataFrame:
+    """How the different ads that disappeared were found out, by the status of their last check."""
+    s = F.col("check_status")
+    return gone.select("listing_id").distinct().join(listings.select("listing_id", "check_status"), "listing_id").agg(
+        F.count_if(s.startswith("missing")).alias("direct_check"), F.count_if(s.startswith("missing:deactivated")).alias("deactivated_sold"),
+        F.count_if(s.isNull() | ~s.startswith("missing")).alias("reconciliation"),
+    )
+
+
+def last_cleanup(runs: DataFrame) -> DataFrame:
+    """When a reconciliation last cleaned up."""
+    return runs.filter((F.col("mode") == "reconciliation") & F.col("cleanup_at").isNotNull()).agg(F.max("cleanup_at").alias("last_cleanup_at"))
+
+
+def dataset_age(listings: DataFrame, provider: str) -> DataFrame:
+    """Since when a provider's oldest active ad is known."""
+    return listings.filter((F.col("provider") == provider) & (F.col("status") == "active")).agg(F.min("first_seen_at").alias("first_seen_at"))
+
+
+def removed_to_date(listings: DataFrame, provider: str) -> DataFrame:
+    """Removed ads, all and one provider's."""
+    return listings.filter("status = 'removed'").agg(F.count("*").alias("total"), F.count_if(F.col("provider") == provider).alias("one"))

@@ -195,3 +195,64 @@ def mileage_score(km: Column, age: Column) -> Column:
     return half_up(0.65 * interpolate(km / expected, RELATIVE_MILEAGE) + 0.35 * interpolate(F.greatest(km, F.lit(0)), ABSOLUTE_MILEAGE))
 
 
+
+
+#: Points of the condition scores, and what is scored where nothing is stated.
+CONDITION_AGE = [(0, 100), (1, 100), (3, 92), (5, 82), (8, 68), (12, 50), (18, 30), (25, 15), (40, 10)]
+CONDITION_MILEAGE = [(0, 100), (30_000, 92), (60_000, 80), (100_000, 65), (150_000, 45), (200_000, 28), (300_000, 10), (500_000, 10)]
+CONDITION_OWNERS = [(1, 100), (2, 80), (3, 60), (4, 45), (5, 30), (8, 15)]
+SERVICE_HISTORY = {"complete": 100, "partial": 62, "missing": 25, "unknown": 40}
+UNKNOWN_OWNERS, UNKNOWN_MILEAGE = 45, 50
+CONFIDENCE_WEIGHTS = {"age": 0.34, "mileage": 0.3, "service": 0.2, "owners": 0.16}
+THIN_LISTING = 4
+
+
+def condition_scores(age: Column, km: Column, owners: Column, service: Column, mileage_known: Column | None = None) -> Column:
+    """V9: a struct (age, mileage, owners, service, has_owners, has_service); what is unknown has a score of its own."""
+    known = F.coalesce(mileage_known if mileage_known is not None else F.lit(True), F.lit(True))
+    told = F.coalesce(service, F.lit("unknown"))
+    history = F.lit(float(SERVICE_HISTORY["unknown"]))
+    for name, value in SERVICE_HISTORY.items():
+        history = F.when(told == name, float(value)).otherwise(history)
+    return F.struct(
+        interpolate(F.greatest(age, F.lit(0.0)), CONDITION_AGE).alias("age"),
+        F.when(known, interpolate(F.greatest(km, F.lit(0)), CONDITION_MILEAGE)).otherwise(float(UNKNOWN_MILEAGE)).alias("mileage"),
+        F.when(owners.isNull(), float(UNKNOWN_OWNERS)).otherwise(interpolate(owners, CONDITION_OWNERS)).alias("owners"),
+        history.alias("service"),
+        owners.isNotNull().alias("has_owners"),
+        (told != "unknown").alias("has_service"),
+    )
+
+
+def buy_confidence(condition: Column) -> Column:
+    """V9: the weighted condition scores; an ad that states neither owners nor service history loses a little more."""
+    raw = F.lit(0.0)
+    for part, weight in CONFIDENCE_WEIGHTS.items():
+        raw = raw + weight * condition[part]
+    return score(raw - F.when(~condition["has_owners"] & ~condition["has_service"], THIN_LISTING).otherwise(0))
+
+
+def owner_score(owners: Column) -> Column:
+    """V8's part of owners, where they are stated."""
+    return F.when(owners.isNotNull(), half_up(interpolate(owners, CONDITION_OWNERS)))
+
+
+def even_sample(values: Column, size: int = 40) -> Column:
+    """A sorted array thinned evenly, both ends kept."""
+    step = (F.size(values) - 1) / (size - 1)
+    thin = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.get(values, half_up(k * step).cast("int")))
+    return F.when(F.size(values) <= size, values).otherwise(thin)
+
+
+def budget_focus(low: Column, high: Column, target: Column) -> Column:
+    """A struct (target, low, high) of what is known of a budget."""
+    whole = lambda x: half_up(x).cast("long")
+    none = F.lit(None).cast("long")
+    of = lambda t, a, b: F.struct(t.cast("long").alias("target"), a.cast("long").alias("low"), b.cast("long").alias("high"))
+    return (
+        F.when(F.coalesce(target, F.lit(0)) > 0, of(target, whole(target * 0.8), whole(target * 1.2)))
+        .when(low.isNotNull() & high.isNotNull(), of(whole((low + high) / 2), low, high))
+        .when(high.isNotNull(), of(whole(high * 0.88), whole(high * 0.5), high))
+        .when(low.isNotNull(), of(whole(low * 1.25), low, none))
+        .otherwise(of(none, none, none))
+    )

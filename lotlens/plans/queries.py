@@ -551,3 +551,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q6_depreciation(spark, sf_dir)
 
 
+
+
+from lotlens.plans import queries_upkeep  # noqa: E402, F401  registers more queries

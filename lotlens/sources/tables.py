@@ -109,3 +109,33 @@ OBSERVATION_SQL = """observation AS (
 def equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vehicle_id, label): one row for each option of a car."""
     return vehicles(spark, sf_dir).select("vehicle_id", F.explode(F.array_distinct(F.split("variant", " "))).alias("label"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import runs, an order each."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("run_id"),
+        F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("provider"),
+        F.col("o_orderdate").alias("started_at"),
+        F.when(F.col("o_orderstatus") == "P", "failed").otherwise("succeeded").alias("status"),
+        F.when(F.col("o_orderpriority").startswith("1"), "reconciliation").otherwise("incremental").alias("mode"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("cleanup_at"),
+        *[(k % n).alias(f"{c}_count") for c, n in (("created", 50), ("updated", 70), ("removed", 30), ("failed", 3))],
+    )
+
+
+RUN_SQL = """run AS (SELECT o_orderkey AS run_id, 's' || CAST(o_custkey % 5 AS VARCHAR) AS provider, o_orderdate AS started_at,
+  CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN o_orderpriority LIKE '1%' THEN 'reconciliation' ELSE 'incremental' END AS mode,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS cleanup_at, o_orderkey % 50 AS created_count, o_orderkey % 70 AS updated_count, o_orderkey % 30 AS removed_count, o_orderkey % 3 AS failed_count FROM orders)"""
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """Ads with the outcome of their last availability check, told by their mileage."""
+    kind = F.floor(F.col("mileage_km") / 8000) % 7
+    status = F.when(kind.isin(1, 2, 3), "active").when(kind == 4, "missing").when(kind == 5, "missing:deactivated").when(kind == 6, "inconclusive")
+    return rows.withColumn("check_status", status).withColumn("checked_at", F.when(status.isNotNull(), F.col("last_seen_at")))
+
+
+CHECKED_SQL = f"""{LISTING_SQL}, checked AS (SELECT *, CASE WHEN check_status IS NOT NULL THEN last_seen_at END AS checked_at FROM (SELECT *, CASE (mileage_km // 8000) % 7 WHEN 1 THEN 'active' WHEN 2 THEN 'active' WHEN 3 THEN 'active'
+  WHEN 4 THEN 'missing' WHEN 5 THEN 'missing:deactivated' WHEN 6 THEN 'inconclusive' END AS check_status FROM listing))"""
