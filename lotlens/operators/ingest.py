@@ -125,8 +125,9 @@ def host_evidence(listings: DataFrame, checks: DataFrame) -> DataFrame:
     )
 
 
-def quality_reasons(current_year: int, text: Column) -> Column:
-    """The reasons against a listing, in their order."""
+def quality_reasons(current_year: int, text: Column, conflict: Column | None = None, drivetrain: Column | None = None, generation: Column | None = None) -> Column:
+    """The reasons against a listing, in their order. What a caller has no column for raises no reason."""
+    none = F.lit(False)
     price, km, year = F.col("price"), F.col("mileage_km"), F.col("model_year")
     age = F.greatest(F.lit(0), F.lit(current_year) - year)
     bad_price = price.isNull() | (price <= 0)
@@ -142,10 +143,13 @@ def quality_reasons(current_year: int, text: Column) -> Column:
         (~out_of_range & (mileage_status(km, age, text) == "suspicious"), "MILEAGE_IMPLAUSIBLE_FOR_AGE"),
         (year.isNull() | (year < 1886) | (year > current_year + 2), "MODEL_YEAR_OUT_OF_RANGE"),
         ((power < 1) | (power > 2_000), "HORSEPOWER_OUT_OF_RANGE"),
+        (none if conflict is None else conflict, "POWERTRAIN_CLASSIFICATION_CONFLICT"),
         ((F.trim("make") == "") | (F.trim("model") == ""), "MODEL_MISSING"),
         (F.col("fuel_type") == "other", "FUEL_TYPE_UNKNOWN"),
         (F.col("body_style") == "other", "BODY_STYLE_UNKNOWN"),
         (F.col("transmission") == "other", "TRANSMISSION_UNKNOWN"),
+        (none if drivetrain is None else F.coalesce(drivetrain, F.lit("other")).isin("", "other"), "DRIVETRAIN_UNKNOWN"),
+        (none if generation is None else F.coalesce(generation, F.lit("")) == "", "GENERATION_UNKNOWN"),
         ((F.col("seller_type") == "dealer") & (F.trim(F.coalesce("seller_name", F.lit(""))) == ""), "DEALER_IDENTITY_MISSING"),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))

@@ -102,11 +102,17 @@ def make_key(make: Column) -> Column:
     return F.regexp_replace(F.lower(make), "[^a-z0-9]", "")
 
 
+def _title(x: Column) -> Column:
+    """Lower case, but for a letter that follows no other letter, digit or underscore; initcap sees the gap put before it."""
+    gap = "\x01 "
+    return F.replace(F.initcap(F.regexp_replace(F.lower(x), "(?<![a-z0-9_])(?=[a-z])", gap)), F.lit(gap), F.lit(""))
+
+
 def canonical_make(make: Column) -> Column:
     """By alias; an unknown make in capitals is put in title case."""
     known = chain((make_key(make).isin(*keys), F.lit(name)) for name, keys in MAKES.items())
     trimmed = F.trim(make)
-    return F.coalesce(known, F.when(trimmed.rlike("^[A-ZÅÄÖ0-9 .&-]{3,}$"), F.initcap(F.lower(trimmed))).otherwise(trimmed))
+    return F.coalesce(known, F.when(trimmed.rlike("^[A-ZÅÄÖ0-9 .&-]{3,}$"), _title(trimmed)).otherwise(trimmed))
 
 
 def tidy(model: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters with diacritics and what they become.
-_MARKED, _PLAIN = "åäáàâãéèêëíìîïóòôõöúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy"
+#: Letters that are an ASCII letter with marks, by their canonical decomposition, and that letter.
+_BASES = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+_MARKED = "".join(c for c, base in _BASES.items() if base != c and base.isascii() and base.isalpha())
+_PLAIN = "".join(_BASES[c].lower() for c in _MARKED)
 #: Wordings.
 LEASE = r"(?i)\b(privatleasing|f[öo]retagsleasing|billeasing|leasingpris|kontantinsats|handpenning|m[åa]nadskostnad)\b"
 WITHOUT_VAT = r"(?i)\b(exkl\.?\s*moms|exklusive\s+moms|moms\s+tillkommer|pris\s+ex\.?\s*moms)\b"
@@ -33,7 +37,8 @@ KINDS = [
 
 def searchable(text: Column) -> Column:
     """Lower case, no diacritics, one space for whatever is no letter or digit."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED, _PLAIN)
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\u0300-\u036f]", "")
+    plain = F.translate(bare, _MARKED, _PLAIN)
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lotlens.functions import rules as r
-from lotlens.operators import reports, upkeep, valuation
+from lotlens.operators import ingest, reports, upkeep, valuation
 from lotlens.plans.queries import _PLAUSIBLE, _WINDOW, ACTIVE_SQL, AS_OF, DAY_END, _window, live, query, rounded
+from lotlens.sources import parsers
 from lotlens.sources.tables import CHECKED_SQL, LISTING_SQL, OBSERVATION_SQL, RUN_SQL, checked, listings, observations, runs, table
 
 FROM, TO = datetime(2000, 1, 1), datetime(2000, 3, 1)
@@ -90,10 +91,10 @@ def q20_r21_removed_to_date(spark, sf):
     return reports.removed_to_date(listings(spark, sf), "s1")
 
 
-@query(f"""WITH {LISTING_SQL}, i AS (SELECT listing_id, greatest(0, 2002 - model_year) AS age, mileage_km AS km, nullif((horsepower // 5) % 9, 0) AS owners, CASE (mileage_km // 8000) % 4 WHEN 0 THEN 40 WHEN 1 THEN 100 WHEN 2 THEN 62 ELSE 25 END AS service,
+@query(f"""WITH {LISTING_SQL}, i AS (SELECT listing_id, greatest(0, 2002 - model_year) AS age, mileage_km AS km, nullif((horsepower // 5) % 9, 0) AS owners, CAST(CASE (mileage_km // 8000) % 4 WHEN 0 THEN 40 WHEN 1 THEN 100 WHEN 2 THEN 62 ELSE 25 END AS DOUBLE) AS service,
   (mileage_km // 8000) % 4 <> 0 AS told FROM listing), s AS (SELECT *, {_piecewise('age', valuation.CONDITION_AGE)} AS sa, {_piecewise('km', valuation.CONDITION_MILEAGE)} AS sk, CASE WHEN owners IS NULL THEN 45 ELSE {_piecewise('owners', valuation.CONDITION_OWNERS)} END AS so FROM i)
-SELECT listing_id, round(sa, 6) AS age_score, round(sk, 6) AS mileage_score, round(so, 6) AS owner_score, round(CAST(service AS DOUBLE), 6) AS service_score,
-  CAST(greatest(10, least(95, floor(round(0.34 * sa + 0.3 * sk + 0.2 * service + 0.16 * so - CASE WHEN owners IS NULL AND NOT told THEN 4 ELSE 0 END, 9) + 0.5))) AS BIGINT) AS buy_confidence FROM s""")
+SELECT listing_id, round(sa, 6) AS age_score, round(sk, 6) AS mileage_score, round(so, 6) AS owner_score, round(service, 6) AS service_score,
+  CAST(greatest(10, least(95, floor(0.34 * sa + 0.3 * sk + 0.2 * service + 0.16 * so - CASE WHEN owners IS NULL AND NOT told THEN 4 ELSE 0 END + 0.5))) AS BIGINT) AS buy_confidence FROM s""")
 def v9_confidence(spark, sf):
     kind = F.floor(F.col("mileage_km") / 8000) % 4
     service = F.when(kind == 1, "complete").when(kind == 2, "partial").when(kind == 3, "missing")
@@ -266,3 +267,31 @@ def q13_trend_deltas(spark, sf):
 @query(f"WITH {LISTING_SQL} SELECT body_style AS given, CASE WHEN body_style IN ('estate', 'suv') THEN body_style ELSE 'other' END AS body, count(*) AS n FROM listing GROUP BY 1, 2")
 def p19_coerced(spark, sf):
     return listings(spark, sf).groupBy(F.col("body_style").alias("given"), upkeep.coerced(F.col("body_style"), ["estate", "suv"], "other").alias("body")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LISTING_SQL}, x AS (SELECT listing_id, list_filter([CASE WHEN price <= 0 THEN 'PRICE_NOT_POSITIVE' END, CASE WHEN price > 0 AND price < greatest(3000, 25000 - 2000 * (2002 - model_year)) THEN 'PRICE_BELOW_MODEL_YEAR_FLOOR' END,
+ CASE WHEN mileage_km BETWEEN 0 AND 1000000 AND mileage_km <> 0 AND ((2002 - model_year >= 5 AND mileage_km < 1000) OR (2002 - model_year <= 1 AND mileage_km > 100000) OR (2002 - model_year <= 3 AND mileage_km > 200000)) THEN 'MILEAGE_IMPLAUSIBLE_FOR_AGE' END,
+ CASE WHEN horsepower % 11 = 0 THEN 'POWERTRAIN_CLASSIFICATION_CONFLICT' END, CASE WHEN body_style = 'other' THEN 'BODY_STYLE_UNKNOWN' END, CASE WHEN horsepower % 2 = 0 THEN 'DRIVETRAIN_UNKNOWN' END, CASE WHEN model_year < 1995 THEN 'GENERATION_UNKNOWN' END], lambda v: v IS NOT NULL) AS r FROM listing)
+SELECT listing_id, array_to_string(r, ',') AS reasons, CASE WHEN list_has_any(r, ['PRICE_NOT_POSITIVE', 'PRICE_BELOW_MODEL_YEAR_FLOOR', 'MILEAGE_IMPLAUSIBLE_FOR_AGE', 'POWERTRAIN_CLASSIFICATION_CONFLICT']) THEN 'rejected' WHEN len(r) > 0 THEN 'warning' ELSE 'valid' END AS status FROM x""")
+def g17_all_reasons(spark, sf):
+    hp = F.col("horsepower")
+    reasons = ingest.quality_reasons(AS_OF.year, F.col("variant"), hp % 11 == 0, F.when(hp % 2 == 0, "other").otherwise("front"), F.when(F.col("model_year") >= 1995, "II"))
+    return listings(spark, sf).select("listing_id", F.array_join(reasons, ",").alias("reasons"), ingest.quality_status(reasons).alias("status"))
+
+
+@query("""SELECT event_id, TRY_CAST(regexp_extract(replace(concat('ca ', CAST(value AS VARCHAR), ' l/100 km'), ',', '.'), '[0-9.]+') AS DOUBLE) AS litres FROM events WHERE value >= 0.001 AND value < 1000000""")
+def x10_fuel_consumption(spark, sf):
+    e = table(spark, sf, "events").filter("value >= 0.001 and value < 1000000")
+    return e.select("event_id", parsers.fuel_consumption(F.concat(F.lit("ca "), F.col("value").cast("string"), F.lit(" l/100 km"))).alias("litres"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN NULL WHEN 3 THEN 302 ELSE 200 END AS status, CASE WHEN page_id % 5 = 0 THEN concat(html, '<p>Varan har SÅLTS eller tagits bort</p>') WHEN page_id % 11 = 0 THEN concat(html, 'Sidan hittades inte') ELSE html END AS html FROM pages)
+SELECT page_id, CASE WHEN status IN (404, 410) THEN 'missing' WHEN status IS NULL OR status < 200 OR status >= 300 THEN 'inconclusive' WHEN html IS NULL OR length(html) < 200 THEN 'inconclusive'
+ WHEN regexp_matches(html, '(?i)annonsen är inte längre tillgänglig|varan har sålts eller tagits bort|har sålts eller tagits bort från marknaden') THEN 'missing' WHEN regexp_matches(html, '(?i)sidan (?:kunde inte hittas|hittades inte|kunde inte hämtas)|hittade inte sidan') THEN 'missing' ELSE 'active' END AS availability,
+ CASE WHEN status IN (404, 410) THEN 'purged' WHEN status IS NULL OR status < 200 OR status >= 300 OR html IS NULL OR length(html) < 200 THEN NULL
+ WHEN regexp_matches(html, '(?i)annonsen är inte längre tillgänglig|varan har sålts eller tagits bort|har sålts eller tagits bort från marknaden') THEN 'deactivated' WHEN regexp_matches(html, '(?i)sidan (?:kunde inte hittas|hittades inte|kunde inte hämtas)|hittade inte sidan') THEN 'purged' END AS kind FROM p""")
+def x12_page_availability(spark, sf):
+    k, html = F.col("page_id"), F.col("html")
+    status = F.when(k % 7 == 0, 404).when(k % 7 == 1, 429).when(k % 7 == 2, None).when(k % 7 == 3, 302).otherwise(200)
+    told = F.when(k % 5 == 0, F.concat(html, F.lit("<p>Varan har SÅLTS eller tagits bort</p>"))).when(k % 11 == 0, F.concat(html, F.lit("Sidan hittades inte"))).otherwise(html)
+    return table(spark, sf, "pages").select("page_id", parsers.page_availability(status, told).alias("v")).select("page_id", "v.availability", "v.kind")

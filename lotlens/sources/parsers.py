@@ -107,3 +107,86 @@ def export(rows: DataFrame, path: str, *order: str) -> str:
     rows.write.mode("errorifexists").json(path)
     digest = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("d")).agg(F.sha2(F.concat_ws("|", F.count("*"), F.min("d"), F.max("d"), F.sum(F.conv(F.substring("d", 1, 12), 16, 10).cast("decimal(38,0)"))), 256))
     return digest.first()[0]
+
+
+def fuel_consumption(raw: Column) -> Column:
+    """The first number of a text, a comma being a decimal point."""
+    return F.regexp_extract(F.replace(raw, F.lit(","), F.lit(".")), r"([0-9.]+)", 1).try_cast("double")
+
+
+#: Wording of pages whose ad is gone, of challenges, and of headings.
+PAGE_DEACTIVATED = "(?iu)annonsen är inte längre tillgänglig|varan har sålts eller tagits bort|har sålts eller tagits bort från marknaden"
+PAGE_NOT_FOUND = "(?iu)sidan (?:kunde inte hittas|hittades inte|kunde inte hämtas)|hittade inte sidan"
+CHALLENGE = "(?i)cf-chl-|challenge-platform|verify you are human|captcha-container"
+HEADING_GONE = "(?iu)^(?:(?:den h[äa]r |denna )?(?:annons(?:en)?|bil(?:en)?|fordon(?:et)?)\\s+(?:[äa]r\\s+)?(?:s[åa]ld|borttagen|inte l[äa]ngre tillg[äa]nglig)|annonsen (?:finns inte|har tagits bort))"
+HEADING_RESERVED = "(?iu)^(?:(?:den h[äa]r |denna )?bil(?:en)?\\s+(?:[äa]r\\s+)?reserverad)"
+BADGE = "(?iu)>\\s*(?:(?:den h[äa]r |denna )?bil(?:en)?\\s+(?:[äa]r\\s+)?)?(?:s[åa]ld|reserverad|sold|reserved)\\s*<"
+
+
+def page_availability(status: Column, html: Column) -> Column:
+    """A struct (availability, kind) of an ad's page: missing pages are purged or deactivated."""
+    verdict = lambda a, k=None: F.struct(F.lit(a).alias("availability"), F.lit(k).cast("string").alias("kind"))
+    return (
+        F.when(status.isin(404, 410), verdict("missing", "purged"))
+        .when(status.isNull() | (status < 200) | (status >= 300), verdict("inconclusive"))
+        .when(html.isNull() | (F.length(html) < 200), verdict("inconclusive"))
+        .when(html.rlike(PAGE_DEACTIVATED), verdict("missing", "deactivated"))
+        .when(html.rlike(PAGE_NOT_FOUND), verdict("missing", "purged"))
+        .otherwise(verdict("active"))
+    )
+
+
+def _path(url: Column) -> Column:
+    return F.lower(F.regexp_replace(F.try_url_decode(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), "/+$", ""))
+
+
+def host_availability(status: Column, html: Column, url: Column, listing_url: Column) -> Column:
+    """X11: a struct (availability, price) of what the seller's own page shows of an ad: active, missing, reserved or inconclusive.
+
+    The page's main offer is the first JSON-LD script that has one. A page is active only if it is the ad's own and
+    its offer has a price.
+    """
+    part = lambda p: F.regexp_extract(html, p, 1)
+    heading = F.trim(F.regexp_replace(part(r"(?is)<h1\b[^>]*>(.*?)</h1>"), "<[^>]*>", " "))
+    canonical = F.coalesce(F.nullif(part(r"""(?i)<link\b[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)"""), F.lit("")), F.nullif(part(r"""(?i)<link\b[^>]*href=["']([^"']+)["'][^>]*rel=["']canonical["']"""), F.lit("")))
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    car = F.get(F.filter(F.transform(scripts, lambda x: F.from_json(x, "url string, offers struct<availability:string, price:string>")), lambda c: c["offers"].isNotNull()), F.lit(0))
+    offered = F.lower(F.element_at(F.split(F.coalesce(car["offers"]["availability"], F.lit("")), "/"), -1))
+    rendered = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", "")
+    price = car["offers"]["price"].try_cast("double")
+    verdict = lambda a, p=None: F.struct(F.lit(a).alias("availability"), (F.lit(None) if p is None else F.floor(p + 0.5)).cast("long").alias("price"))
+    other = lambda u: u.isNotNull() & (_path(u) != _path(listing_url))
+    return (
+        F.when(status.isNull() | status.isin(401, 403, 408, 425, 429) | (status >= 500) | F.coalesce(html.rlike(CHALLENGE), F.lit(False)), verdict("inconclusive"))
+        .when(status.isin(404, 410), verdict("missing"))
+        .when((status < 200) | (status >= 300) | (F.coalesce(F.length(html), F.lit(0)) < 100), verdict("inconclusive"))
+        .when(heading.rlike(HEADING_GONE), verdict("missing"))
+        .when(heading.rlike(HEADING_RESERVED), verdict("reserved"))
+        .when(other(canonical) | other(F.coalesce(url, F.lit(""))) | other(car["url"]), verdict("inconclusive"))
+        .when(offered.isin("soldout", "outofstock", "discontinued"), verdict("missing"))
+        .when(offered.isin("reserved", "preorder"), verdict("reserved"))
+        .when(rendered.rlike(BADGE) | ~F.coalesce(price > 0, F.lit(False)), verdict("inconclusive"))
+        .otherwise(verdict("active", price))
+    )
+
+
+def detail(payload: Column) -> Column:
+    """A struct (description, equipment, specifications, images) of an ad's JSON; blank texts are left out, images may be unknown."""
+    d = F.from_json(payload, "description string, equipment array<string>, specifications map<string,string>, publicPageImageUrls array<string>")
+    told = lambda x: F.trim(x) != ""
+    listed = lambda c: F.transform(F.filter(c, told), lambda x: F.trim(x))
+    return F.struct(
+        F.nullif(F.trim(d["description"]), F.lit("")).alias("description"),
+        F.coalesce(listed(d["equipment"]), F.array().cast("array<string>")).alias("equipment"),
+        F.transform_values(F.map_filter(F.coalesce(d["specifications"], F.create_map().cast("map<string,string>")), lambda _, v: told(v)), lambda _, v: F.trim(v)).alias("specifications"),
+        listed(d["publicPageImageUrls"]).alias("images"),
+    )
+
+
+def located(rows: DataFrame, name: str, places: DataFrame) -> DataFrame:
+    """Latitude and longitude by a town's name, else by the last word of the name. places (place, latitude, longitude) is small."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"\s+kommun$", ""), r"\s+", " ")
+    at = lambda k: places.select(F.col("place").alias(k), F.struct("latitude", "longitude").alias(f"at_{k}"))
+    keyed = rows.withColumn("whole", key).withColumn("last", F.element_at(F.split("whole", " "), -1))
+    found = keyed.join(at("whole"), "whole", "left").join(at("last"), "last", "left")
+    return found.withColumn("at", F.coalesce("at_whole", "at_last")).select(*rows.columns, F.col("at.latitude").alias("latitude"), F.col("at.longitude").alias("longitude"))
