@@ -4,8 +4,8 @@ Every document starts at a rate of one. The rates nearest to that in relative en
 target number of words, and no document more than `cap` copies, are `min(cap, exp(lambda_source * size))`. The
 dual is convex and separable by source; Newton's steps on it (taken on the logarithm of a source's words, which is
 flatter) run as joins and sums over the (source, size)
-histogram of the corpus, so that a step reads neither texts nor documents. The rates of a source are then rounded
-into whole copies from its longest size class to its shortest, each class taking up what the ones before it left.
+histogram of the corpus, so that a step reads neither texts nor documents. The rates are then rounded
+into whole copies: no document gets more than its rate rounded up or less than its rate rounded down.
 
 Defined results: a null text counts as empty (size 0, one copy); a null source is a source of its own, the last;
 rows alike in doc_id and text are treated alike; an empty table gives an empty one; columns of the input are kept,
@@ -17,8 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,23 +97,19 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     return state.select("source", "source_size", "target", "lam")
 
 
-def _whole_copies(cap: int):
-    """Copies of each size class of a source: what its rate asks for, and what longer classes left over."""
+def whole_copies(rated: DataFrame, cap: int) -> DataFrame:
+    """Add the copies of each (source, size) class to (source, size, n, rate): systematic rounding within a source.
 
-    def of_source(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size", ascending=False, ignore_index=True)
-        size, n, rate = pdf["size"].to_numpy(), pdf["n"].to_numpy(), pdf["rate"].to_numpy()
-        copies, owed = np.zeros(len(pdf), dtype=np.int64), 0.0
-        for k in range(len(pdf)):
-            if size[k] == 0:
-                copies[k] = n[k]
-                continue
-            owed += size[k] * n[k] * rate[k]
-            copies[k] = min(max(int(owed / size[k] + 1e-9), 0), cap * int(n[k]))
-            owed -= int(size[k]) * int(copies[k])
-        return pdf.assign(copies=copies)[["source", "size", "copies"]]
-
-    return of_source
+    The copies asked for are summed from the longest class to the shortest, and a class gets what the rounded sum
+    grows by: its copies are what its rate asks for rounded down or up, and a source's words end within half its
+    longest document of what the rates give. A source has a row for each length of its documents only.
+    """
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    asked = F.when(F.col("size") > 0, F.col("n") * F.col("rate")).otherwise(0.0)
+    upto = F.floor(F.sum(asked).over(order.rowsBetween(Window.unboundedPreceding, 0)) + 0.5)
+    summed = rated.withColumn("upto", upto)
+    share = F.col("upto") - F.lag("upto", 1, 0).over(order)
+    return summed.withColumn("copies", F.when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.greatest(share, F.lit(0)), cap * F.col("n")))).drop("upto")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, into: str = "mix") -> DataFrame:
@@ -133,10 +127,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, int
     rated = classes.join(of, classes["source"].eqNullSafe(of["of"])).withColumn(
         "rate", F.when(F.col("size") == 0, 1.0).otherwise(F.exp(F.least(F.col("lam") * F.col("size"), F.lit(math.log(cap)))))
     )
-    copies = rated.select("source", "size", "n", "rate").groupBy("source").applyInPandas(_whole_copies(cap), "source string, size long, copies long")
-    copies = copies.select(F.col("source").alias("of2"), F.col("size").alias("size2"), "copies")
     plan = settle(
-        rated.join(copies, rated["source"].eqNullSafe(F.col("of2")) & (F.col("size") == F.col("size2")))
+        whole_copies(rated, cap)
         .withColumn("base", F.floor(F.col("copies") / F.col("n")))
         .withColumn("extra", F.col("copies") - F.col("base") * F.col("n"))
         .select("source", "size", "source_size", "target", "rate", "base", "extra")

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -34,6 +35,7 @@ def check(docs):
     taken, longest = defaultdict(int), defaultdict(int)
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.copies <= 3 and 0 < r.rate <= 3
+        assert math.floor(r.rate + 1e-9) <= r.copies <= math.ceil(r.rate - 1e-9)
         taken[r.source] += r["size"] * r.copies
         longest[r.source] = max(longest[r.source], r["size"])
     for s in sizes:
