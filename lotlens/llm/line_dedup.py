@@ -9,7 +9,7 @@ verified links are joined to components by distributed union-find.
 Each band is first linked through one representative. What that leaves in different components is compared again:
 pair by pair in bands of up to PAIRED lines, and in larger ones by an exact search, since two sets of Jaccard
 similarity 0.8 share one of the first fifth of the larger set, in any order common to all lines, that is also of the
-first ninth of the smaller one. Rare shingles come first. Everything is built from DataFrame functions.
+first ninth of the smaller one; of so many more on either side, they share as many more. Rare shingles come first. Everything is built from DataFrame functions.
 
 Lines are compared in lower case with white space collapsed. Of a component the occurrence with the smallest
 (doc_id, text hash, line number) stays, null ids last.
@@ -35,8 +35,14 @@ SIGNATURE, ROWS = 5, 3
 PAIRED = 40
 #: Counters of shingles that order them from rare to common; shingles of one counter are ordered by their hash.
 COUNTERS = 1 << 15
+#: Share of a line's shingles that its searched ones are more than the least, and that pairs must share beyond one.
+MORE = 0.05
 #: Tables of line hashes up to this number are broadcast; larger ones are joined by a shuffle.
 BROADCAST_LINES = 500_000
+#: Shingles whose sets are broadcast to the pairs, at most.
+BROADCAST_SHINGLES = 8_000_000
+#: Pairs that one task compares.
+PAIRS_A_TASK = 20_000
 
 
 def normal(line: Column) -> Column:
@@ -109,10 +115,21 @@ def _sizes(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose lines reach the similarity, by exact comparison of all shingles."""
-    u, v = texts.select(F.col("hash").alias("u"), F.col("norm").alias("a"), F.col("size").alias("na")), texts.select(F.col("hash").alias("v"), F.col("norm").alias("b"), F.col("size").alias("nb"))
-    both = pairs.join(u, "u").join(v, "v").filter(_sizes("na", "nb"))
-    shared = F.size(F.array_intersect(all_shingles(F.col("a")), all_shingles(F.col("b"))))
+    """The pairs (u, v) whose lines reach the similarity, by exact comparison of all shingles.
+
+    Where the lines of the pairs have few shingles together, their sets are made once and broadcast; beyond, texts
+    are joined to the pairs and sets made for each.
+    """
+    ids = settle(pairs.select(F.explode(F.array("u", "v")).alias("hash")).distinct())
+    known = texts.join(small_or_none(ids, BROADCAST_LINES) or ids, "hash")
+    few = (known.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_SHINGLES
+    held = settle(known.select("hash", "size", shingles(F.col("norm")).alias("own") if few else F.col("norm").alias("own")))
+    u, v = (held.select(F.col("hash").alias(key), F.col("own").alias(own), F.col("size").alias(n)) for key, own, n in (("u", "a", "na"), ("v", "b", "nb")))
+    # A pair is few bytes and much work, so their bytes don't say how many tasks they need.
+    pairs = pairs.repartition(pairs.count() // PAIRS_A_TASK + 1, "u", "v")
+    both = pairs.join(F.broadcast(u) if few else u, "u").join(F.broadcast(v) if few else v, "v").filter(_sizes("na", "nb"))
+    of = (lambda c: F.col(c)) if few else (lambda c: all_shingles(F.col(c)))
+    shared = F.size(F.array_intersect(of("a"), of("b")))
     return both.select("u", "v", "na", "nb", shared.alias("shared")).filter(F.col("shared") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("shared"))).select("u", "v")
 
 
@@ -141,7 +158,8 @@ def crowd_apart(met: DataFrame, texts: DataFrame) -> DataFrame:
     order = settle(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", F.coalesce("n", F.lit(0)).alias("n")))), lambda e: e["n"]).alias("order")))
     ranked = crowd.crossJoin(F.broadcast(order)).select("hash", "root", F.sort_array(F.transform("grams", lambda g: F.struct(F.get("order", counter(g)).alias("n"), g.alias("g")))).alias("grams"))
     size = F.size("grams")
-    first = lambda share: F.floor(size * share + 1e-9).cast("int") + 1
+    more = F.floor(size * MORE)
+    first = lambda share: (F.floor(size * share + 1e-9) + 1 + more).cast("int")
     keys = settle(
         ranked.select("hash", "root", size.alias("size"), first((1 - SIMILARITY) / (1 + SIMILARITY)).alias("few"), F.posexplode(F.slice("grams", F.lit(1), first(1 - SIMILARITY))).alias("at", "gram"))
         .select("hash", "root", "size", (F.col("at") < F.col("few")).alias("small"), F.col("gram.g").alias("key"))
@@ -155,7 +173,9 @@ def crowd_apart(met: DataFrame, texts: DataFrame) -> DataFrame:
     # Lines of the commonest component of a key are one already; they meet the others, never each other.
     met_again = large.filter("xa").join(small, "key").unionByName(large.filter("not xa").join(small.filter("xb"), "key"))
     fits = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    return met_again.filter("ra <> rb").filter(fits & (F.col("nb") >= SIMILARITY * F.col("na"))).select(*_pair("a", "b")).distinct()
+    fits = fits & (F.col("nb") >= SIMILARITY * F.col("na"))
+    tally = met_again.filter("ra <> rb").filter(fits).groupBy(*_pair("a", "b")).agg(F.count("*").alias("n"), F.first("nb").alias("nb"))
+    return tally.filter(F.col("n") > F.floor(F.col("nb") * MORE)).select("u", "v")
 
 
 def joined(occurrences: DataFrame) -> DataFrame:
