@@ -11,7 +11,8 @@ if and only if they share such a value, so that linking each value's fingerprint
 the same components with work in proportion to the fingerprints.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked to
-whatever lies within four bits of it; rows alike are linked; component_id is null only where no member has an id.
+whatever lies within four bits of it; rows alike are linked; component_id is null only where no member has an id; of rows
+with one id and one text one_of_each keeps one; an empty table gives an empty one; texts may be of any length.
 """
 
 from __future__ import annotations
