@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from lotlens.functions.rules import first_by, haversine_km
 
 
+#: Width of a price step of similar cars, on a log scale.
+PRICE_STEP = 0.1
+
+
 @dataclass(frozen=True)
 class Search:
     """Optional predicates, all of which must hold; a reversed range loses its lower bound."""
@@ -99,14 +103,17 @@ def representatives(listings: DataFrame, *order: Column) -> DataFrame:
 def similar(targets: DataFrame, listings: DataFrame, budget: float = 0.2, years: int = 5, per_source: int = 6, top: int = 12) -> DataFrame:
     """Q17: for each target, other cars of its body, fuel and gearbox within budget and years, nearest first.
 
-    One ad a vehicle, at most `per_source` of a provider. The price range is a band join: prices are cut in steps a
-    fifth apart on a log scale, and a target meets its own step and the ones beside it.
+    One ad a vehicle, at most `per_source` of a provider. Price and model year are a band join in two dimensions: prices are
+    cut in steps on a log scale, years in spans, and a target meets the steps that its range reaches.
     """
-    step = lambda c: F.floor(F.log(c) / 0.25).cast("int")
+    step = lambda c: F.floor(F.log(c) / PRICE_STEP).cast("int")
+    span = lambda c: F.floor(c / years).cast("int")
     t = targets.filter("body_style <> 'other'").select(*[F.col(c).alias(f"t_{c}") for c in ("listing_id", "vehicle_id", "make", "model", "body_style", "fuel_type", "transmission", "price", "model_year", "mileage_km", "horsepower")])
-    t = t.withColumn("t_step", F.explode(F.array(*[step(F.col("t_price")) + k for k in (-1, 0, 1)])))
-    c = listings.filter("price > 0").withColumn("step", step(F.col("price")))
-    same = (F.col("t_body_style") == F.col("body_style")) & (F.col("t_fuel_type") == F.col("fuel_type")) & (F.col("t_transmission") == F.col("transmission")) & (F.col("t_step") == F.col("step"))
+    price, year = F.col("t_price"), F.col("t_model_year")
+    t = t.filter("t_price > 0").withColumn("t_step", F.explode(F.sequence(step(price * (1 - budget)), step(price * (1 + budget))))).withColumn("t_span", F.explode(F.sequence(span(year - years), span(year + years))))
+    c = listings.filter("price > 0").select("listing_id", "vehicle_id", "make", "model", "body_style", "fuel_type", "transmission", "price", "model_year", "mileage_km", "horsepower", "provider")
+    c = c.withColumn("step", step(F.col("price"))).withColumn("span", span(F.col("model_year")))
+    same = (F.col("t_body_style") == F.col("body_style")) & (F.col("t_fuel_type") == F.col("fuel_type")) & (F.col("t_transmission") == F.col("transmission")) & (F.col("t_step") == F.col("step")) & (F.col("t_span") == F.col("span"))
     near = (F.col("vehicle_id") != F.col("t_vehicle_id")) & (F.abs(F.col("price") / F.col("t_price") - 1) <= budget) & (F.abs(F.col("model_year") - F.col("t_model_year")) <= years)
     distance = (
         3 * F.abs(F.log(F.col("price") / F.col("t_price")))

@@ -67,18 +67,21 @@ def with_optional(df: DataFrame) -> DataFrame:
 def comparables(targets: DataFrame, pool: DataFrame, enough: int = FIT) -> DataFrame:
     """V1 to V3: scored pairs of one make, model and fuel, widened from tier A down until `enough` are in.
 
-    A tier takes part if the tiers above it hold fewer than `enough`. The join is an equi-join; AQE splits models
-    that are skewed.
+    A tier takes part if the tiers above it hold fewer than `enough`. All pairs of a cohort: for the 40 that decide a
+    valuation see operators/nearest.py. Only the columns that are scored go through the join, and the counts are windows
+    over what the join has dealt.
     """
-    t = with_optional(targets)
-    t = t.select(*[F.col(n).alias(f"t_{n}") for n in t.columns])
+    columns = ["listing_id", "vehicle_id", "make", "model", "fuel_type", *OPTIONAL, "transmission", "body_style", "model_year", "mileage_km", "seller_type"]
+    t = with_optional(targets).select(*[F.col(n).alias(f"t_{n}") for n in columns])
+    c = with_optional(pool).select(*columns, "price", "age_days")
     same = (F.col("make") == F.col("t_make")) & (F.col("model") == F.col("t_model")) & (F.col("fuel_type") == F.col("t_fuel_type"))
-    pairs = with_optional(pool).join(t, same & (F.col("listing_id") != F.col("t_listing_id")) & (F.col("vehicle_id") != F.col("t_vehicle_id")))
+    pairs = c.join(t, same & (F.col("listing_id") != F.col("t_listing_id")) & (F.col("vehicle_id") != F.col("t_vehicle_id")))
     scored = pairs.withColumn("similarity", similarity()).withColumn("tier", tier(F.col("similarity")))
-    counts = scored.groupBy("t_listing_id").agg(*[F.count_if(F.col("tier") == k).alias(f"n_{k}") for k in "ABC"])
+    scored = scored.select("t_make", "t_model", "t_fuel_type", *TARGET, "listing_id", "price", "model_year", "mileage_km", "age_days", "similarity", "tier")
+    target = Window.partitionBy("t_make", "t_model", "t_fuel_type", *TARGET)
+    scored = scored.withColumns({f"n_{k}": F.count_if(F.col("tier") == k).over(target) for k in "ABC"})
     above = F.when(F.col("tier") == "A", F.lit(0)).when(F.col("tier") == "B", F.col("n_A")).when(F.col("tier") == "C", F.col("n_A") + F.col("n_B")).otherwise(F.col("n_A") + F.col("n_B") + F.col("n_C"))
-    kept = scored.join(counts, "t_listing_id").filter(above < enough)
-    return kept.withColumn("weight", tier_weight(F.col("tier")) * recency(F.col("age_days")))
+    return scored.filter(above < enough).withColumn("weight", tier_weight(F.col("tier")) * recency(F.col("age_days")))
 
 
 def weighted_percentile(rows: DataFrame, key: str, value: str, weight: str, fractions: dict[str, float], *ties: str) -> DataFrame:
@@ -101,45 +104,93 @@ def _crossing(p: float) -> Column:
     return F.coalesce(F.min_by(F.when(F.col("upto") >= target, at), F.when(F.col("upto") >= target, F.col("upto"))), F.max("v"))
 
 
-def value(pairs: DataFrame, as_of_year: int) -> DataFrame:
-    """V4: market value and range of each target from its comparables, with method and sample size.
+#: What is kept of a target, and of a candidate of its.
+TARGET = ["t_listing_id", "t_model_year", "t_mileage_km"]
+CANDIDATE = ["listing_id", "tier", "similarity", "weight", "close", "price", "model_year", "mileage_km", "age_days"]
+
+
+def sane() -> Column:
+    return F.coalesce(F.col("price").between(3_000, 3_000_000) & F.col("mileage_km").between(0, 1_000_000) & F.col("model_year").isNotNull(), F.lit(False))
+
+
+def nearest_of(found: Column, n: int = NEAREST) -> Column:
+    """The n heaviest of an array of candidates, the closer first where weights are equal."""
+    order = F.transform(found, lambda c: F.struct((-c["weight"]).alias("weight"), c["close"].alias("close"), c["listing_id"].alias("listing_id"), c.alias("c")))
+    return F.transform(F.slice(F.sort_array(order), 1, n), lambda x: x["c"])
+
 
-    Nearest 40 by weight, then closeness; prices far from their median go; a weighted fit on age and mileage shifts
-    each price to the target if its slopes fall; weighted percentiles of the shifted prices are clamped and rounded.
+def _median(values: Column) -> Column:
+    s = F.sort_array(values)
+    return (F.get(s, F.floor((F.size(values) - 1) / 2).cast("int")) + F.get(s, F.ceil((F.size(values) - 1) / 2).cast("int"))) / 2
+
+
+def _sum(rows: str, of) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda s, c: s + of(c))
+
+
+def _weighted(p: float) -> Column:
+    """A14 over `shifted`, sorted by value: the value where the running weight reaches a share of the whole, interpolated."""
+    target = F.lit(p) * F.col("total")
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("at"))
+
+    def step(s: Column, c: Column) -> Column:
+        upto = s["upto"] + c["weight"]
+        here = F.when(s["before"].isNull(), c["value"]).otherwise(s["before"] + (target - s["upto"]) / c["weight"] * (c["value"] - s["before"]))
+        return F.struct(upto.alias("upto"), c["value"].alias("before"), F.when(s["at"].isNotNull(), s["at"]).when(upto >= target, here).alias("at"))
+
+    last = F.aggregate("shifted", start, step)
+    return F.coalesce(last["at"], F.element_at("shifted", -1)["value"])
+
+
+def valued(compared: DataFrame, as_of_year: int) -> DataFrame:
+    """V4: market value and range of each target from its nearest comparables; none where too few are left.
+
+    Prices far from their median go; a weighted fit on age and mileage shifts each price to the target if its slopes fall;
+    weighted percentiles of the shifted prices are clamped and rounded. Arrays hold NEAREST comparables at most.
     """
-    key = "t_listing_id"
-    rows = pairs.withColumn("age", (F.lit(as_of_year) - F.col("model_year")).cast("double")).withColumn("t_age", (F.lit(as_of_year) - F.col("t_model_year")).cast("double"))
-    sane = rows.filter(F.col("price").between(3_000, 3_000_000) & F.col("mileage_km").between(0, 1_000_000))
-    closeness = F.abs(F.col("age") - F.col("t_age")) * 60_000 + F.abs(F.col("mileage_km") - F.col("t_mileage_km"))
-    nearest = sane.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), closeness, "listing_id"))).filter(F.col("k") <= NEAREST)
-    w = Window.partitionBy(key)
-    near = nearest.withColumn("n", F.count("*").over(w)).withColumn("mid", F.percentile("price", 0.5).over(w)).filter((F.col("n") >= LEAST) & ((F.col("n") < 4) | F.col("price").between(0.4 * F.col("mid"), 2.5 * F.col("mid"))))
-    weighted = lambda c: F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum("weight"))
-    means = near.groupBy(key).agg(F.count("*").alias("m"), F.percentile("price", 0.5).alias("plain"), weighted("age").alias("ma"), weighted("mileage_km").alias("mk"), weighted("price").alias("mp"), (F.max("age") - F.min("age")).alias("spread"), F.coalesce(F.try_divide(F.pow(F.sum("weight"), 2), F.sum(F.pow("weight", F.lit(2)))), F.lit(0.0)).alias("effective"))
-    a, k, p, wt = F.col("age") - F.col("ma"), F.col("mileage_km") - F.col("mk"), F.col("price") - F.col("mp"), F.col("weight")
-    near = near.drop("n", "mid").join(means.filter(F.col("m") >= LEAST), key)
-    sums = near.groupBy(key).agg(F.sum(wt * a * a).alias("aa"), F.sum(wt * k * k).alias("kk"), F.sum(wt * a * k).alias("ak"), F.sum(wt * a * p).alias("ap"), F.sum(wt * k * p).alias("kp"), F.first("m").alias("rows"), F.first("spread").alias("s"))
+    rows = compared.filter(F.size("near") >= LEAST).withColumn("mid", _median(F.transform("near", lambda c: c["price"])))
+    inside = F.filter("near", lambda c: c["price"].between(0.4 * F.col("mid"), 2.5 * F.col("mid")))
+    rows = rows.withColumn("used", F.when(F.size("near") < 4, F.col("near")).otherwise(inside)).drop("near", "mid").filter(F.size("used") >= LEAST)
+    age = lambda c: (F.lit(as_of_year) - c["model_year"]).cast("double")
+    rows = rows.withColumns({"plain": _median(F.transform("used", lambda c: c["price"])), "total": _sum("used", lambda c: c["weight"]), "squares": _sum("used", lambda c: c["weight"] * c["weight"])})
+    mean = lambda of: F.try_divide(_sum("used", lambda c: c["weight"] * of(c)), F.col("total"))
+    rows = rows.withColumns({"ma": mean(age), "mk": mean(lambda c: c["mileage_km"]), "mp": mean(lambda c: c["price"]), "spread": F.array_max(F.transform("used", age)) - F.array_min(F.transform("used", age))})
+    a, k, p = (lambda c: age(c) - F.col("ma")), (lambda c: c["mileage_km"] - F.col("mk")), (lambda c: c["price"] - F.col("mp"))
+    product = lambda x, y: _sum("used", lambda c: c["weight"] * x(c) * y(c))
+    rows = rows.withColumns({"aa": product(a, a), "kk": product(k, k), "ak": product(a, k), "ap": product(a, p), "kp": product(k, p)})
     det = F.col("aa") * F.col("kk") - F.col("ak") * F.col("ak")
-    fits = (F.col("rows") >= FIT) & (F.col("kk") >= 1e-3)
-    wide = F.col("s") >= 2
-    solved = F.when(F.abs(det) >= 1e-3, det)
-    slopes = sums.select(
-        key,
-        F.when(fits & ~wide, 0.0).when(fits, (F.col("kk") * F.col("ap") - F.col("ak") * F.col("kp")) / solved).alias("b_age"),
-        F.when(fits & ~wide, F.col("kp") / F.nullif(F.col("kk"), F.lit(0.0))).when(fits, (F.col("aa") * F.col("kp") - F.col("ak") * F.col("ap")) / solved).alias("b_km"),
-    )
-    adjusts = F.coalesce((F.col("b_age") <= 0) & (F.col("b_km") < 0), F.lit(False))
-    raw = F.col("price") + F.col("b_age") * (F.col("t_age") - F.col("age")) + F.col("b_km") * (F.col("t_mileage_km") - F.col("mileage_km"))
-    shifted = near.join(slopes, key).withColumn("adjusted", adjusts).withColumn("value", F.when(adjusts, F.least(F.greatest(raw, 0.5 * F.col("price")), 1.6 * F.col("price"))).otherwise(F.col("price").cast("double")))
-    ends = weighted_percentile(shifted, key, "value", "weight", {"p50": 0.5, "p25": 0.25, "p75": 0.75}, "listing_id")
-    about = shifted.groupBy(key).agg(F.count("*").alias("comparable_count"), F.first("adjusted").alias("adjusted"), F.first("plain").alias("plain"), F.first("effective").alias("effective_sample"))
-    bound = lambda c: thousands(F.when(F.col("adjusted"), F.least(F.greatest(F.col(c), 0.5 * F.col("plain")), 1.6 * F.col("plain"))).otherwise(F.col(c)))
-    return ends.join(about, key).select(
-        F.col(key).alias("listing_id"), bound("p50").alias("market_value"), bound("p25").alias("range_low"), bound("p75").alias("range_high"), "comparable_count",
-        F.when(F.col("adjusted"), "adjusted").otherwise("raw_median").alias("method"), "effective_sample",
+    fits, wide, solved = (F.size("used") >= FIT) & (F.col("kk") >= 1e-3), F.col("spread") >= 2, F.when(F.abs(det) >= 1e-3, det)
+    rows = rows.withColumns({
+        "b_age": F.when(fits & ~wide, 0.0).when(fits, (F.col("kk") * F.col("ap") - F.col("ak") * F.col("kp")) / solved),
+        "b_km": F.when(fits & ~wide, F.col("kp") / F.nullif(F.col("kk"), F.lit(0.0))).when(fits, (F.col("aa") * F.col("kp") - F.col("ak") * F.col("ap")) / solved),
+        "t_age": (F.lit(as_of_year) - F.col("t_model_year")).cast("double"),
+    })
+    rows = rows.withColumn("adjusted", F.coalesce((F.col("b_age") <= 0) & (F.col("b_km") < 0), F.lit(False)))
+    raw = lambda c: c["price"] + F.col("b_age") * (F.col("t_age") - age(c)) + F.col("b_km") * (F.col("t_mileage_km") - c["mileage_km"])
+    value = lambda c: F.when(F.col("adjusted"), F.least(F.greatest(raw(c), 0.5 * c["price"]), 1.6 * c["price"])).otherwise(c["price"])
+    weighing = F.filter("used", lambda c: c["weight"] > 0)
+    rows = rows.withColumn("shifted", F.sort_array(F.transform(weighing, lambda c: F.struct(value(c).alias("value"), c["listing_id"].alias("listing_id"), c["weight"].alias("weight")))))
+    bound = lambda x: F.when(F.col("adjusted"), F.least(F.greatest(x, 0.5 * F.col("plain")), 1.6 * F.col("plain"))).otherwise(x)
+    used = lambda t: F.size(F.filter("used", lambda c: c["tier"] == t))
+    return rows.select(
+        F.col("t_listing_id").alias("listing_id"), thousands(bound(_weighted(0.5))).alias("market_value"), thousands(bound(_weighted(0.25))).alias("range_low"), thousands(bound(_weighted(0.75))).alias("range_high"),
+        F.size("used").cast("long").alias("comparable_count"), F.when(F.col("adjusted"), "adjusted").otherwise("raw_median").alias("method"),
+        F.coalesce(F.try_divide(F.col("total") * F.col("total"), F.col("squares")), F.lit(0.0)).alias("effective_sample"), "fallback",
+        *[used(x).alias(f"used_{x}") for x in "ABCD"],
+        F.when(F.col("adjusted"), F.floor(0.5 - F.col("b_age"))).alias("per_model_year"), F.when(F.col("adjusted"), F.floor(F.col("b_km") * 1000 + 0.5)).alias("per_thousand_km"),
     )
 
 
+def value(pairs: DataFrame, as_of_year: int) -> DataFrame:
+    """valued() of pairs that are there already: the nearest 40 of each target by weight, then closeness in age and mileage."""
+    closeness = F.abs(F.col("model_year") - F.col("t_model_year")) * 60_000.0 + F.abs(F.col("mileage_km") - F.col("t_mileage_km"))
+    rows = pairs.filter(sane()).withColumns({c: F.lit(None).cast("string") for c in CANDIDATE if c not in (*pairs.columns, "close")})
+    rows = rows.withColumns({"close": closeness, "price": F.col("price").cast("double"), "mileage_km": F.col("mileage_km").cast("double")})
+    best = Window.partitionBy(*TARGET).orderBy(F.desc("weight"), "close", "listing_id")
+    few = rows.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= NEAREST)
+    return valued(few.groupBy(*TARGET).agg(F.collect_list(F.struct(*CANDIDATE)).alias("near")).withColumn("fallback", F.lit(False)), as_of_year)
+
+
 def confidence(strong: Column, dispersion: Column, method: Column, fallback: Column) -> Column:
     """V5: 0 to 100."""
     count = F.when(strong <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.log2(strong + 1) / F.log2(F.lit(21.0))))

@@ -186,22 +186,15 @@ def q15_catalogue_page(spark, sf):
 _SIMILAR = """x.vehicle_id <> t.vehicle_id AND x.body_style = t.body_style AND x.fuel_type = t.fuel_type AND x.transmission = t.transmission AND abs(x.price / t.price - 1) <= 0.2 AND abs(x.model_year - t.model_year) <= 5"""
 
 
-@query(f"""WITH {LISTING_SQL}, t AS (SELECT * FROM listing WHERE status = 'active' AND body_style <> 'other' ORDER BY md5(listing_id), listing_id LIMIT 40),
+@query(f"""WITH {LISTING_SQL}, t AS (SELECT * FROM listing WHERE status = 'active' AND body_style <> 'other' AND vehicle_id % 20 = 0),
 p AS (SELECT t.listing_id AS target_id, x.listing_id, x.vehicle_id, x.provider, round(3 * abs(ln(x.price / t.price)) + abs(x.model_year - t.model_year) / 6 + abs(x.mileage_km - t.mileage_km) / 100000
   + CASE WHEN x.make = t.make AND x.model = t.model THEN 0 ELSE 0.5 END + abs(ln(x.horsepower / t.horsepower)), 9) AS distance FROM t JOIN (SELECT * FROM listing WHERE status = 'active' AND price > 0) x ON {_SIMILAR}),
 c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY target_id, vehicle_id ORDER BY distance, listing_id) = 1), s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY target_id, provider ORDER BY distance, listing_id) <= 6)
 SELECT target_id, listing_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY target_id ORDER BY distance, listing_id) AS rank FROM s QUALIFY rank <= 12""")
 def q17_similar_vehicles(spark, sf):
+    """A search: its queries are the active listings whose vehicle has an id divisible by 20, against all of them."""
     ads = listings(spark, sf).filter("status = 'active'")
-    targets = ads.filter("body_style <> 'other'").orderBy(F.md5("listing_id"), "listing_id").limit(40)
-    return rounded(catalogue.similar(targets, ads), "distance")
-
-
-@query(ORACLE_SQL["q17_similar_vehicles"].replace(" ORDER BY md5(listing_id), listing_id LIMIT 40", "").replace("round(distance, 6) AS distance", "distance"))
-def q17_all_similar_vehicles(spark, sf):
-    """q17_similar_vehicles with every active listing of a known body as a target; distances keep their nine digits."""
-    ads = listings(spark, sf).filter("status = 'active'")
-    return catalogue.similar(ads, ads)
+    return rounded(catalogue.similar(ads.filter("vehicle_id % 20 = 0"), ads), "distance")
 
 
 @query(f"""WITH {LISTING_SQL}, car AS (SELECT provider, vehicle_id, count(*) AS ads, min(first_seen_at) AS f, max(last_seen_at) AS l, bool_or(length(trim(variant)) > 0) AS d FROM listing WHERE status = 'active' GROUP BY 1, 2),
@@ -290,38 +283,21 @@ def _pool(spark, sf):
     return live(spark, sf).filter("body_style <> 'other'").withColumn("age_days", F.datediff(F.lit(AS_OF).cast("date"), F.col("last_seen_at").cast("date")).cast("double"))
 
 
-def _targets(spark, sf, n=60):
-    return _pool(spark, sf).orderBy(F.md5("listing_id"), "listing_id").limit(n)
-
-
 _DECAY = lambda d, s: f"greatest(0.0, 1 - abs({d}) / {s})"
-_PAIRS = f"""{ACTIVE_SQL}, pool AS (SELECT *, CAST({_AGE} AS DOUBLE) AS age_days FROM active WHERE body_style <> 'other'), t AS (SELECT * FROM pool ORDER BY md5(listing_id), listing_id LIMIT 60),
+_PAIRS = f"""{ACTIVE_SQL}, pool AS (SELECT *, CAST({_AGE} AS DOUBLE) AS age_days FROM active WHERE body_style <> 'other'), t AS (SELECT * FROM pool),
 p AS (SELECT t.listing_id AS target_id, t.model_year AS t_year, t.mileage_km AS t_km, c.*, floor(14 * 0.75 + 6 * 0.75 + 14 * 0.75 + 6 * CASE WHEN c.transmission = t.transmission THEN 1.0 ELSE 0.0 END + 7 * 0.65 + 8 * 1.0
   + 6 * CASE WHEN c.body_style = t.body_style THEN 1.0 ELSE 0.1 END + 12 * {_DECAY("t.model_year - c.model_year", "6.0")} + 18 * {_DECAY("t.mileage_km - c.mileage_km", "60000.0")}
   + 4 * CASE WHEN c.seller_type = t.seller_type THEN 1.0 ELSE 0.6 END + 5 * power(0.5, c.age_days / 45.0) + 0.5) AS similarity
   FROM t JOIN pool c ON c.make = t.make AND c.model = t.model AND c.fuel_type = t.fuel_type AND c.listing_id <> t.listing_id AND c.vehicle_id <> t.vehicle_id),
 q AS (SELECT *, CASE WHEN similarity >= 82 THEN 'A' WHEN similarity >= 65 THEN 'B' WHEN similarity >= 45 THEN 'C' ELSE 'D' END AS tier FROM p),
-n AS (SELECT target_id, count(*) FILTER (tier = 'A') AS a, count(*) FILTER (tier = 'B') AS b, count(*) FILTER (tier = 'C') AS c FROM q GROUP BY 1),
-kept AS (SELECT q.*, round(CASE tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.65 WHEN 'C' THEN 0.35 ELSE 0.15 END * power(0.5, age_days / 45.0), 9) AS weight FROM q JOIN n USING (target_id)
+n AS (SELECT target_id, count(*) FILTER (tier = 'A') AS a, count(*) FILTER (tier = 'B') AS b, count(*) FILTER (tier = 'C') AS c, count(*) AS n_all FROM q GROUP BY 1),
+kept AS (SELECT q.*, n_all, CASE tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.65 WHEN 'C' THEN 0.35 ELSE 0.15 END * power(0.5, age_days / 45.0) AS weight, abs(model_year - t_year) * 60000.0 + abs(mileage_km - t_km) AS close FROM q JOIN n USING (target_id)
   WHERE CASE tier WHEN 'A' THEN 0 WHEN 'B' THEN n.a WHEN 'C' THEN n.a + n.b ELSE n.a + n.b + n.c END < 8)"""
 
 
-@query(f"""WITH {_PAIRS} SELECT target_id, listing_id, CAST(similarity AS BIGINT) AS similarity, tier, weight FROM kept""")
-def v1_comparables(spark, sf):
-    out = valuation.comparables(_targets(spark, sf), _pool(spark, sf))
-    return out.select(F.col("t_listing_id").alias("target_id"), "listing_id", "similarity", "tier", F.round("weight", 9).alias("weight"))
-
-
-@query()
-def v4_valuation(spark, sf):
-    """Weighted interpolation and a guarded fit: held against a plain Python version in the tests."""
-    pool = _pool(spark, sf)
-    return valuation.value(valuation.comparables(pool, pool), AS_OF.year)
-
-
-@query(ORACLE_SQL["v1_comparables"].replace(" ORDER BY md5(listing_id), listing_id LIMIT 60", ""))
+@query(f"""WITH {_PAIRS} SELECT target_id, listing_id, CAST(similarity AS BIGINT) AS similarity, tier, round(weight, 9) AS weight FROM kept""")
 def v1_all_comparables(spark, sf):
-    """v1_comparables with every listing of the pool as a target."""
+    """Every scored pair that takes part, for every listing of the pool."""
     pool = _pool(spark, sf)
     out = valuation.comparables(pool, pool)
     return out.select(F.col("t_listing_id").alias("target_id"), "listing_id", "similarity", "tier", F.round("weight", 9).alias("weight"))
@@ -386,13 +362,6 @@ def g11_two_strikes(spark, sf):
     return ingest.missed(current, _readings(spark, sf)).select("listing_id", "strikes", "status")
 
 
-@query("""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 4000 AS a, o_custkey AS b FROM orders WHERE o_orderkey % 3 = 0) SELECT id AS listing_id, count(*) OVER () AS n FROM t""")
-def g1_identity_tokens(spark, sf):
-    """Every listing gets one vehicle; that they are the right ones is held against plain search in the tests."""
-    out = ingest.identities(_tokens(table(spark, sf, "orders").filter("o_orderkey % 3 = 0")))
-    return out.select("listing_id").crossJoin(F.broadcast(out.agg(F.count("*").alias("n"))))
-
-
 def _tokens(orders):
     return orders.select(F.col("o_orderkey").alias("listing_id"), F.explode(F.array(F.concat(F.lit("v"), F.col("o_custkey").cast("string")), F.concat(F.lit("p"), (F.col("o_orderkey") % 4000).cast("string")))).alias("token"))
 
@@ -502,16 +471,9 @@ def l3_search_inventory(spark, sf):
     return catalogue.shortlist(band, views, 75, 20)
 
 
-@query("""SELECT o_orderkey AS listing_id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_children FROM orders WHERE o_orderkey % 7 = 0""")
-def j12_presence(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("listing_id"))
-    kids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id")).distinct().withColumn("k", F.lit(True))
-    return o.join(kids, "listing_id", "left").select("listing_id", F.col("k").isNotNull().alias("has_children"))
-
-
 @query("""SELECT o_orderkey AS listing_id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_children FROM orders""")
 def j12_all_presence(spark, sf):
-    """j12_presence over all orders."""
+    """Whether an order has rows of its own."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("listing_id"))
     kids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id")).distinct().withColumn("k", F.lit(True))
     return o.join(kids, "listing_id", "left").select("listing_id", F.col("k").isNotNull().alias("has_children"))
@@ -553,4 +515,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from lotlens.plans import queries_upkeep  # noqa: E402, F401  registers more queries
+from lotlens.plans import queries_upkeep, queries_valuation  # noqa: E402, F401  register more queries

@@ -57,7 +57,7 @@ def plain_value(age, km, rows):
 
 def test_value_against_plain_python(spark):
     sf = "/root/testdata/sf0.01"
-    pairs = v.comparables(q._targets(spark, sf), q._pool(spark, sf)).cache()
+    pairs = v.comparables(q._pool(spark, sf).orderBy(F.md5("listing_id"), "listing_id").limit(60), q._pool(spark, sf)).cache()
     rows = {}
     for x in pairs.collect():
         rows.setdefault((x.t_listing_id, 2002 - x.t_model_year, x.t_mileage_km), []).append((x.listing_id, x.price, 2002.0 - x.model_year, x.mileage_km, x.weight))
