@@ -36,8 +36,12 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 STABLE = re.compile("[\0-ɏ]*")
 #: Runs of white space that the faster reader is not given.
 LONG_GAP = re.compile(r"\s{2000}")
+#: Parts of a spaced text that B reads one by one: no token goes on from another character into a space, if no piece does.
+PARTS = re.compile(" +[^ ]*")
+#: Parts of up to this many characters are remembered with their ids, and so many of them by a worker.
+SHORT, REMEMBERED = 48, 300_000
 #: Bytes of text whose tokens are handed to Spark together.
-HANDED = 4 << 20
+HANDED = 1 << 20
 #: Pairs of ids that are broadcast with their counts, at most.
 BROADCAST_PAIRS = 1_000_000
 
@@ -75,29 +79,50 @@ class Readers:
         for token, i in ranks.items():
             self.a_bytes[i] = token
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        piece = self.b.id_to_piece
-        self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        self.a_size = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
-        self.b_size = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-
-    def a_ids(self, text: str) -> list[int]:
-        spaced = " " + text
-        if self.fast and STABLE.fullmatch(text) and not LONG_GAP.search(text):
-            return self.fast.encode_ordinary(spaced)
-        return self.slow.encode(spaced, add_special_tokens=False).ids
-
-    def read(self, text: str | None) -> tuple[list[int], list[int]]:
-        if not text:
-            return [], []
-        a, b, whole = self.a_ids(text), self.b.encode(text), (" " + text).encode()
-        same = b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
-        return (a, b) if same else ([], [])
-
-
-def _arrays(rows: list[list[int]], size: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.space = self.b.piece_to_id("▁")
+        self.a_size, self.b_size = (np.array([len(x) for x in v], dtype=np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.known: dict[str, bytes | None] = {}
+
+    def a_ids(self, spaced: str) -> bytes | None:
+        """Packed ids by A; nothing if their bytes are others."""
+        stable = self.fast and STABLE.fullmatch(spaced) and not LONG_GAP.search(spaced)
+        ids = self.fast.encode_ordinary(spaced) if stable else self.slow.encode(spaced, add_special_tokens=False).ids
+        return np.array(ids, dtype=np.int32).tobytes() if b"".join([self.a_bytes[i] for i in ids]) == spaced.encode() else None
+
+    def _learnt(self, parts: list[str]) -> dict[str, bytes | None]:
+        """Packed ids by B of parts, each beginning with the space that B puts before a text."""
+        out = {}
+        for part, ids in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1), strict=True):
+            ids = ids if len(part) > 1 else [self.space]
+            out[part] = np.array(ids, dtype=np.int32).tobytes() if b"".join([self.b_bytes[i] for i in ids]) == part.encode() else None
+        return out
+
+    def read(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids by A and by B of each text; none where either changes its bytes."""
+        spaced = [" " + t if t else "" for t in texts]
+        parts = [PARTS.findall(t) if self.apart else [t] * bool(t) for t in spaced]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        new = list({p for v in parts for p in v}.difference(self.known))
+        here = self._learnt(new)
+        self.known.update((p, ids) for p, ids in here.items() if len(p) <= SHORT)
+        find = lambda p: here[p] if p in here else self.known[p]
+        out = ([], [])
+        for text, v in zip(spaced, parts, strict=True):
+            found = [find(p) for p in v]
+            a = self.a_ids(text) if text and None not in found else None
+            for side, ids in zip(out, (a, b"".join(found)) if a is not None else (b"", b""), strict=True):
+                side.append(np.frombuffer(ids, dtype=np.int32))
+        return out
+
+
+def _arrays(rows: list[np.ndarray], size: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """List arrays of the ids and of the byte ends of each row's tokens."""
     upto = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=upto[-1])
+    flat = np.concatenate(rows)
     ends = np.concatenate([[0], np.cumsum(size[flat])])
     own = ends[1:] - np.repeat(ends[upto[:-1]], np.diff(upto))
     kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
@@ -113,38 +138,37 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id",
             _readers[a_path, b_path] = Readers(a_path, b_path)
         reader = _readers[a_path, b_path]
         for batch in batches:
-            start, held, found = 0, 0, []
+            start, held, texts = 0, 0, []
             for k, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                found.append(reader.read(text))
-                held += len(text or "")
+                texts.append(text.as_py())
+                held += len(texts[-1] or "")
                 if held >= HANDED or k + 1 == batch.num_rows:
-                    a, b = _arrays([x for x, _ in found], reader.a_size), _arrays([y for _, y in found], reader.b_size)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(found)), *a, *b], names=["id", "a_ids", "a_ends", "b_ids", "b_ends"])
-                    start, held, found = k + 1, 0, []
+                    a, b = reader.read(texts)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *_arrays(a, reader.a_size), *_arrays(b, reader.b_size)], names=["id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                    start, held, texts = k + 1, 0, []
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     schema = T.StructType([rows.schema["id"], *[T.StructField(c, _INTS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")]])
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_column)
 
 
-def _placed(ends: Column, side: int) -> Column:
-    """End, side and position of each token in one number, ordered by end."""
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(side << 31)).bitwiseOR(i.cast("long")))
+_PLACE = (1 << 31) - 1
 
 
-_POSITION = (1 << 31) - 1
+def _placed(ends: Column, side: int) -> Column:
+    """End, side and place (from 1) of each token in one number, ordered by end."""
+    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + 1 + F.lit(side << 31)))
 
 
 def cuts(a_ends: Column, b_ends: Column) -> Column:
-    """Where both end: an array of (A position << 32 | B position) of the tokens that end there, in order.
+    """Where both end: an array of (A tokens up to there << 32 | B tokens up to there), in order.
 
-    After one sort of both arrays' ends a B token stands just behind the A token that ends with it.
+    After one sort of both arrays' ends a B token stands just behind the A token that ends with it; the two differ by the
+    side alone.
     """
-    meets = lambda v, x, i: x.bitwiseAND(F.lit(1 << 31)) != 0, lambda v, x, i: F.shiftright(F.get(v, i - 1), 32) == F.shiftright(x, 32)
-    of = lambda v: F.transform(
-        v, lambda x, i: F.when(meets[0](v, x, i) & meets[1](v, x, i), F.shiftleft(F.get(v, i - 1).bitwiseAND(F.lit(_POSITION)), 32).bitwiseOR(x.bitwiseAND(F.lit(_POSITION))))
-    )
+    meets = lambda v, x, i: F.shiftright(F.get(v, i - 1).bitwiseXOR(x), 31) == 1
+    both = lambda v, x, i: F.shiftleft(F.get(v, i - 1).bitwiseAND(F.lit(_PLACE)), 32) + x.bitwiseAND(F.lit(_PLACE))
+    of = lambda v: F.transform(v, lambda x, i: F.when(meets(v, x, i), both(v, x, i)))
     return once(F.sort_array(F.concat(_placed(a_ends, 0), _placed(b_ends, 1))), lambda v: F.array_compact(of(v)))
 
 
@@ -153,7 +177,12 @@ def _a(c: Column) -> Column:
 
 
 def _b(c: Column) -> Column:
-    return c.bitwiseAND(F.lit(_POSITION)).cast("int")
+    return c.bitwiseAND(F.lit(_PLACE)).cast("int")
+
+
+def _before(at: str) -> Column:
+    """The cut before each, the first of all being none."""
+    return F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col(at)), F.lit(1), F.size(at))
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -162,28 +191,31 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id"
     return rows.withColumn("ends", F.array_intersect("a_ends", "b_ends")).withColumn("cuts", cuts(F.col("a_ends"), F.col("b_ends")))
 
 
-def groups(of_a: str | Column = "a_ids", of_b: str | Column = "b_ids", at: str = "cuts") -> Column:
-    """The tokens between one cut and the next: an array of structs (a, b) of slices of two arrays by token."""
-    before = lambda side, v, k: F.coalesce(side(F.get(v, k - 1)), F.lit(-1))
-    part = lambda x, side, v, k: F.slice(x, before(side, v, k) + 2, side(F.get(v, k)) - before(side, v, k))
-    a, b = (F.col(c) if isinstance(c, str) else c for c in (of_a, of_b))
-    both = lambda v: F.transform(v, lambda c, k: F.struct(part(a, _a, v, k).alias("a"), part(b, _b, v, k).alias("b")))
-    return both(F.col(at))
+def _part(of: Column, side, c: Column, before: Column) -> Column:
+    return F.slice(of, side(before) + 1, side(c) - side(before))
+
+
+def groups(at: str = "cuts") -> Column:
+    """The tokens between one cut and the next: an array of structs (a, b) of arrays of ids."""
+    return F.zip_with(at, _before(at), lambda c, p: F.struct(_part(F.col("a_ids"), _a, c, p).alias("a"), _part(F.col("b_ids"), _b, c, p).alias("b")))
 
 
 def links(at: str = "cuts") -> Column:
     """The A and B ids that end together, each pair as one number (A id << 32 | B id), in order."""
-    return F.transform(at, lambda c: F.shiftleft(F.get(F.col("a_ids"), _a(c)).cast("long"), 32).bitwiseOR(F.get(F.col("b_ids"), _b(c)).cast("long")))
+    return F.transform(at, lambda c: F.shiftleft(F.get("a_ids", _a(c) - 1).cast("long"), 32) + F.get("b_ids", _b(c) - 1))
 
 
 def groups_text(at: str = "cuts") -> Column:
-    """`a1,a2|b1;a3|b2,b3`: ids of each group, A's and B's."""
+    """`a1,a2|b1;a3|b2,b3`: ids of each group, A's and B's. Most groups are one token of either side."""
+    single = F.lit((1 << 32) + 1)
+    a, b = F.col("a_ids"), F.col("b_ids")
 
-    def text(a: Column, b: Column) -> Column:
-        return F.array_join(F.transform(groups(a, b, at), lambda g: F.concat(F.array_join(g["a"], ","), F.lit("|"), F.array_join(g["b"], ","))), ";")
+    def text(c: Column, p: Column) -> Column:
+        one = F.concat(F.get(a, _a(c) - 1).cast("string"), F.lit("|"), F.get(b, _b(c) - 1).cast("string"))
+        joined = lambda x, side: F.array_join(_part(x, side, c, p).cast("array<string>"), ",")
+        return F.when(c - p == single, one).otherwise(F.concat(joined(a, _a), F.lit("|"), joined(b, _b)))
 
-    strings = F.struct(F.col("a_ids").cast("array<string>").alias("a"), F.col("b_ids").cast("array<string>").alias("b"))
-    return once(strings, lambda s: text(s["a"], s["b"]))
+    return F.array_join(F.zip_with(at, _before(at), text), ";")
 
 
 def pair_counts(linked: DataFrame, column: str = "links") -> DataFrame:

@@ -93,5 +93,14 @@ def test_both_readers_of_the_pattern_split_alike():
         of = al._byte_of()
         raw = [bytes(of[c] for c in t) for t in json.load(f)["model"]["vocab"]]
     texts += [t for t in (b.decode("utf-8", "ignore") for b in raw) if al.STABLE.fullmatch(t)]
-    for t in texts:
+    assert reader.apart
+    odd = [chr(c) for c in (9, 10, 11, 12, 13, 28, 31, 32, 32, 32, 0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x2028, 0x200B, 0x3000, 0x41, 0x61, 0x27, 0x73, 0x31, 0x2E, 0x2581, 0xE9, 0x4E2D)]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    for t, a, b in zip(texts, *reader.read(texts), strict=True):
+        whole_a, whole_b = reader.slow.encode(" " + t, add_special_tokens=False).ids, reader.b.encode(t)
+        if len(a):
+            assert a.tolist() == whole_a and b.tolist() == whole_b
+        else:
+            assert b"".join(reader.b_bytes[i] for i in whole_b) != (" " + t).encode()
+    for t in filter(al.STABLE.fullmatch, texts):
         assert reader.fast.encode_ordinary(" " + t) == reader.slow.encode(" " + t, add_special_tokens=False).ids
