@@ -10,7 +10,7 @@ similarity 0.85 retains SHARED of 64 values in common but once in 10^9 pairs; wh
 sketches hold them whole, it has 0.85 of the larger one without exception. Hence only the rarest values of a sketch are
 looked up: k - SHARED + 1 of them can't all be missed, however the values are ordered. Values of one class link nothing.
 
-A list is first linked through one head, and joined by union-find. What that leaves in different components is compared
+A list is first linked through one head, the class whose values most others retain, and joined by union-find. What that leaves in different components is compared
 pair by pair in lists of up to PAIRED classes, and in larger ones by an exact search on full sets, rarest shingles first,
 in which the members of a list's commonest component meet the others, never each other.
 
@@ -142,14 +142,13 @@ def meetings(classes: DataFrame, sketch: int = SKETCH, shared: int = SHARED) ->
     common = settle(values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1"))
     met = values.join(small_or_none(common, BROADCAST_VALUES) or common, "value")
     # Values that no other class has come first in every order, so only the place among the shared ones is counted.
-    of = met.groupBy("same", "held").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("ranked"))
+    of = met.groupBy("same", "held").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("ranked"), F.sum("n").alias("central"))
     looked_up = F.size("ranked") - least_shared(F.col("held"), sketch, shared) + 1
-    rare = of.filter(looked_up > 0).select("same", F.explode(F.slice("ranked", F.lit(1), looked_up)).alias("r")).select("same", F.col("r.value").alias("value"))
+    rare = of.filter(looked_up > 0).select("same", "central", F.explode(F.slice("ranked", F.lit(1), looked_up)).alias("r")).select("same", "central", F.col("r.value").alias("value"))
     rare = settle(rare)
-    heads = settle(rare.groupBy("value").agg(F.count("*").alias("list_size"), F.min("same").alias("least"), F.min_by("same", F.xxhash64("same", "value")).alias("any")).filter("list_size > 1"))
-    # One head in all small lists of a group spares comparisons; large lists have different ones.
-    head = F.when(F.col("list_size") > PAIRED, F.col("any")).otherwise(F.col("least")).alias("head")
-    out = settle(rare.join(small_or_none(heads, BROADCAST_VALUES) or heads, "value").select("same", "value", "list_size", head))
+    # The head is the class whose values most others have: of copies that differ from each other, what they were made from.
+    heads = settle(rare.groupBy("value").agg(F.count("*").alias("list_size"), F.max_by("same", F.struct("central", "same")).alias("head")).filter("list_size > 1"))
+    out = settle(rare.join(small_or_none(heads, BROADCAST_VALUES) or heads, "value").select("same", "value", "list_size", "head"))
     discard(common, rare, heads)
     return out
 
