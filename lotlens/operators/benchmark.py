@@ -8,6 +8,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.functions.lineage import settle
+from lotlens.functions.selection import numbered
+
 CATEGORIES = ["make", "model_of", "body_style", "fuel_type", "transmission", "seller_type"]
 NUMBERS = ["age", "age_over_5", "age_over_10", "log_mileage", "log_power"]
 
@@ -86,5 +89,87 @@ def errors(rows: DataFrame, radius: float | None = None) -> DataFrame:
         F.percentile(F.abs(ratio - 1), 0.5).alias("median_absolute_percentage"),
         F.avg(log).alias("mean_absolute_log"),
         F.percentile(F.log(ratio), 0.5).alias("median_signed_log"),
+        F.expr("percentile_disc(0.95) within group (order by case when predicted > 0 then abs(ln(predicted / price)) end)").alias("p95_absolute_log"),
+        (F.percentile(F.when(usable, F.col("predicted") * (F.exp(F.lit(radius)) - F.exp(F.lit(-radius)))), 0.5) if radius is not None else F.lit(None).cast("double")).alias("median_interval_width"),
         (F.avg((log <= radius).cast("double")) if radius is not None else F.lit(None).cast("double")).alias("interval_coverage"),
     )
+
+
+def hybrid(targets: DataFrame, pool: DataFrame, predictions: DataFrame, nearest: int = 40, least: int = 3) -> DataFrame:
+    """Strict comparables, each price carried to the target by the ratio of their model predictions; their median.
+
+    predictions: (listing_id, modelled) of targets and pool. A target outside the years or mileages of its comparables
+    has none, as has one without a prediction of its own.
+    """
+    keys = ["make", "model", "body_style", "fuel_type", "transmission", "horsepower"]
+    t = targets.filter("body_style <> 'other'").select(*keys, F.col("listing_id").alias("t_id"), F.col("vehicle_id").alias("t_vehicle"), F.col("model_year").alias("t_year"), F.col("mileage_km").alias("t_km"))
+    far = F.abs(F.col("model_year") - F.col("t_year")) * 60_000 + F.abs(F.col("mileage_km") - F.col("t_km"))
+    near = Window.partitionBy("t_id").orderBy(far, "listing_id")
+    c = pool.select(*keys, "listing_id", "vehicle_id", "model_year", "mileage_km", "price")
+    pairs = c.join(t, keys).filter(F.col("vehicle_id") != F.col("t_vehicle")).withColumn("k", F.row_number().over(near)).filter(F.col("k") <= nearest)
+    inside = pairs.groupBy("t_id").agg(F.count("*").alias("n"), F.max("t_km").between(F.min("mileage_km"), F.max("mileage_km")).alias("km"), F.max("t_year").between(F.min("model_year"), F.max("model_year")).alias("year")).filter((F.col("n") >= least) & F.col("km") & F.col("year")).select("t_id")
+    carried = pairs.join(inside, "t_id").join(predictions.select("listing_id", "modelled"), "listing_id").join(predictions.select(F.col("listing_id").alias("t_id"), F.col("modelled").alias("t_modelled")), "t_id")
+    carried = carried.filter("modelled > 0 and t_modelled > 0").withColumn("carried", F.col("price") * F.col("t_modelled") / F.col("modelled"))
+    return carried.groupBy(F.col("t_id").alias("listing_id")).agg(F.count("*").alias("n"), F.percentile("carried", 0.5).alias("predicted")).filter(F.col("n") >= least).drop("n")
+
+
+#: Fixed values of the seeded draws: x -> (A x + C) mod 2^32 from SEED; replicates, and the order statistics of the interval.
+LCG_A, LCG_C, SEED = 1_664_525, 1_013_904_223, 37
+REPLICATES, LOWER, UPPER = 500, 12, 487
+
+
+def _times(a: Column, x: Column) -> Column:
+    """a x mod 2^32 of numbers below 2^32, in longs."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(a, 16)
+    return (low * x + F.shiftleft((high * x).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _jump(steps: int) -> int:
+    """The generator's number after so many steps."""
+    x, a, c = SEED, LCG_A, LCG_C
+    while steps:
+        if steps & 1:
+            x = (a * x + c) % 2**32
+        a, c, steps = a * a % 2**32, (a * c + c) % 2**32, steps >> 1
+    return x
+
+
+def _after(steps: Column, bits: int = 40) -> Column:
+    """A struct (a, c): so many steps of the generator in one, x -> a x + c mod 2^32, by doubling."""
+    out = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("c"))
+    doubled, a, c = [], LCG_A, LCG_C
+    for _ in range(bits):
+        doubled.append((a, c))
+        a, c = a * a % 2**32, (a * c + c) % 2**32
+    steps_of = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in doubled])
+
+    def step(s: Column, k: Column) -> Column:
+        one = F.get(steps_of, k)
+        more = F.struct(_times(one["a"], s["a"]).alias("a"), ((_times(one["a"], s["c"]) + one["c"]).bitwiseAND(F.lit(0xFFFFFFFF))).alias("c"))
+        return F.when(F.get(F.array(steps), F.lit(0)).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), k)) != 0, more).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), out, step)
+
+
+def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "vehicle_id", replicates: int = REPLICATES) -> DataFrame:
+    """One row (paired, difference, low, high): absolute log errors of b less those of a on the cars that both price,
+    with the interval of seeded resamples.
+
+    a, b: (key, price, predicted), one row a key. The generator's n-th number is computed for each (replicate, position) from
+    its two parts, so that draws need no order of running: a position's step and a replicate's start are each made once.
+    Draws are counted by (replicate, position drawn) before they meet the differences. Positions go by key.
+    """
+    error = F.abs(F.log(F.col("predicted") / F.col("price")))
+    side = lambda x, name: x.filter("predicted > 0 and price > 0").select(key, error.alias(name))
+    deltas = side(a, "ea").join(side(b, "eb"), key).select(key, (F.col("eb") - F.col("ea")).alias("delta"))
+    deltas = settle(numbered(deltas, key))
+    n = deltas.count()
+    if not n:
+        return deltas.sparkSession.range(1).select(F.lit(0).cast("long").alias("paired"), *[F.lit(None).cast("double").alias(c) for c in ("difference", "low", "high")])
+    starts = F.array(*[F.lit(_jump(r * n)).cast("long") for r in range(replicates)])
+    steps = deltas.select(_after(F.col("place") + 1).alias("s"))
+    drawn = steps.select("s", F.posexplode(starts).alias("replicate", "start")).select("replicate", (_times(F.col("s.a"), F.col("start")) + F.col("s.c")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("x"))
+    counted = drawn.select("replicate", F.floor(F.col("x") / 4294967296.0 * n).alias("place")).groupBy("place", "replicate").agg(F.count("*").alias("times"))
+    means = counted.join(deltas.select("place", "delta"), "place").groupBy("replicate").agg((F.sum(F.col("delta") * F.col("times")) / n).alias("mean"))
+    ends = means.agg(F.sort_array(F.collect_list("mean")).alias("m")).select(F.get("m", F.lit(LOWER)).alias("low"), F.get("m", F.lit(UPPER)).alias("high"))
+    return deltas.agg(F.count("*").alias("paired"), F.avg("delta").alias("difference")).crossJoin(F.broadcast(ends))

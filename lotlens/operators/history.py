@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.functions.lineage import settle
 from lotlens.functions.rules import first_by, median, micros, mileage_band, mileage_cell
+from lotlens.functions.selection import percentiles
 from lotlens.operators.market import TRIM
 
 LEVELS = ["model", "fuel", "transmission", "mileage"]
@@ -40,18 +42,13 @@ def seasonality(observations: DataFrame, as_of: datetime, unit: str = "day", cel
     cells = keyed.groupBy(*keys).agg(median("log_price").alias("m"), F.count("*").alias("cell_size")).filter(F.col("cell_size") >= cell)
     residual = F.col("log_price") - F.col("m")
     since = (micros(F.col("period") + F.expr(f"interval 1 {unit}")) - micros(F.col("valid_from"))) / 86_400_000_000.0
-    monthly = (
-        keyed.join(cells, keys, "left")
-        .withColumn("r", F.when(F.abs(residual) <= TRIM, residual))
-        .groupBy("period")
-        .agg(
-            F.count("*").alias("observation_count"),
-            F.count_distinct("listing_id").alias("listing_count"),
-            median("price").alias("median_price"),
-            F.avg("r").alias("mean_log_residual"),
-            median(F.greatest(since, F.lit(0.0))).alias("median_age_days"),
-        )
+    rows = keyed.join(cells, keys, "left").select("period", "listing_id", "price", F.when(F.abs(residual) <= TRIM, residual).alias("r"), F.greatest(since, F.lit(0.0)).alias("age"))
+    rows = settle(rows)
+    sums = rows.groupBy("period").agg(
+        F.count("*").alias("observation_count"), F.count_distinct("listing_id").alias("listing_count"), median("price").alias("median_price"), F.avg("r").alias("mean_log_residual")
     )
+    # Ages are continuous: a period's are selected by ranges, never gathered.
+    monthly = sums.join(percentiles(rows, ["period"], "age", {"median_age_days": 0.5}).drop("n"), "period")
     cut = (F.col("kind") == "price_change") & (F.col("price") < F.col("previous_price"))
     reductions = intervals(observations, as_of).filter(cut).groupBy(F.date_trunc(unit, "valid_from").alias("period")).agg(F.count_distinct("listing_id").alias("reductions"))
     return monthly.join(reductions, "period", "left").withColumn("reductions", F.coalesce("reductions", F.lit(0)))

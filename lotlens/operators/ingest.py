@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.functions.lineage import settle
+from lotlens.functions.lineage import discard, settle
 from lotlens.functions.rules import first_by, price_floor
 from lotlens.operators.text import LEASE, WITHOUT_VAT, mileage_status
 
@@ -60,6 +60,12 @@ def missed(listings: DataFrame, seen: DataFrame, strikes: int = 2) -> DataFrame:
     return rows.withColumn("strikes", count).withColumn("status", F.when((F.col("status") == "active") & (F.col("strikes") >= strikes), "removed").otherwise(F.col("status"))).drop("__seen")
 
 
+def disappeared(listings: DataFrame, seen: DataFrame, at: Column, strikes: int = 2) -> DataFrame:
+    """The events of a sweep: (listing_id, kind, observed_at, price, mileage_km) with the last state of each ad that it removes."""
+    gone = missed(listings, seen, strikes).filter("status = 'removed'").select("listing_id")
+    return listings.filter("status = 'active'").join(gone, "listing_id", "left_semi").select("listing_id", F.lit("disappeared").alias("kind"), at.alias("observed_at"), "price", "mileage_km")
+
+
 def identities(tokens: DataFrame) -> DataFrame:
     """G1: (listing_id, vehicle_key): listings that share an identifier, through any chain of them, are one vehicle.
 
@@ -69,6 +75,7 @@ def identities(tokens: DataFrame) -> DataFrame:
     """
     edges = settle(tokens.filter("token is not null").select("listing_id", "token").distinct())
     labels = tokens.select("listing_id").distinct().withColumn("label", F.col("listing_id"))
+    settled = None
     while True:
         of_token = edges.join(labels, "listing_id").groupBy("token").agg(F.min("label").alias("least"))
         better = edges.join(of_token, "token").groupBy("listing_id").agg(F.min("least").alias("least"))
@@ -78,6 +85,35 @@ def identities(tokens: DataFrame) -> DataFrame:
         labels = moved.select("listing_id", F.col("new").alias("label"))
         if moved.filter("new <> label").isEmpty():
             return labels.select("listing_id", F.col("label").alias("vehicle_key"))
+        before, settled = settled, moved
+        if before is not None:
+            discard(before)
+
+
+#: Identifiers from the most to the least telling, for the id of a new vehicle.
+PRIORITY = ["vin", "regno", "listing"]
+
+
+def stable_identities(tokens: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G1: (listing_id, vehicle_id, is_new) of every listing, and (old_id, vehicle_id) of the ids that are merged away.
+
+    tokens: (listing_id, kind, token), kind one of PRIORITY; known: (kind, token, vehicle_id) of vehicles that are there.
+    A group of listings keeps the least of the ids that its identifiers had; the others are recorded as merged into it, so
+    that rows that still point there can follow. A group that had none gets a digest of its most telling identifier, which
+    a rerun finds again. Null tokens are nobody's; a listing without any is a vehicle of its own.
+    """
+    own = tokens.select("listing_id").distinct().select("listing_id", F.lit("listing").alias("kind"), F.col("listing_id").cast("string").alias("token"))
+    named = tokens.filter("token is not null").select("listing_id", "kind", F.col("token").cast("string").alias("token")).unionByName(own)
+    groups = settle(identities(named.select("listing_id", F.concat_ws(":", "kind", "token").alias("token"))))
+    rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITY]), F.col("kind"))
+    placed = named.join(groups, "listing_id").groupBy("vehicle_key", "kind", "token").agg(F.lit(1).alias("one"))
+    old = placed.join(known.select("kind", F.col("token").cast("string").alias("token"), F.col("vehicle_id").alias("old_id")), ["kind", "token"], "left")
+    best = old.groupBy("vehicle_key").agg(F.min("old_id").alias("kept"), F.min(F.struct(rank.alias("rank"), "kind", "token")).alias("best"))
+    new = F.sha2(F.concat_ws(":", F.lit("vehicle"), "best.kind", "best.token"), 256)
+    named_groups = settle(best.select("vehicle_key", F.coalesce(F.col("kept").cast("string"), new).alias("vehicle_id"), F.col("kept").isNull().alias("is_new")))
+    assigned = groups.join(named_groups, "vehicle_key").select("listing_id", "vehicle_id", "is_new")
+    merged = old.filter("old_id is not null").select("vehicle_key", F.col("old_id").cast("string").alias("old_id")).distinct().join(named_groups, "vehicle_key").filter("old_id <> vehicle_id").select("old_id", "vehicle_id")
+    return assigned, merged
 
 
 def match_method(plate_match: Column, vin_match: Column) -> Column:

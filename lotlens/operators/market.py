@@ -9,7 +9,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.functions.lineage import settle
 from lotlens.functions.rules import MAXIMUM_MILEAGE_KM, MAXIMUM_PRICE, median, mileage_cell, price_floor
+from lotlens.functions.selection import percentiles
 
 CELL = ["make", "model", "model_year", "mileage_cell"]
 GROUP, COMPARABLE, TRIM = 12, 4, math.log(2.5)
@@ -167,10 +169,15 @@ def equipment_value(live: DataFrame, equipment: DataFrame, sample: int = 25_000,
 
 
 def regional_prices(live: DataFrame, group: int = GROUP, ends: int = 5) -> DataFrame:
-    """Q8: the cheapest and the dearest places, by residuals against the whole selection."""
-    usable = comparable(residuals(live)).filter(F.length(F.trim("municipality")) > 0)
-    base = usable.agg(median("residual").alias("m"))
-    places = usable.groupBy("municipality").agg(F.count("*").alias("listing_count"), median("price").alias("median_price"), median("residual").alias("r")).filter(F.col("listing_count") >= group)
+    """Q8: the cheapest and the dearest places, by residuals against the whole selection.
+
+    Residuals are as many different numbers as ads, so that their medians are selected by ranges (functions/selection.py),
+    never gathered.
+    """
+    usable = settle(comparable(residuals(live)).filter(F.length(F.trim("municipality")) > 0).select("municipality", "price", "residual"))
+    base = percentiles(usable, [], "residual", {"m": 0.5}).select("m")
+    sums = usable.groupBy("municipality").agg(F.count("*").alias("listing_count"), median("price").alias("median_price")).filter(F.col("listing_count") >= group)
+    places = sums.join(percentiles(usable, ["municipality"], "residual", {"r": 0.5}).drop("n"), "municipality")
     up, down = Window.orderBy("r", "municipality"), Window.orderBy(F.desc("r"), F.desc("municipality"))
     ranked = places.withColumn("cheap", F.row_number().over(up)).withColumn("dear", F.row_number().over(down)).filter((F.col("cheap") <= ends) | (F.col("dear") <= ends))
     return ranked.join(F.broadcast(base)).select("municipality", "listing_count", "median_price", ((F.exp(F.col("r") - F.col("m")) - 1) * 100).alias("difference_percent"))
@@ -189,9 +196,9 @@ def cross_products(live: DataFrame, current_year: int) -> DataFrame:
     priced = live.withColumn("mileage_cell", mileage_cell(F.col("mileage_km"))).withColumn("y", F.log("price"))
     cells = priced.groupBy(*CELL).agg(median("y").alias("cell_median"), F.count("*").alias("n")).filter(F.col("n") >= COMPARABLE).drop("n")
     kept = priced.join(cells, CELL, "left").filter(F.col("cell_median").isNull() | (F.abs(F.col("y") - F.col("cell_median")) <= TRIM))
-    cell = Window.partitionBy("make", "model")
     named = kept.select("make", "model", "y", *[e.alias(n) for n, e in terms.items()])
-    centred = named.select("make", "model", F.count("*").over(cell).alias("size"), *[(F.col(c) - F.avg(c).over(cell)).alias(c) for c in ["y", *TERMS]]).filter("size >= 3")
+    means = named.groupBy("make", "model").agg(F.count("*").alias("size"), *[F.avg(c).alias(f"m_{c}") for c in ["y", *TERMS]]).filter("size >= 3")
+    centred = named.join(means, ["make", "model"]).select("make", "model", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in ["y", *TERMS]])
     sums = [F.sum(F.col("y") * F.col("y")).alias("yy")] + [F.sum(F.col(t) * F.col("y")).alias(f"xy_{t}") for t in TERMS]
     sums += [F.sum(F.col(a) * F.col(b)).alias(f"xx_{a}_{b}") for i, a in enumerate(TERMS) for b in TERMS[i:]]
     return centred.agg(F.count("*").alias("n"), F.count_distinct("make", "model").alias("groups"), *sums)

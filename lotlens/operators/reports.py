@@ -72,14 +72,38 @@ def dense_days(rows: DataFrame, column: str, until: datetime, days: int = 21, di
     return spine.join(counted, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def warnings_of(active: Column, new: Column, gone: Column, checked: Column) -> Column:
-    """What a reader of the report is warned of."""
-    found = F.array(
-        F.when(checked < 0.6 * active, F.lit("verification_backlog")),
-        F.when(gone > 12_000, F.lit("removal_burst")),
-        F.when(new == 0, F.lit("no_new_listings")),
+#: What warnings go by.
+COVERAGE_PERCENT, CLEANUP_DAYS, YOUNG_DAYS, INCONCLUSIVE = 50, 7, 21, 20
+#: What observations go by.
+CONCENTRATED, MANY_CHANGES, CUTS_TO_RISES, SUSPICIOUS_PRICE = 3, 10, 3, 20_000
+
+
+def warnings_of(gone: Column, active: Column, never_checked: Column, cleanup_at: Column, first_seen_at: Column, inconclusive: Column, missing: Column, now: Column, failed: Column) -> Column:
+    """What a reader of the report is warned of, as codes; failed: an array of the providers whose imports failed."""
+    days = lambda at: (micros(now) - micros(at)) / 86_400_000_000.0
+    coverage = F.round(100.0 * (active - never_checked) / F.nullif(active, F.lit(0)), 1)
+    found = F.array_compact(
+        F.array(
+            F.when(gone == 0, F.lit("no_disappearances")),
+            F.when((active > 0) & (coverage < COVERAGE_PERCENT), F.lit("low_check_coverage")),
+            F.when(cleanup_at.isNull() | (days(cleanup_at) > CLEANUP_DAYS), F.lit("no_recent_cleanup")),
+            F.when(F.floor(days(first_seen_at)) < YOUNG_DAYS, F.lit("young_dataset")),
+            F.when((inconclusive > INCONCLUSIVE) & (inconclusive >= missing), F.lit("inconclusive_sample")),
+        )
+    )
+    return F.concat(found, F.transform(F.sort_array(failed), lambda p: F.concat(F.lit("failed_imports:"), p)))
+
+
+def remarks_of(seller_gone: Column, model_gone: Column, changes: Column, cuts: Column, rises: Column, cheapest: Column) -> Column:
+    """What a reader may find of note, as codes."""
+    return F.array_compact(
+        F.array(
+            F.when(seller_gone >= CONCENTRATED, F.lit("seller_concentration")),
+            F.when(model_gone >= CONCENTRATED, F.lit("model_concentration")),
+            F.when((changes >= MANY_CHANGES) & (cuts > rises * CUTS_TO_RISES), F.lit("broad_cuts")),
+            F.when((cheapest > 0) & (cheapest < SUSPICIOUS_PRICE), F.lit("suspicious_cheapest")),
+        )
     )
-    return F.array_compact(found)
 
 
 def source_value(listings: DataFrame, main: str, as_of: datetime, stale_hours: int = 48) -> DataFrame:

@@ -7,10 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lotlens.operators.text import powertrain
 
@@ -210,39 +208,3 @@ def outdated(vehicles: DataFrame) -> DataFrame:
     old = vehicles.filter(F.col("normalization_version").isNull() | (F.col("normalization_version") != VERSION)).withColumnRenamed("family", "__was")
     new = canonical(old.drop("normalization_version"))
     return new.withColumn("changed", ~F.col("family").eqNullSafe(F.col("__was"))).drop("__was")
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Edits between two short keys, a swap of neighbours being one."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        rows.append(row)
-    return rows[-1][-1]
-
-
-def resolve_brand(typed: str) -> str | None:
-    """The make an input means: an exact key, or the one make within one edit (two if longer than five)."""
-    key = "".join(c for c in typed.lower() if c.isascii() and c.isalnum())
-    if len(key) < 2:
-        return None
-    names = {k: name for name, keys in MAKES.items() for k in keys}
-    if key in names:
-        return names[key]
-    best: dict[int, set[str]] = {}
-    for k, name in names.items():
-        best.setdefault(edit_distance(key, k), set()).add(name)
-    least = min(best)
-    return next(iter(best[least])) if least <= (1 if len(key) <= 5 else 2) and len(best[least]) == 1 else None
-
-
-@F.pandas_udf(StringType())
-def brand_of(typed: pd.Series) -> pd.Series:
-    """resolve_brand over a column; each distinct input is resolved once a batch."""
-    known = {t: resolve_brand(t) for t in typed.dropna().unique()}
-    return pd.Series([known.get(t) for t in typed.astype(object)], dtype=object)

@@ -24,12 +24,6 @@ def plate_holds(plate: Column, wanted: str) -> Column:
     return F.contains(F.lower(plate), F.lit(wanted)) if len(wanted) >= 2 else F.lit(True)
 
 
-def brand_matches(option: Column, wanted: Column) -> Column:
-    """One name holds the other, whatever their case."""
-    a, b = F.lower(F.trim(option)), F.lower(F.trim(wanted))
-    return (b != "") & (F.contains(a, b) | F.contains(b, a))
-
-
 def shown(representative: Column, provider: Column, sources: list[str] | None) -> Column:
     """One ad a vehicle, unless the search is narrowed to sources: then all their ads."""
     return provider.isin(sources) if sources else representative

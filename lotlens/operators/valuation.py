@@ -176,7 +176,8 @@ def valued(compared: DataFrame, as_of_year: int) -> DataFrame:
         F.col("t_listing_id").alias("listing_id"), thousands(bound(_weighted(0.5))).alias("market_value"), thousands(bound(_weighted(0.25))).alias("range_low"), thousands(bound(_weighted(0.75))).alias("range_high"),
         F.size("used").cast("long").alias("comparable_count"), F.when(F.col("adjusted"), "adjusted").otherwise("raw_median").alias("method"),
         F.coalesce(F.try_divide(F.col("total") * F.col("total"), F.col("squares")), F.lit(0.0)).alias("effective_sample"), "fallback",
-        *[used(x).alias(f"used_{x}") for x in "ABCD"],
+        *[used(x).alias(f"used_{x}") for x in "ABCD"], ((_weighted(0.75) - _weighted(0.25)) / F.nullif(_weighted(0.5), F.lit(0.0))).alias("dispersion"),
+        F.sort_array(F.transform("used", lambda c: c["price"])).alias("prices"), F.array_min(F.transform("used", lambda c: c["age_days"])).alias("newest_days"),
         F.when(F.col("adjusted"), F.floor(0.5 - F.col("b_age"))).alias("per_model_year"), F.when(F.col("adjusted"), F.floor(F.col("b_km") * 1000 + 0.5)).alias("per_thousand_km"),
     )
 
@@ -226,14 +227,18 @@ def shrink(s: Column, n: Column, k: float) -> Column:
     return 50 + (s - 50) * (n / (n + k))
 
 
-def deal_score(delta: Column, n: Column, usable: Column, **parts: Column) -> Column:
-    """V7: null where prices can't be compared; parts are deviations from 50 with fixed weights."""
+def price_value(delta: Column, n: Column) -> Column:
+    """How the price stands to the market, drawn to 50 where it rests on few comparables."""
+    return shrink(score(interpolate(delta, PRICE_CURVE)), n, 6)
+
+
+def deal_score(delta: Column, n: Column, usable: Column, modifiers: Column | None = None, **parts: Column) -> Column:
+    """V7: null where prices can't be compared; parts are deviations from 50 with fixed weights, modifiers points to add."""
     weights = {"mileage": 0.12, "age": 0.12, "owner": 0.12, "equipment": 0.08, "transparency": 0.03, "protection": 0.03}
-    price = shrink(score(interpolate(delta, PRICE_CURVE)), n, 6)
-    raw = F.lit(50.0) + 0.5 * (price - 50)
+    raw = F.lit(50.0) + 0.5 * (price_value(delta, n) - 50)
     for name, part in parts.items():
         raw = raw + weights[name] * (F.coalesce(part, F.lit(50.0)) - 50)
-    return F.when(usable, score(raw))
+    return F.when(usable, score(raw + (F.lit(0) if modifiers is None else F.coalesce(modifiers, F.lit(0)))))
 
 
 def age_score(age: Column) -> Column:
@@ -283,9 +288,17 @@ def buy_confidence(condition: Column) -> Column:
     return score(raw - F.when(~condition["has_owners"] & ~condition["has_service"], THIN_LISTING).otherwise(0))
 
 
-def owner_score(owners: Column) -> Column:
-    """V8's part of owners, where they are stated."""
-    return F.when(owners.isNotNull(), half_up(interpolate(owners, CONDITION_OWNERS)))
+#: Points of the deal's owner score, relative to the owners expected of the age and absolute; where none are stated.
+RELATIVE_OWNERS = [(0.25, 92), (0.5, 82), (0.8, 68), (1, 55), (1.3, 42), (1.8, 25), (3, 10)]
+ABSOLUTE_OWNERS = [(1, 90), (2, 76), (3, 62), (4, 50), (5, 38), (8, 18), (12, 10)]
+DEAL_UNKNOWN_OWNERS = 46
+
+
+def owner_score(owners: Column, age: Column) -> Column:
+    """V8's part of owners: against one and another every four years, and as they are."""
+    expected = 1 + F.greatest(age, F.lit(0.0)) / 4
+    told = 0.55 * interpolate(owners / expected, RELATIVE_OWNERS) + 0.45 * interpolate(owners, ABSOLUTE_OWNERS)
+    return F.when(owners.isNull(), F.lit(DEAL_UNKNOWN_OWNERS)).otherwise(half_up(told)).cast("long")
 
 
 def even_sample(values: Column, size: int = 40) -> Column:

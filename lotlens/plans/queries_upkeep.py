@@ -129,12 +129,6 @@ def p9_recent(spark, sf):
     return listings(spark, sf).filter(upkeep.recent(at, "month", now)).groupBy(posted.alias("posted")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT DISTINCT p_brand AS brand FROM part WHERE contains(lower(p_brand), 'brand#3') OR contains('brand#3', lower(p_brand))""")
-def p8_brand_options(spark, sf):
-    brands = table(spark, sf, "part").select(F.col("p_brand").alias("brand")).distinct()
-    return brands.filter(upkeep.brand_matches(F.col("brand"), F.lit("BRAND#3 ")))
-
-
 @query(f"WITH {LISTING_SQL} SELECT listing_id FROM listing WHERE contains(lower(listing_id), '77-')")
 def p13_plate(spark, sf):
     return listings(spark, sf).filter(upkeep.plate_holds(F.col("listing_id"), " 77-")).select("listing_id")
@@ -279,10 +273,9 @@ def g17_all_reasons(spark, sf):
     return listings(spark, sf).select("listing_id", F.array_join(reasons, ",").alias("reasons"), ingest.quality_status(reasons).alias("status"))
 
 
-@query("""SELECT event_id, TRY_CAST(regexp_extract(replace(concat('ca ', CAST(value AS VARCHAR), ' l/100 km'), ',', '.'), '[0-9.]+') AS DOUBLE) AS litres FROM events WHERE value >= 0.001 AND value < 1000000""")
+@query("""SELECT doc_id, TRY_CAST(regexp_extract(regexp_extract(regexp_replace(text, ',', '.'), '([0-9.]+)', 1), '^([0-9]+[.]?[0-9]*|[.][0-9]+)', 1) AS DOUBLE) AS litres FROM documents""")
 def x10_fuel_consumption(spark, sf):
-    e = table(spark, sf, "events").filter("value >= 0.001 and value < 1000000")
-    return e.select("event_id", parsers.fuel_consumption(F.concat(F.lit("ca "), F.col("value").cast("string"), F.lit(" l/100 km"))).alias("litres"))
+    return table(spark, sf, "documents").select("doc_id", parsers.fuel_consumption(F.col("text")).alias("litres"))
 
 
 @query("""WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN NULL WHEN 3 THEN 302 ELSE 200 END AS status, CASE WHEN page_id % 5 = 0 THEN concat(html, '<p>Varan har SÅLTS eller tagits bort</p>') WHEN page_id % 11 = 0 THEN concat(html, 'Sidan hittades inte') ELSE html END AS html FROM pages)

@@ -110,8 +110,10 @@ def export(rows: DataFrame, path: str, *order: str) -> str:
 
 
 def fuel_consumption(raw: Column) -> Column:
-    """The first number of a text, a comma being a decimal point."""
-    return F.regexp_extract(F.replace(raw, F.lit(","), F.lit(".")), r"([0-9.]+)", 1).try_cast("double")
+    """The first number of a text, its first comma being a decimal point; of 1.2.3 the leading 1.2 counts."""
+    point = F.regexp_replace(raw, "^([^,]*),", "$1.")
+    run = F.regexp_extract(point, r"([0-9.]+)", 1)
+    return F.regexp_extract(run, r"^([0-9]+\.?[0-9]*|\.[0-9]+)", 1).try_cast("double")
 
 
 #: Wording of pages whose ad is gone, of challenges, and of headings.

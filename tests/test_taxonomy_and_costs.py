@@ -1,9 +1,10 @@
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lotlens.operators import costs, taxonomy
+from lotlens.operators import brands, costs, taxonomy
 from lotlens.sources import parsers
 
 SCHEMA = "make string, model string, variant string, title string, body_style string, fuel_type string, model_year int"
@@ -44,9 +45,42 @@ def test_generations_and_contradictions(spark):
 
 
 def test_brands(spark):
-    assert [taxonomy.resolve_brand(x) for x in ("VW", "wv", "mercedez", "volkswagon", "a4", "x", "Škoda", "zzzzzz")] == ["Volkswagen", "Volkswagen", "Mercedes-Benz", "Volkswagen", None, None, "Skoda", None]
-    rows = spark.createDataFrame([("vw",), ("tesla",), (None,), ("??",)], "t string").select(taxonomy.brand_of("t").alias("b")).collect()
-    assert [r.b for r in rows] == ["Volkswagen", "Tesla", None, None]
+    typed = ["VW", "wv", "mercedez", "volkswagon", "a4", "x", "Škoda", "zzzzzz", "tesla", None, "??", "vovlo", "alfa-romeo", "hnydai", "dcaia", "kiaa", "z"]
+    rows = spark.createDataFrame([(t,) for t in typed], "typed string")
+    got = {r.typed: r.make for r in brands.resolved(rows).collect()}
+    want = {"VW": "Volkswagen", "wv": "Volkswagen", "mercedez": "Mercedes-Benz", "volkswagon": "Volkswagen", "Škoda": "Skoda", "tesla": "Tesla", "vovlo": "Volvo", "alfa-romeo": "Alfa Romeo", "hnydai": "Hyundai", "dcaia": "Dacia", "kiaa": "Kia"}
+    assert got == want
+
+
+def plain_edits(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[-2][j - 2] + 1)
+            row.append(best)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_edits_and_deletions_against_plain_python(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(0, 7)))
+    pairs = [(word(), word()) for _ in range(300)] + [("ca", "abc"), ("vw", "wv")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", brands.edits(F.col("a"), F.col("b")).alias("n"), F.arrays_overlap(brands.deletions(F.col("a")), brands.deletions(F.col("b"))).alias("meet")).collect()
+    for r in rows:
+        assert r.n == plain_edits(r.a, r.b)
+        assert r.meet or r.n > 2
+
+
+def test_brand_options(spark):
+    options = spark.createDataFrame([(x,) for x in ("Volkswagen", "Mercedes-Benz", "Volvo", "Kia", "Own Make")], "option string")
+    typed = spark.createDataFrame([(x,) for x in ("vw", "mercedesbenz", "vovlo", "", "own", "zzz", "merc")], "typed string")
+    got = {(r.option, r.typed) for r in brands.matching_options(options, typed).collect()}
+    want = {("Volkswagen", "vw"), ("Mercedes-Benz", "mercedesbenz"), ("Volvo", "vovlo"), ("Own Make", "own"), ("Mercedes-Benz", "merc")} | {(o, "") for o in ("Volkswagen", "Mercedes-Benz", "Volvo", "Kia", "Own Make")}
+    assert got == want
 
 
 def test_result_list_and_state(spark):

@@ -32,7 +32,7 @@ def test_detail_and_numbers(spark):
     assert (got[0].d.description, got[0].d.equipment, got[0].d.specifications, got[0].d.images) == ("fin", ["a", "b"], {"x": "1"}, ["u"])
     assert (got[2].d.description, got[2].d.equipment, got[2].d.specifications, got[2].d.images) == (None, [], {}, None)
     numbers = spark.createDataFrame([("6,5 l",), ("ca 4.9",), ("okänd",), (None,), ("1.2.3",)], "t string").select(parsers.fuel_consumption(F.col("t")).alias("n")).collect()
-    assert [r.n for r in numbers] == [6.5, 4.9, None, None, None]
+    assert [r.n for r in numbers] == [6.5, 4.9, None, None, 1.2]
 
 
 def test_places(spark):
