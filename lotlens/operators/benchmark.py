@@ -141,12 +141,12 @@ def _after(steps: Column, bits: int = 40) -> Column:
     for _ in range(bits):
         doubled.append((a, c))
         a, c = a * a % 2**32, (a * c + c) % 2**32
-    steps_of = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in doubled])
+    steps_of = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c"), F.lit(1 << j).cast("long").alias("bit")) for j, (a, c) in enumerate(doubled)])
 
     def step(s: Column, k: Column) -> Column:
         one = F.get(steps_of, k)
         more = F.struct(_times(one["a"], s["a"]).alias("a"), ((_times(one["a"], s["c"]) + one["c"]).bitwiseAND(F.lit(0xFFFFFFFF))).alias("c"))
-        return F.when(F.get(F.array(steps), F.lit(0)).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), k)) != 0, more).otherwise(s)
+        return F.when(steps.cast("long").bitwiseAND(one["bit"]) != 0, more).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), out, step)
 
