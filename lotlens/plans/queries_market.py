@@ -183,3 +183,10 @@ def r25_warnings(spark, sf):
     rows = sums.join(gone, "provider", "left").join(r.groupBy("provider").agg(F.max("cleanup_at").alias("cleanup")), "provider", "left").join(F.broadcast(failed))
     w = reports.warnings_of(F.coalesce("gone", F.lit(0)), F.col("active"), F.col("never"), F.col("cleanup"), F.col("first"), F.col("inconclusive"), F.col("missing"), now, F.col("failed"))
     return rows.select("provider", F.array_join(w, ";").alias("warnings"))
+
+
+@query()
+def l2_independent_market(spark, sf):
+    """A search: its queries are the ads whose vehicle has an id divisible by 20. Held against plain Python in the tests."""
+    pool = cohort.one_a_vehicle(_pool(spark, sf).withColumn("seen_at", F.col("last_seen_at").cast("timestamp")))
+    return cohort.independent(pool.filter("vehicle_id % 20 = 0"), pool, AS_OF.year)
