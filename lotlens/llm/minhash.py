@@ -10,9 +10,9 @@ similarity 0.85 retains SHARED of 64 values in common but once in 10^9 pairs; wh
 sketches hold them whole, it has 0.85 of the larger one without exception. Hence only the rarest values of a sketch are
 looked up: k - SHARED + 1 of them can't all be missed, however the values are ordered. Values of one class link nothing.
 
-A list is first linked through one head, the class whose values most others retain, and joined by union-find. What that leaves in different components is compared
-pair by pair in lists of up to PAIRED classes, and in larger ones by an exact search on full sets, rarest shingles first,
-in which the members of a list's commonest component meet the others, never each other.
+A list is first linked through one head, the class whose values most others retain, and joined by union-find. What that
+leaves in different components is compared pair by pair in lists of up to PAIRED classes, and in larger ones by an exact
+search on full sets among what each class differs in from the list's head (crowd_apart).
 
 Defined results: a null text, an empty one and one without words have an empty set and are linked with nothing but
 themselves (their own id is their component); a text of fewer than five words is one shingle; texts alike are linked, rows
@@ -182,7 +182,7 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def unresolved(rooted: DataFrame) -> DataFrame:
-    """The rows (same, value, list_size, root) of lists that hold several components."""
+    """The rows (same, value, list_size, head, root) of lists that hold several components."""
     some = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
     return rooted.join(small_or_none(some, BROADCAST_VALUES) or some, "value", "left_semi")
 
@@ -195,32 +195,34 @@ def pairs_apart(open_lists: DataFrame) -> DataFrame:
 
 
 def crowd_apart(open_lists: DataFrame, grams: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components of larger lists that share enough of their rarest shingles to be linked.
-
-    Of two linked sets, in any order common to all, one of the first n - ceil(0.85 n) + 1 of the larger is also of the first
-    n - ceil(2 * 0.85 / 1.85 n) + 1 of the smaller, and if so many more are taken on both sides, so many more are shared.
+    """Pairs (u, v) of different components of larger lists that may be linked; none that is linked is left out.
+
+    Classes of a list are told by what they differ in from its head: the shingles that one of the two has alone. Two sets
+    of sizes a and b are linked if and only if they differ in at most t = 0.15 / 1.85 (a + b) shingles. Classes that are
+    linked to the head are one component. If one isn't, then it and any other class differ from the head in more than t
+    together, so that the two, to be linked, share some of these differences; and since the other differs from the head
+    at most t less than it does, they share all of its own but t. It is therefore enough to look up so many of its
+    differences, rarest first, as can't all be missed, among all differences from that head.
     """
-    ids = open_lists.filter(F.col("list_size") > PAIRED).groupBy("same").agg(F.first("root").alias("root"))
-    crowd = settle(grams.join(ids, "same"))
-    each = crowd.select("same", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counts = each.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")
-    counted = each.join(counts, "gram").groupBy("same", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
-    # Shingles of one set alone come first in the order; they are the ones that the join has left out.
-    alone = F.col("n") - F.size("ranked")
-    more = F.floor(F.col("n") / 20)
-    upto = lambda share: (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 + more - F.col("alone")).cast("int")
-    j = HUNDREDTHS / 100
-    some = counted.withColumn("alone", alone).withColumn("large", upto(j)).filter("large > 0").withColumn("small", upto(2 * j / (1 + j)))
-    keys = settle(some.select("same", "root", "n", "small", F.posexplode(F.slice("ranked", F.lit(1), F.col("large"))).alias("at", "r")).select("same", "root", "n", (F.col("at") < F.col("small")).alias("small"), F.col("r.gram").alias("key")))
-    mains = keys.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main")).filter("roots > 1")
-    held = settle(keys.join(mains.select("key", "main"), "key").withColumn("rest", F.col("root") != F.col("main")))
-    a = held.select("key", F.col("same").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("xa"))
-    b = held.filter("small").select("key", F.col("same").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("xb"))
-    met = a.filter("xa").join(b, "key").unionByName(a.filter("not xa").join(b.filter("xb"), "key"))
-    fits = ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))) & (100 * F.col("nb") >= HUNDREDTHS * F.col("na"))
-    tally = met.filter("ra <> rb").filter(fits).groupBy(*_pair("a", "b")).agg(F.count("*").alias("tally"), F.first("nb").alias("nb"))
-    out = settle(tally.filter(F.col("tally") > F.floor(F.col("nb") / 20)).select("u", "v"))
-    discard(crowd, keys, held)
+    apart, j = (100 - HUNDREDTHS) / (100 + HUNDREDTHS), HUNDREDTHS / 100
+    member = settle(open_lists.filter(F.col("list_size") > PAIRED).groupBy("head", "same").agg(F.first("root").alias("root")))
+    whole = member.join(grams, "same").join(grams.select(F.col("same").alias("head"), F.col("grams").alias("of_head")), "head")
+    own, missing = F.array_except("grams", "of_head"), F.array_except("of_head", "grams")
+    told = whole.select("head", "same", "root", F.size("grams").alias("n"), F.size("of_head").alias("n_head"), own.alias("own"), missing.alias("missing"))
+    linked = 100 * (F.col("n") - F.size("own")) >= HUNDREDTHS * (F.col("n_head") + F.size("own"))
+    differ = settle(told.select("head", "same", "root", "n", (~linked).alias("far"), F.concat("own", "missing").alias("d")))
+    each = differ.select("head", "same", "root", "n", "far", F.size("d").alias("size"), F.explode("d").alias("gram"))
+    counts = each.groupBy("head", "gram").agg(F.count("*").alias("often"), F.bool_or("far").alias("asked")).filter("often > 1 and asked").drop("asked")
+    shared = settle(each.join(counts, ["head", "gram"]))
+    ranked = shared.filter("far").groupBy("head", "same", "root", "n", "size").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
+    # Differences that no other class has come first in every order, so only the place among the shared ones is counted.
+    least = F.greatest(F.lit(1), F.ceil(F.col("size") - apart * (F.col("n") + F.col("n") / j) - 1e-6))
+    few = (F.size("ranked") - least + 1).cast("int")
+    asked = ranked.withColumn("few", few).filter("few > 0").select("head", F.col("same").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.explode(F.slice("ranked", F.lit(1), F.col("few"))).alias("r")).select("head", "a", "ra", "na", F.col("r.gram").alias("gram"))
+    others = shared.select("head", "gram", F.col("same").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    fits = (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= HUNDREDTHS * F.greatest("na", "nb"))
+    out = settle(asked.join(others, ["head", "gram"]).filter(fits).select(*_pair("a", "b")).distinct())
+    discard(member, differ, shared)
     return out
 
 
