@@ -160,7 +160,8 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "vehicle_id", replic
     Draws are counted by (replicate, position drawn) before they meet the differences. Positions go by key.
     """
     error = F.abs(F.log(F.col("predicted") / F.col("price")))
-    side = lambda x, name: x.filter("predicted > 0 and price > 0").select(key, error.alias(name))
+    # Written first: predictions may be long expressions, which a filter on them would repeat all the way down.
+    side = lambda x, name: settle(x.select(key, F.col("price").cast("double").alias("price"), F.col("predicted").cast("double").alias("predicted"))).filter("predicted > 0 and price > 0").select(key, error.alias(name))
     deltas = side(a, "ea").join(side(b, "eb"), key).select(key, (F.col("eb") - F.col("ea")).alias("delta"))
     deltas = settle(numbered(deltas, key))
     n = deltas.count()

@@ -7,10 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.functions.lineage import small_or_none
 from lotlens.functions.rules import first_by
 
 #: Days that the windows of recent ads reach back.
 RECENT = {"today": 1, "week": 7, "month": 30}
+#: Ids of a list that are broadcast, at most.
+LISTED = 100_000
 
 
 def recent(listed: Column, window: str, now: datetime) -> Column:
@@ -117,8 +120,8 @@ def by_score(listings: DataFrame, limit: int) -> DataFrame:
 
 
 def in_order(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of a list of ids (position, listing_id), by position."""
-    return F.broadcast(ids).join(rows, "listing_id").orderBy("position")
+    """The rows of a list of ids (position, listing_id), by position; the list is broadcast if it is counted to be short."""
+    return (small_or_none(ids, LISTED) or ids).join(rows, "listing_id").orderBy("position")
 
 
 def known_before(listings: DataFrame, analyses: DataFrame, end: datetime) -> DataFrame:

@@ -170,13 +170,14 @@ def valued(compared: DataFrame, as_of_year: int) -> DataFrame:
     value = lambda c: F.when(F.col("adjusted"), F.least(F.greatest(raw(c), 0.5 * c["price"]), 1.6 * c["price"])).otherwise(c["price"])
     weighing = F.filter("used", lambda c: c["weight"] > 0)
     rows = rows.withColumn("shifted", F.sort_array(F.transform(weighing, lambda c: F.struct(value(c).alias("value"), c["listing_id"].alias("listing_id"), c["weight"].alias("weight")))))
-    bound = lambda x: F.when(F.col("adjusted"), F.least(F.greatest(x, 0.5 * F.col("plain")), 1.6 * F.col("plain"))).otherwise(x)
+    rows = rows.withColumns({"p50": _weighted(0.5), "p25": _weighted(0.25), "p75": _weighted(0.75)})
+    bound = lambda c: thousands(F.when(F.col("adjusted"), F.least(F.greatest(F.col(c), 0.5 * F.col("plain")), 1.6 * F.col("plain"))).otherwise(F.col(c)))
     used = lambda t: F.size(F.filter("used", lambda c: c["tier"] == t))
     return rows.select(
-        F.col("t_listing_id").alias("listing_id"), thousands(bound(_weighted(0.5))).alias("market_value"), thousands(bound(_weighted(0.25))).alias("range_low"), thousands(bound(_weighted(0.75))).alias("range_high"),
+        F.col("t_listing_id").alias("listing_id"), bound("p50").alias("market_value"), bound("p25").alias("range_low"), bound("p75").alias("range_high"),
         F.size("used").cast("long").alias("comparable_count"), F.when(F.col("adjusted"), "adjusted").otherwise("raw_median").alias("method"),
         F.coalesce(F.try_divide(F.col("total") * F.col("total"), F.col("squares")), F.lit(0.0)).alias("effective_sample"), "fallback",
-        *[used(x).alias(f"used_{x}") for x in "ABCD"], ((_weighted(0.75) - _weighted(0.25)) / F.nullif(_weighted(0.5), F.lit(0.0))).alias("dispersion"),
+        *[used(x).alias(f"used_{x}") for x in "ABCD"], ((F.col("p75") - F.col("p25")) / F.nullif(F.col("p50"), F.lit(0.0))).alias("dispersion"),
         F.sort_array(F.transform("used", lambda c: c["price"])).alias("prices"), F.array_min(F.transform("used", lambda c: c["age_days"])).alias("newest_days"),
         F.when(F.col("adjusted"), F.floor(0.5 - F.col("b_age"))).alias("per_model_year"), F.when(F.col("adjusted"), F.floor(F.col("b_km") * 1000 + 0.5)).alias("per_thousand_km"),
     )
@@ -308,6 +309,17 @@ def even_sample(values: Column, size: int = 40) -> Column:
     return F.when(F.size(values) <= size, values).otherwise(thin)
 
 
+def even_samples(rows: DataFrame, key: str, value: str, size: int = 40) -> DataFrame:
+    """A17 by key: (key, values) of each key's sorted values thinned evenly, both ends kept; only the wanted places are gathered."""
+    placed = rows.select(key, value).filter(F.col(value).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1)
+    counted = placed.join(rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), key)
+    step = (F.col("n") - 1) / (size - 1)
+    wanted = lambda j: half_up(j * step) == F.col("k")
+    near = F.col("k") / step
+    kept = counted.filter((F.col("n") <= size) | wanted(F.floor(near)) | wanted(F.ceil(near)))
+    return kept.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
 def budget_focus(low: Column, high: Column, target: Column) -> Column:
     """A struct (target, low, high) of what is known of a budget."""
     whole = lambda x: half_up(x).cast("long")

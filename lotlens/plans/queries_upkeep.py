@@ -108,8 +108,8 @@ def v9_confidence(spark, sf):
 @query(f"""WITH {ACTIVE_SQL}, v AS (SELECT make, list_sort(list(price)) AS p FROM active GROUP BY 1)
 SELECT make, array_to_string(CASE WHEN len(p) <= 40 THEN p ELSE list_transform(range(40), lambda k: p[CAST(floor(k * ((len(p) - 1) / 39.0) + 0.5) AS INT) + 1]) END, ',') AS prices FROM v""")
 def a17_even_sample(spark, sf):
-    prices = live(spark, sf).groupBy("make").agg(F.sort_array(F.collect_list("price")).alias("p"))
-    return prices.select("make", F.array_join(valuation.even_sample(F.col("p")).cast("array<string>"), ",").alias("prices"))
+    prices = valuation.even_samples(live(spark, sf), "make", "price")
+    return prices.select("make", F.array_join(F.col("values").cast("array<string>"), ",").alias("prices"))
 
 
 @query(f"""WITH {LISTING_SQL}, b AS (SELECT listing_id, CASE WHEN horsepower % 3 = 0 THEN NULL ELSE price END AS lo, CASE WHEN horsepower % 4 = 0 THEN NULL ELSE price + 30000 END AS hi, CASE WHEN horsepower % 7 = 0 THEN price ELSE NULL END AS t FROM listing)
