@@ -2,11 +2,13 @@
 
 Templates are whole public license texts and the notices that name a license. A run of three words that a template
 holds opens a candidate block in a text, as long as the template with its allowance; overlapping blocks are one. Each
-block is compressed alone and with every template that opened it as a raw zstandard dictionary, and the templates are
-ranked by the bytes they save. In that order they are compared with the block word by word; the one with most words
-there, less its missing and strange ones, wins, of equal ones the one that saves more. Nearly all words of a template
-must stand in the block in order, all those that tell licenses apart among them, with few others between. A copy whose
-missing and strange words number fewer than a third of the template's always has a run that opens a block.
+block is compressed alone and with every template as a raw zstandard dictionary, and the templates are ranked by the
+bytes they save. In that order they are compared with the block word by word, and the first whose wording is confirmed
+wins; templates that save the same bytes go by fewest missing and strange words, then by name. Confirmed means: nearly
+all words of a template stand in the block in order, all those that tell licenses apart among them, with few others
+between. All places of the winner in the block are taken at once, and what lies between them is ranked anew without it,
+so that a block is compressed once a template at most however many notices follow each other in it. A copy whose missing
+and strange words number fewer than a third of the template's always has a run that opens a block.
 
 Defined results: a null text counts as empty; a text without a license gives no row, and neither does an empty table;
 rows alike give the same rows; equal winners go by name; texts may be of any length; offsets are in words of the whole
@@ -16,7 +18,10 @@ text; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -111,11 +116,31 @@ class Scanner:
                 found += [(k - at, name, k) for name, at in self.runs.get(" ".join(words[k : k + n]), ())]
         return found
 
-    def _confirm(self, name: str, begins: list[int], block: list[str]):
-        """(start, end, missing, strange) if the template's wording is in the block, about where most of its runs would have it begin."""
+    def _places(self, name: str, begins: list[int], block: list[str]) -> list[tuple[int, int, int, int]]:
+        """(start, end, missing, strange) of every place where the template's wording is in the block.
+
+        A place is looked at if enough runs would have the template begin near it: a missing word breaks up to RUN runs,
+        a strange one RUN - 1, and what the allowances leave must be there.
+        """
+        template = self.templates[name][0]
+        slack = int((MISSING + STRANGE) * len(template)) + 1
+        need = max(1, math.floor(len(template) - RUN + 1 - (MISSING * RUN + STRANGE * (RUN - 1)) * len(template)))
+        begins, found, near = sorted(begins), [], set()
+        for begin, _ in sorted(Counter(begins).items(), key=lambda x: (-x[1], x[0])):
+            if begin in near:
+                continue
+            if bisect_right(begins, begin + slack) - bisect_left(begins, begin - slack) < need:
+                continue
+            near.update(range(begin - slack // 2, begin + slack // 2 + 1))
+            if (of := self._confirm(name, begin, block)) is not None:
+                found.append(of)
+                block[of[0] : of[1]] = [""] * (of[1] - of[0])
+        return sorted(found)
+
+    def _confirm(self, name: str, begin: int, block: list[str]):
+        """(start, end, missing, strange) if the template's wording is in the block, about where it would begin."""
         template, keys, _, _ = self.templates[name]
         slack = int((MISSING + STRANGE) * len(template)) + 1
-        begin = max(Counter(begins).items(), key=lambda x: (x[1], -x[0]))[0]
         low = max(begin - slack, 0)
         span = block[low : max(begin, 0) + len(template) + slack]
         runs = [m for m in difflib.SequenceMatcher(None, template, span, autojunk=False).get_matching_blocks() if m.size]
@@ -146,28 +171,39 @@ class Scanner:
             else:
                 blocks.append([low, high, [(begin, name, at)]])
         out = []
-        for low, high, hits in blocks:
+        while blocks:
+            low, high, hits = blocks.pop()
             block = words[low:high]
-            hits = [(begin - low, name, at - low) for begin, name, at in hits]
-            while hits and (found := self._best(block, hits)):
-                name, start, end, missing, strange, saved = found
-                out.append((name, low + start, end - start, missing, strange, saved))
-                block[start:end] = [""] * (end - start)
-                hits = [h for h in hits if not start - RUN < h[2] < end]
+            if (best := self._best(block, [(begin - low, name, at - low) for begin, name, at in hits])) is None:
+                continue
+            name, saved, places = best
+            out += [(name, low + start, end - start, missing, strange, saved) for start, end, missing, strange in places]
+            # What lies between the places is searched for the other templates.
+            edges = [low, *[low + x for start, end, _, _ in places for x in (start, end)], high]
+            others = sorted((h for h in hits if h[1] != name), key=lambda h: h[2])
+            at = [h[2] for h in others]
+            for left, right in zip(edges[::2], edges[1::2], strict=True):
+                if rest := others[bisect_left(at, left) : bisect_right(at, right - RUN if right < high else right)]:
+                    blocks.append([left, right, rest])
         return sorted(set(out), key=lambda x: x[1])
 
-    def _best(self, block: list[str], hits: list[tuple[int, str, int]]):
+    def ranking(self, block: list[str]) -> list[tuple[int, str]]:
+        """(bytes saved, template) of all templates over the words of a block, the greatest reduction first."""
         raw = " ".join(w for w in block if w).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        ranked = sorted((alone - len(self.templates[name][2].compress(raw)), name) for name in {h[1] for h in hits})
-        confirmed = []
-        for saved, name in reversed(ranked):
-            if (of := self._confirm(name, [h[0] for h in hits if h[1] == name], block)) is not None:
-                confirmed.append((2 * of[2] + of[3] - len(self.templates[name][0]), -saved, name, of))
-        if not confirmed:
-            return None
-        _, saved, name, (start, end, missing, strange) = min(confirmed)
-        return name, start, end, missing, strange, -saved / self.templates[name][3]
+        return sorted(((alone - len(of[2].compress(raw)), name) for name, of in self.templates.items()), key=lambda x: (-x[0], x[1]))
+
+    def _best(self, block: list[str], hits: list[tuple[int, str, int]]):
+        """(template, share saved, its places) of the first template in the ranking that is confirmed; none: null."""
+        begins = defaultdict(list)
+        for begin, name, _ in hits:
+            begins[name].append(begin)
+        for saved, group in itertools.groupby(self.ranking(block), key=lambda x: x[0]):
+            equal = [(name, of) for _, name in group if name in begins and (of := self._places(name, begins[name], list(block)))]
+            if equal:
+                name, places = min(equal, key=lambda x: (min(2 * p[2] + p[3] - len(self.templates[x[0]][0]) for p in x[1]), x[0]))
+                return name, saved / self.templates[name][3], places
+        return None
 
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None) -> DataFrame:
