@@ -148,9 +148,9 @@ def valued(compared: DataFrame, as_of_year: int) -> DataFrame:
     Prices far from their median go; a weighted fit on age and mileage shifts each price to the target if its slopes fall;
     weighted percentiles of the shifted prices are clamped and rounded. Arrays hold NEAREST comparables at most.
     """
-    rows = compared.filter(F.size("near") >= LEAST).withColumn("mid", _median(F.transform("near", lambda c: c["price"])))
-    inside = F.filter("near", lambda c: c["price"].between(0.4 * F.col("mid"), 2.5 * F.col("mid")))
-    rows = rows.withColumn("used", F.when(F.size("near") < 4, F.col("near")).otherwise(inside)).drop("near", "mid").filter(F.size("used") >= LEAST)
+    # The median is a lambda's argument: as a column it would be computed anew for every comparable once the filter is pushed down.
+    inside = F.transform(F.array(_median(F.transform("near", lambda c: c["price"]))), lambda mid: F.filter("near", lambda c: c["price"].between(0.4 * mid, 2.5 * mid)))
+    rows = compared.filter(F.size("near") >= LEAST).withColumn("used", F.when(F.size("near") < 4, F.col("near")).otherwise(F.get(inside, F.lit(0)))).drop("near").filter(F.size("used") >= LEAST)
     age = lambda c: (F.lit(as_of_year) - c["model_year"]).cast("double")
     rows = rows.withColumns({"plain": _median(F.transform("used", lambda c: c["price"])), "total": _sum("used", lambda c: c["weight"]), "squares": _sum("used", lambda c: c["weight"] * c["weight"])})
     mean = lambda of: F.try_divide(_sum("used", lambda c: c["weight"] * of(c)), F.col("total"))
