@@ -515,4 +515,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-from lotlens.plans import queries_market, queries_upkeep, queries_valuation  # noqa: E402, F401  register more queries
+from lotlens.plans import queries_market, queries_stored, queries_upkeep, queries_valuation  # noqa: E402, F401  register more queries
