@@ -39,6 +39,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def boxed(docs: DataFrame, *beside: Column | str) -> DataFrame:
+    """Rows of docs whole in a struct, so that names beside it can't clash with theirs; select("row.*") gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *beside)
+
+
 def once(x: Column, use: Callable[[Column], Column]) -> Column:
     """use(x), with x computed once however often it is used."""
     return F.get(F.transform(F.array(x), use), F.lit(0))

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import n_words, settle, small_or_none, text_key, text_of
+from lotlens.llm.common import boxed, n_words, settle, small_or_none, text_key, text_of
 
 #: Newton steps at most; a source ends when its words are within this share of its target.
 STEPS, NEAR = 60, 1e-6
@@ -168,5 +168,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, int
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mix itself: every row of docs as often as its copies say."""
-    rows = mix(docs, weights, cap, "__mix").filter("__mix.copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))).drop("__mix", "__copy")
+    rows = mix(boxed(docs, "doc_id", "text", "source"), weights, cap, "mix").filter("mix.copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))).alias("copy")).select("row.*")

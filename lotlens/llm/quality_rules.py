@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import left_join_checked, settle, text_key, text_of, words
+from lotlens.llm.common import boxed, left_join_checked, settle, text_key, text_of, words
 
 #: Hash buckets of the two multinomials, and what each bucket's counts start from.
 BUCKETS, SMOOTHING = 1 << 16, 1.0
@@ -133,5 +133,5 @@ def passing(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -
     keyed = docs.select(F.struct("doc_id", text_key(text_of()).alias("key")).alias("doc_id"), "text")
     verdict = _verdicts(keyed, llr_table(docs, trusted), threshold)
     failed = verdict.filter("not kept").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key")).distinct()
-    rows = docs.withColumn("__text_key", text_key(text_of()))
-    return rows.join(failed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").drop("__text_key")
+    rows = boxed(docs, F.col("doc_id").alias("own"), text_key(text_of()).alias("own_key"))
+    return rows.join(failed, F.col("own").eqNullSafe(F.col("__id")) & (F.col("own_key") == F.col("__key")), "left_anti").select("row.*")

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import choices, components, settle, small_or_none, text_key, text_of, words
+from lotlens.llm.common import boxed, choices, components, settle, small_or_none, text_key, text_of, words
 
 SHINGLE, BITS_APART = 4, 4
 #: Postings of more different fingerprints than this are linked by shared near values, not by pairs.
@@ -121,8 +121,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, one for each component: that with the smallest doc_id (nulls last) and text hash."""
     found = near_duplicates(docs)
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.key").alias("__key"))
-    rows = docs.withColumn("__text_key", text_key(text_of())).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
+    rows = boxed(docs, F.col("doc_id").alias("own"), text_key(text_of()).alias("own_key"))
+    kept = rows.join(first, F.col("own").eqNullSafe(F.col("__id")) & (F.col("own_key") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates(["own", "own_key"]).select("row.*")
 
 
 def hex16(fp: Column) -> Column:
