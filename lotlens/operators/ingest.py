@@ -69,25 +69,49 @@ def disappeared(listings: DataFrame, seen: DataFrame, at: Column, strikes: int =
 def identities(tokens: DataFrame) -> DataFrame:
     """G1: (listing_id, vehicle_key): listings that share an identifier, through any chain of them, are one vehicle.
 
-    tokens: (listing_id, token) with every VIN, plate or source id of a listing. Labels are the smallest listing id
-    in reach: each round a token takes the least label of its listings, a listing the least of its tokens, and then
-    the label of the listing that its label names, so that long chains close in few rounds.
+    tokens: (listing_id, token) with every VIN, plate or source id of a listing. Labels are the smallest listing id in
+    reach. Each round every label takes the least one that it shares a token with, follows that to its end, and the
+    groups so found become the labels of the next round; tokens of one label alone are done. Labels that lead
+    elsewhere are gone from later rounds, so that a chain of any length closes in few rounds over ever less rows.
     """
-    edges = settle(tokens.filter("token is not null").select("listing_id", "token").distinct())
-    labels = tokens.select("listing_id").distinct().withColumn("label", F.col("listing_id"))
-    settled = None
+    rows = tokens.filter("token is not null").select(F.col("listing_id").alias("label"), "token").distinct()
+    steps = []
     while True:
-        of_token = edges.join(labels, "listing_id").groupBy("token").agg(F.min("label").alias("least"))
-        better = edges.join(of_token, "token").groupBy("listing_id").agg(F.min("least").alias("least"))
-        moved = labels.join(better, "listing_id", "left").select("listing_id", "label", F.least("label", F.coalesce("least", "label")).alias("new"))
-        jump = moved.select(F.col("listing_id").alias("new"), F.col("new").alias("further"))
-        moved = settle(moved.join(jump, "new", "left").select("listing_id", "label", F.least("new", F.coalesce("further", "new")).alias("new")))
-        labels = moved.select("listing_id", F.col("new").alias("label"))
-        if moved.filter("new <> label").isEmpty():
-            return labels.select("listing_id", F.col("label").alias("vehicle_key"))
-        before, settled = settled, moved
-        if before is not None:
-            discard(before)
+        edges = settle(rows)
+        least = edges.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("token", "least")
+        shared = settle(edges.join(least, "token"))
+        if shared.isEmpty():
+            discard(edges, shared)
+            break
+        moved = _followed(settle(shared.groupBy("label").agg(F.min("least").alias("to"))))
+        rows = shared.select("label", "token").join(moved, "label").select(F.col("to").alias("label"), "token").distinct()
+        steps.append(moved)
+    every = None
+    for moved in reversed(steps):
+        every = moved if every is None else settle(_through(moved, every))
+    labels = tokens.select(F.col("listing_id").alias("label")).distinct()
+    if every is None:
+        return labels.select(F.col("label").alias("listing_id"), F.col("label").alias("vehicle_key"))
+    return labels.join(every, "label", "left").select(F.col("label").alias("listing_id"), F.coalesce("to", "label").alias("vehicle_key"))
+
+
+def _through(moved: DataFrame, further: DataFrame) -> DataFrame:
+    """(label, to) of moved, to led on by further where that knows it."""
+    on = further.select(F.col("label").alias("to"), F.col("to").alias("end"))
+    return moved.join(on, "to", "left").select("label", F.coalesce("end", "to").alias("to"))
+
+
+def _followed(moved: DataFrame) -> DataFrame:
+    """(label, to) with to at its chain's end: a label leads to a lesser one or to itself, and steps double each time."""
+    while True:
+        on = moved.select(F.col("label").alias("to"), F.col("to").alias("end"))
+        next_ = settle(moved.join(on, "to", "left").select("label", F.coalesce("end", "to").alias("to"), (F.col("end") < F.col("to")).alias("on")))
+        ended = next_.filter("on").isEmpty()
+        discard(moved)
+        moved = next_.drop("on")
+        moved.settled_at = next_.settled_at
+        if ended:
+            return moved
 
 
 #: Identifiers from the most to the least telling, for the id of a new vehicle.
