@@ -52,7 +52,8 @@ def trends(selections: DataFrame, cohorts: DataFrame, until: datetime, reference
     """For each selection the narrowest cohort that has a snapshot on the latest day, its latest point and, for each
     reference, the last point at or before so many days earlier, with the changes of price and stock since.
 
-    Different selections meet the cohorts once; a cohort's days are aggregated before they meet its selections.
+    Different selections meet the cohorts once; a cohort's days are aggregated before they meet its selections. The joins
+    are by shuffle whatever the files' sizes say: every selection becomes a row a level, far more than its file tells.
     """
     seen = cohorts.filter(F.col("day") <= F.lit(until).cast("date"))
     last = seen.agg(F.max("day").alias("last"))
@@ -63,8 +64,8 @@ def trends(selections: DataFrame, cohorts: DataFrame, until: datetime, reference
     ago = lambda d: F.max_by(F.when(F.col("day") <= F.date_sub("last", d), point), F.when(F.col("day") <= F.date_sub("last", d), F.col("day"))).alias(f"p{d}")
     on_last = F.max(F.when(F.col("day") == F.col("last"), point))
     history = dated.groupBy("granularity", *KEYS).agg(F.max("last").alias("day"), on_last.alias("p"), F.count("*").alias("points"), *[ago(d) for d in references]).filter("p is not null")
-    known = asked.alias("a").join(history.alias("h"), _same("a", "h")).select("a.*", "h.day", "h.p", "h.points", *[f"h.p{d}" for d in references])
-    met = wanted.alias("a").join(known.alias("h"), _same("a", "h")).select("a.request_id", "a.step", F.struct("h.*").alias("h"))
+    known = asked.alias("a").join(history.alias("h").hint("merge"), _same("a", "h")).select("a.*", "h.day", "h.p", "h.points", *[f"h.p{d}" for d in references])
+    met = wanted.alias("a").join(known.alias("h").hint("merge"), _same("a", "h")).select("a.request_id", "a.step", F.struct("h.*").alias("h"))
     best = met.groupBy("request_id").agg(F.min_by("h", "step").alias("h"), F.min("step").alias("step"))
     first = wanted.groupBy("request_id").agg(F.min("step").alias("first"))
     now, then = (lambda c: F.col(f"h.p.{c}")), (lambda d, c: F.col(f"h.p{d}.{c}"))
@@ -72,4 +73,4 @@ def trends(selections: DataFrame, cohorts: DataFrame, until: datetime, reference
     for d in references:
         for c, name in (("median_price", "price"), ("active_count", "inventory")):
             changes += [then(d, c).alias(f"{name}_{d}"), (now(c) - then(d, c)).alias(f"{name}_change_{d}"), (100.0 * (now(c) - then(d, c)) / F.nullif(then(d, c), F.lit(0))).alias(f"{name}_percent_{d}")]
-    return best.join(first, "request_id").select("request_id", F.col("h.granularity").alias("granularity"), (F.col("step") > F.col("first")).alias("used_fallback"), F.col("h.day").alias("day"), now("median_price").alias("median_price"), now("active_count").alias("active_count"), F.col("h.points").alias("points"), *changes)
+    return best.join(first.hint("merge"), "request_id").select("request_id", F.col("h.granularity").alias("granularity"), (F.col("step") > F.col("first")).alias("used_fallback"), F.col("h.day").alias("day"), now("median_price").alias("median_price"), now("active_count").alias("active_count"), F.col("h.points").alias("points"), *changes)
