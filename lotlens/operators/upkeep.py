@@ -37,11 +37,22 @@ def coerced(value: Column, allowed: list[str], fallback: str) -> Column:
     return F.when(value.isin(allowed), value).otherwise(F.lit(fallback))
 
 
+def with_winner(listings: DataFrame, fresh: Column, winner: str = "winner") -> DataFrame:
+    """Listings with the id of the ad that stands for their vehicle, if any: of its active fresh ads the newest, then the latest seen, then the least id.
+
+    Windows by vehicle without an order: rows that are dealt out and sorted by vehicle already are neither moved nor sorted again.
+    """
+    of_car = Window.partitionBy("vehicle_id")
+    live = (F.col("status") == "active") & fresh & F.col("vehicle_id").isNotNull()
+    seen = F.struct("first_seen_at", "last_seen_at")
+    rows = listings.withColumn("__last", F.max(F.when(live, seen)).over(of_car))
+    return rows.withColumn(winner, F.min(F.when(live & seen.eqNullSafe(F.col("__last")), F.col("listing_id"))).over(of_car)).drop("__last")
+
+
 def representatives(listings: DataFrame, fresh: Column) -> DataFrame:
-    """(listing_id, vehicle_id, representative): of a vehicle's active fresh ads the newest, then the latest seen, then the least id."""
-    live = listings.filter((F.col("status") == "active") & fresh)
-    first = first_by(live, ["vehicle_id"], F.desc("first_seen_at"), F.desc("last_seen_at"), F.col("listing_id")).select("vehicle_id", F.col("listing_id").alias("winner"))
-    return listings.join(first, "vehicle_id").select("listing_id", "vehicle_id", (F.col("listing_id") == F.col("winner")).alias("representative"))
+    """(listing_id, vehicle_id, representative) of the ads of vehicles that have a representative."""
+    found = with_winner(listings, fresh).filter("winner IS NOT NULL")
+    return found.select("listing_id", "vehicle_id", (F.col("listing_id") == F.col("winner")).alias("representative"))
 
 
 def changed_flags(listings: DataFrame, fresh: Column, flag: str = "is_representative") -> DataFrame:

@@ -145,9 +145,8 @@ def g10_representatives(spark, sf):
 @query(f"""WITH {ACTIVE_SQL}, w AS (SELECT vehicle_id, listing_id AS winner FROM listing WHERE status = 'active' AND last_seen_at >= TIMESTAMP '1996-01-01' QUALIFY {_FIRST}), x AS (SELECT listing_id, provider, coalesce(listing_id = winner, false) AS rep FROM listing LEFT JOIN w USING (vehicle_id))
 SELECT provider, count(*) FILTER (rep) AS shown, count(*) FILTER (provider IN ('s1', 's2')) AS narrowed FROM x GROUP BY 1""")
 def p12_shown(spark, sf):
-    rows = listings(spark, sf)
-    rep = upkeep.representatives(rows, F.col("last_seen_at") >= F.lit(datetime(1996, 1, 1))).select("listing_id", "representative").dropDuplicates(["listing_id"])
-    rows = rows.join(rep, "listing_id", "left").withColumn("rep", F.coalesce("representative", F.lit(False)))
+    rows = upkeep.with_winner(listings(spark, sf), F.col("last_seen_at") >= F.lit(datetime(1996, 1, 1)))
+    rows = rows.withColumn("rep", F.coalesce(F.col("listing_id") == F.col("winner"), F.lit(False)))
     count = lambda sources: F.count_if(upkeep.shown(F.col("rep"), F.col("provider"), sources))
     return rows.groupBy("provider").agg(count(None).alias("shown"), count(["s1", "s2"]).alias("narrowed"))
 
