@@ -1,22 +1,23 @@
 """Alignment of two tokenizers: where their tokens of one text end together, which tokens meet there, and how often.
 
-A task of Python turns each whole text into the ids and byte ends of its tokens by two public tokenizers. From there on
-everything is built from Spark's higher-order functions: array_intersect of the two end arrays gives the cuts; positions
-come from one sort of both arrays' ends; transform, sequence and aggregate make groups, links and sums of them; the
-counts of id pairs over the corpus are aggregates.
+A task of Python turns each whole text into the ids and byte ends of its tokens by two public tokenizers, and, while
+these are arrays, looks up where both end and, if asked, writes and hashes the groups' text. From there on everything is
+built from Spark's functions: array_intersect of the two end arrays gives the ends of groups; zip_with and transform make
+groups and links of the cuts; the counts of id pairs over the corpus are aggregates.
 
 Tokenizer A reads space + text by a byte-level vocabulary, tokenizer B the text by a sentence-piece model that adds the
 space itself. A text has tokens only where the joined bytes of both are those of space + text.
 
 Defined results: a null or empty text has no tokens, and neither has one whose bytes a tokenizer changes; its arrays are
 empty and its counts zero. Ties for a B id's commonest partner all count as best. Rows alike each have their row, and
-each counts. Texts may be of any length: tokens, cuts and links take work in proportion to them, but for one sort. An
+each counts. Texts may be of any length: tokens, cuts and links take work in proportion to them, but for the search of ends in ends. An
 empty table gives an empty one. Of the input only the id and the text are read, whatever other columns there are; a null
 id is kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.llm.common import discard, left_join_checked, once, settle, small_or_none
+from lotlens.llm.common import discard, left_join_checked, settle, small_or_none
 
 #: How GPT-2's vocabulary splits a text before its merges; fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,7 +46,7 @@ HANDED = 1 << 20
 #: Pairs of ids that are broadcast with their counts, at most.
 BROADCAST_PAIRS = 1_000_000
 
-_INTS = T.ArrayType(T.IntegerType(), False)
+_INTS, _LONGS = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.LongType(), False)
 _readers: dict[tuple[str, str], Readers] = {}
 
 
@@ -85,6 +86,9 @@ class Readers:
         self.space = self.b.piece_to_id("▁")
         self.a_size, self.b_size = (np.array([len(x) for x in v], dtype=np.int64) for v in (self.a_bytes, self.b_bytes))
         self.known: dict[str, bytes | None] = {}
+        # Every id as text with what follows it inside a group and at the end of its side: A's, then B's.
+        written = [str(i) + end for n, ends in ((len(self.a_size), ",|"), (len(self.b_size), ",;")) for i in range(n) for end in ends]
+        self.written = np.array([w.encode() for w in written], dtype=object)
 
     def a_ids(self, spaced: str) -> bytes | None:
         """Packed ids by A; nothing if their bytes are others."""
@@ -119,19 +123,50 @@ class Readers:
         return out
 
 
-def _arrays(rows: list[np.ndarray], size: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """List arrays of the ids and of the byte ends of each row's tokens."""
-    upto = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    flat = np.concatenate(rows)
-    ends = np.concatenate([[0], np.cumsum(size[flat])])
-    own = ends[1:] - np.repeat(ends[upto[:-1]], np.diff(upto))
-    kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-    lists = lambda v: pa.Array.from_buffers(kind, len(rows), [None, pa.py_buffer(upto.astype(np.int32).tobytes())], children=[pa.array(v.astype(np.int32))])
-    return lists(flat), lists(own)
-
-
-def tokens(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, a_ids, a_ends, b_ids, b_ends) of every row: token ids and the byte offsets in space + text where they end."""
+def _upto(rows: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+
+def _lists(values: np.ndarray, upto: np.ndarray, kind: pa.DataType) -> pa.Array:
+    lists = pa.list_(pa.field("element", kind, nullable=False))
+    return pa.Array.from_buffers(lists, len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int32).tobytes())], children=[pa.array(values.astype(kind.to_pandas_dtype()))])
+
+
+def _columns(reader: Readers, texts: list[str | None], digest: bool) -> list[pa.Array]:
+    """The columns of tokens() but for the id, of some texts laid end to end: both readers' tokens of a text cover the same
+    bytes, so that a text ends at one offset by either."""
+    read = reader.read(texts)
+    (a, b), (a_upto, b_upto) = (np.concatenate(rows) for rows in read), (_upto(rows) for rows in read)
+    a_ends, b_ends = np.cumsum(reader.a_size[a]), np.cumsum(reader.b_size[b])
+    own = lambda ends, upto: ends - np.repeat(np.concatenate([[0], ends])[upto[:-1]], np.diff(upto))
+    # Places of the tokens that end together, and which text each is of.
+    a_at = np.flatnonzero(np.isin(a_ends, b_ends, assume_unique=True)) if len(a) else np.empty(0, np.int64)
+    b_at = np.searchsorted(b_ends, a_ends[a_at])
+    text = np.searchsorted(a_upto, a_at, "right") - 1
+    cuts = (a_at - a_upto[text] + 1 << 32) | (b_at - b_upto[text] + 1)
+    cut_upto = np.searchsorted(a_at, a_upto)
+    ints = pa.int32()
+    columns = [_lists(a, a_upto, ints), _lists(own(a_ends, a_upto), a_upto, ints), _lists(b, b_upto, ints), _lists(own(b_ends, b_upto), b_upto, ints), _lists(cuts, cut_upto, pa.int64())]
+    if digest:
+        # Behind each group's A tokens come its B tokens; a token's place follows from the other side's tokens before it.
+        a_last, b_last = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        a_last[a_at] = b_last[b_at] = 1
+        line = np.empty(len(a) + len(b), dtype=np.int64)
+        line[np.arange(len(a)) + np.concatenate([[0], b_at + 1])[np.cumsum(a_last) - a_last]] = 2 * a.astype(np.int64) + a_last
+        line[np.arange(len(b)) + np.concatenate([a_at + 1, [0]])[np.cumsum(b_last) - b_last]] = 2 * (len(reader.a_size) + b.astype(np.int64)) + b_last
+        places = (a_upto + b_upto).tolist()
+        told = [hashlib.sha256(b"".join(reader.written[line[i:j]].tolist())[:-1]).hexdigest() if i < j else "" for i, j in zip(places, places[1:], strict=False)]
+        columns.append(pa.array(told, pa.string()))
+    return columns
+
+
+def tokens(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text", digest: bool = False) -> DataFrame:
+    """(id, a_ids, a_ends, b_ids, b_ends, cuts) of every row: token ids, the byte offsets in space + text where they end, and
+    where both end: (A tokens up to there << 32 | B tokens up to there), in order.
+
+    digest: also groups_sha256, the SHA-256 of the groups as `a1,a2|b1;a3|b2,b3`, empty where there are no tokens.
+    """
+    names = ["a_ids", "a_ends", "b_ids", "b_ends", "cuts", *["groups_sha256"] * digest]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _readers:
@@ -143,35 +178,17 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id",
                 texts.append(text.as_py())
                 held += len(texts[-1] or "")
                 if held >= HANDED or k + 1 == batch.num_rows:
-                    a, b = reader.read(texts)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *_arrays(a, reader.a_size), *_arrays(b, reader.b_size)], names=["id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *_columns(reader, texts, digest)], names=["id", *names])
                     start, held, texts = k + 1, 0, []
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    schema = T.StructType([rows.schema["id"], *[T.StructField(c, _INTS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")]])
+    schema = T.StructType([rows.schema["id"], *[T.StructField(c, kind, False) for c, kind in zip(names, [*[_INTS] * 4, _LONGS, T.StringType()], strict=False)]])
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_column)
 
 
 _PLACE = (1 << 31) - 1
 
 
-def _placed(ends: Column, side: int) -> Column:
-    """End, side and place (from 1) of each token in one number, ordered by end."""
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + 1 + F.lit(side << 31)))
-
-
-def cuts(a_ends: Column, b_ends: Column) -> Column:
-    """Where both end: an array of (A tokens up to there << 32 | B tokens up to there), in order.
-
-    After one sort of both arrays' ends a B token stands just behind the A token that ends with it; the two differ by the
-    side alone.
-    """
-    meets = lambda v, x, i: F.shiftright(F.get(v, i - 1).bitwiseXOR(x), 31) == 1
-    both = lambda v, x, i: F.shiftleft(F.get(v, i - 1).bitwiseAND(F.lit(_PLACE)), 32) + x.bitwiseAND(F.lit(_PLACE))
-    of = lambda v: F.transform(v, lambda x, i: F.when(meets(v, x, i), both(v, x, i)))
-    return once(F.sort_array(F.concat(_placed(a_ends, 0), _placed(b_ends, 1))), lambda v: F.array_compact(of(v)))
-
-
 def _a(c: Column) -> Column:
     return F.shiftright(c, 32).cast("int")
 
@@ -185,10 +202,9 @@ def _before(at: str) -> Column:
     return F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col(at)), F.lit(1), F.size(at))
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, a_ids, a_ends, b_ids, b_ends, ends, cuts) of every row; ends are the byte offsets that both have."""
-    rows = tokens(docs, a_path, b_path, id_column, text_column)
-    return rows.withColumn("ends", F.array_intersect("a_ends", "b_ends")).withColumn("cuts", cuts(F.col("a_ends"), F.col("b_ends")))
+def aligned(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text", digest: bool = False) -> DataFrame:
+    """tokens() with ends, the byte offsets that both have."""
+    return tokens(docs, a_path, b_path, id_column, text_column, digest).withColumn("ends", F.array_intersect("a_ends", "b_ends"))
 
 
 def _part(of: Column, side, c: Column, before: Column) -> Column:
@@ -205,19 +221,6 @@ def links(at: str = "cuts") -> Column:
     return F.transform(at, lambda c: F.shiftleft(F.get("a_ids", _a(c) - 1).cast("long"), 32) + F.get("b_ids", _b(c) - 1))
 
 
-def groups_text(at: str = "cuts") -> Column:
-    """`a1,a2|b1;a3|b2,b3`: ids of each group, A's and B's. Most groups are one token of either side."""
-    single = F.lit((1 << 32) + 1)
-    a, b = F.col("a_ids"), F.col("b_ids")
-
-    def text(c: Column, p: Column) -> Column:
-        one = F.concat(F.get(a, _a(c) - 1).cast("string"), F.lit("|"), F.get(b, _b(c) - 1).cast("string"))
-        joined = lambda x, side: F.array_join(_part(x, side, c, p).cast("array<string>"), ",")
-        return F.when(c - p == single, one).otherwise(F.concat(joined(a, _a), F.lit("|"), joined(b, _b)))
-
-    return F.array_join(F.zip_with(at, _before(at), text), ";")
-
-
 def pair_counts(linked: DataFrame, column: str = "links") -> DataFrame:
     """(pair, count, best) of all links of a table: how often each pair of ids is linked, and whether no pair of its B
     id is linked more often."""
@@ -249,9 +252,8 @@ def scored(linked: DataFrame, column: str = "links") -> DataFrame:
 
 def alignment_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row a document: counts of tokens, groups and links, and a digest of the groups."""
-    rows = aligned(docs, a_path, b_path)
+    rows = aligned(docs, a_path, b_path, digest=True)
     count = lambda c: F.size(c).cast("long")
-    told = F.when(F.size("a_ids") > 0, F.sha2(groups_text(), 256)).otherwise("")
-    digested = rows.select("doc_id", count("a_ids").alias("n_a"), count("b_ids").alias("n_b"), count("ends").alias("n_groups"), told.alias("groups_sha256"), links().alias("links"))
+    digested = rows.select("doc_id", count("a_ids").alias("n_a"), count("b_ids").alias("n_b"), count("ends").alias("n_groups"), "groups_sha256", links().alias("links"))
     out = scored(digested)
     return out.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "n_best", "count_sum", "groups_sha256")

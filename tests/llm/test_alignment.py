@@ -104,3 +104,14 @@ def test_both_readers_of_the_pattern_split_alike():
             assert b"".join(reader.b_bytes[i] for i in whole_b) != (" " + t).encode()
     for t in filter(al.STABLE.fullmatch, texts):
         assert reader.fast.encode_ordinary(" " + t) == reader.slow.encode(" " + t, add_special_tokens=False).ids
+
+
+def test_cuts_come_with_the_tokens(spark, odd_docs):
+    """Every cut is where both end, in each text by itself though texts are laid end to end; groups and links follow from them."""
+    rows = al.tokens(odd_docs, A, B)
+    assert rows.columns == ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends", "cuts"]
+    for r in rows.withColumn("groups", al.groups()).withColumn("links", al.links()).collect():
+        common = sorted(set(r.a_ends) & set(r.b_ends))
+        assert [(r.a_ends[(c >> 32) - 1], r.b_ends[(c & 0xFFFFFFFF) - 1]) for c in r.cuts] == [(e, e) for e in common]
+        assert [i for g in r.groups for i in g.a] == r.a_ids and [i for g in r.groups for i in g.b] == r.b_ids
+        assert r.links == [g.a[-1] << 32 | g.b[-1] for g in r.groups]
