@@ -28,7 +28,7 @@ SHINGLE, BITS_APART = 4, 4
 #: Postings of more different fingerprints than this are linked by shared near values, not by pairs.
 PAIRED = 48
 #: Fingerprints that are indexed by three positions; postings shared by two that are broadcast, at most.
-FEW, BROADCAST_POSTINGS = 1 << 26, 500_000
+FEW, BROADCAST_POSTINGS = 1 << 26, 50_000
 #: Shingles counted in one packed sum; each of its four counters has 16 bits.
 _CHUNK = 32767
 _LANES = 0x0001000100010001

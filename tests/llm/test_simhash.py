@@ -1,3 +1,4 @@
+import random
 import re
 
 import xxhash
@@ -83,3 +84,15 @@ def test_very_long_text(spark):
     text = " ".join(f"w{k % 977} x{k % 1013}" for k in range(40_000))
     got = s.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(s.hex16(F.col("fp"))).first()[0]
     assert got == f"{fingerprint(text):016x}"
+
+
+def test_many_shared_postings_are_not_broadcast(spark, monkeypatch):
+    """70,000 shared postings of 2,000 pairs are joined by a shuffle; every pair is linked."""
+    rng = random.Random(9)
+    some = [rng.getrandbits(63) for _ in range(2000)]
+    fps = spark.createDataFrame([(x,) for f in some for x in (f, f ^ 1)], "fp long")
+    seen = []
+    small_or_none = s.small_or_none
+    monkeypatch.setattr(s, "small_or_none", lambda df, rows: seen.append(small_or_none(df, rows)) or seen[-1])
+    assert {(r.u, r.v) for r in s.links(fps).collect()} == {(max(f, f ^ 1), min(f, f ^ 1)) for f in some}
+    assert seen == [None]
