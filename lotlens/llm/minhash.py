@@ -12,7 +12,7 @@ looked up: k - SHARED + 1 of them can't all be missed, however the values are or
 
 A list is first linked through one head, the class whose values most others retain, and joined by union-find. What that
 leaves in different components is compared pair by pair in lists of up to PAIRED classes, and in larger ones by an exact
-search on full sets among what each class differs in from the list's head (crowd_apart).
+search on full sets among what each class differs in from the list's head (crowds.py).
 
 Defined results: a null text, an empty one and one without words have an empty set and are linked with nothing but
 themselves (their own id is their component); a text of fewer than five words is one shingle; texts alike are linked, rows
@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import components, discard, left_join_checked, settle, small_or_none, text_key, text_of
+from lotlens.llm.common import components, discard, left_join_checked, once, settle, small_or_none, text_key, text_of
+from lotlens.llm.crowds import linked_apart
 
 #: Words in a shingle; hundredths of similarity that link.
 WORDS, HUNDREDTHS = 5, 85
@@ -160,12 +161,14 @@ def estimated(pairs: DataFrame, classes: DataFrame, sketch: int = SKETCH, shared
     for k, side in zip("uv", sides, strict=True):
         pairs = pairs.join(side, k)
     fits = 100 * F.least("nu", "nv") >= HUNDREDTHS * F.greatest("nu", "nv")
-    both = pairs.filter(fits).select("u", "v", F.array_intersect("su", "sv").alias("both"), F.slice(F.sort_array(F.array_union("su", "sv")), 1, sketch).alias("all"))
-    last = F.get("all", F.size("all") - 1)
-    sampled = F.size(F.filter("both", lambda x: x <= last))
-    union = F.size("all")
-    enough = F.when(union < sketch, 100 * sampled >= HUNDREDTHS * union).otherwise(sampled >= shared)
-    return both.filter(enough).select("u", "v")
+
+    def possible(every: Column) -> Column:
+        last, union = F.get(every, F.size(every) - 1), F.size(every)
+        sampled = F.size(F.filter(F.array_intersect("su", "sv"), lambda x: x <= last))
+        return F.when(union < sketch, 100 * sampled >= HUNDREDTHS * union).otherwise(sampled >= shared)
+
+    # The union is sorted once, not for each of its uses.
+    return pairs.filter(fits).filter(once(F.slice(F.sort_array(F.array_union("su", "sv")), 1, sketch), possible)).select("u", "v")
 
 
 def confirmed(pairs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -195,34 +198,11 @@ def pairs_apart(open_lists: DataFrame) -> DataFrame:
 
 
 def crowd_apart(open_lists: DataFrame, grams: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components of larger lists that may be linked; none that is linked is left out.
-
-    Classes of a list are told by what they differ in from its head: the shingles that one of the two has alone. Two sets
-    of sizes a and b are linked if and only if they differ in at most t = 0.15 / 1.85 (a + b) shingles. Classes that are
-    linked to the head are one component. If one isn't, then it and any other class differ from the head in more than t
-    together, so that the two, to be linked, share some of these differences; and since the other differs from the head
-    at most t less than it does, they share all of its own but t. It is therefore enough to look up so many of its
-    differences, rarest first, as can't all be missed, among all differences from that head.
-    """
-    apart, j = (100 - HUNDREDTHS) / (100 + HUNDREDTHS), HUNDREDTHS / 100
-    member = settle(open_lists.filter(F.col("list_size") > PAIRED).groupBy("head", "same").agg(F.first("root").alias("root")))
-    whole = member.join(grams, "same").join(grams.select(F.col("same").alias("head"), F.col("grams").alias("of_head")), "head")
-    own, missing = F.array_except("grams", "of_head"), F.array_except("of_head", "grams")
-    told = whole.select("head", "same", "root", F.size("grams").alias("n"), F.size("of_head").alias("n_head"), own.alias("own"), missing.alias("missing"))
-    linked = 100 * (F.col("n") - F.size("own")) >= HUNDREDTHS * (F.col("n_head") + F.size("own"))
-    differ = settle(told.select("head", "same", "root", "n", (~linked).alias("far"), F.concat("own", "missing").alias("d")))
-    each = differ.select("head", "same", "root", "n", "far", F.size("d").alias("size"), F.explode("d").alias("gram"))
-    counts = each.groupBy("head", "gram").agg(F.count("*").alias("often"), F.bool_or("far").alias("asked")).filter("often > 1 and asked").drop("asked")
-    shared = settle(each.join(counts, ["head", "gram"]))
-    ranked = shared.filter("far").groupBy("head", "same", "root", "n", "size").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
-    # Differences that no other class has come first in every order, so only the place among the shared ones is counted.
-    least = F.greatest(F.lit(1), F.ceil(F.col("size") - apart * (F.col("n") + F.col("n") / j) - 1e-6))
-    few = (F.size("ranked") - least + 1).cast("int")
-    asked = ranked.withColumn("few", few).filter("few > 0").select("head", F.col("same").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.explode(F.slice("ranked", F.lit(1), F.col("few"))).alias("r")).select("head", "a", "ra", "na", F.col("r.gram").alias("gram"))
-    others = shared.select("head", "gram", F.col("same").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    fits = (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= HUNDREDTHS * F.greatest("na", "nb"))
-    out = settle(asked.join(others, ["head", "gram"]).filter(fits).select(*_pair("a", "b")).distinct())
-    discard(member, differ, shared)
+    """Pairs (u, v) of different components of larger lists that are linked, by full sets; with the others, they join all that are."""
+    large = open_lists.filter(F.col("list_size") > PAIRED)
+    member = settle(large.groupBy("head", F.col("same").alias("id")).agg(F.first("root").alias("root")))
+    out = linked_apart(member, grams.select(F.col("same").alias("id"), F.col("grams").alias("own")), HUNDREDTHS)
+    discard(member)
     return out
 
 
@@ -240,10 +220,9 @@ def roots_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     roots = settle(components(links).select(F.col("node").alias("same"), "root"))
     rooted = left_join_checked(met, roots, "same", BROADCAST_CLASSES).withColumn("root", F.coalesce("root", "same"))
     still = settle(unresolved(rooted))
-    rest = pairs_apart(still)
+    more = settle(confirmed(settle(estimated(settle(pairs_apart(still)), near)), grams))
     if not still.filter(F.col("list_size") > PAIRED).isEmpty():
-        rest = rest.union(crowd_apart(still, grams)).distinct()
-    more = settle(confirmed(settle(estimated(settle(rest), near)), grams))
+        more = settle(more.union(crowd_apart(still, grams)).distinct())
     if not more.isEmpty():
         known = roots.select(F.col("same").alias("u"), F.col("root").alias("v"))
         before, roots = roots, settle(components(known.union(more)).select(F.col("node").alias("same"), "root"))
