@@ -7,13 +7,14 @@ what only one of them differs in from the head. With x and y differences, w of t
 Members linked to the head are one component already, so that of a pair that is left one at least is far from it, with
 more than (100 - h) / (100 + h) (a + the head's size) differences. Hence a linked pair shares more than about half of the
 other's differences, and all of its own but t. In an order common to all, rarest first, the pair then shares one among the
-first x - w + 1 of the one and y - w + 1 of the other: only these are looked up, and only where both places allow it. What
+first x - w + 1 of the one and y - w + 1 of the other: only these are looked up, and only where both places allow it.
+Differences that the same members have (those of one edit) are looked up as one, which counts as many. What
 all members have of the head is no difference and is never looked up; nor is what none shares with another component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlens.llm.common import discard, settle
@@ -33,22 +34,21 @@ def linked_apart(member: DataFrame, sets: DataFrame, hundredths: int) -> DataFra
     all_, apart = F.col("n") + F.col("n_head"), F.col("size")
     differ = settle(told.withColumn("far", 100 * (all_ - apart) < hundredths * (all_ + apart)))
     each = differ.select("head", "id", "root", "n", "n_head", "far", "size", F.explode("d").alias("gram"))
-    counts = each.groupBy("head", "gram").agg(F.count("*").alias("often"), F.bool_or("far").alias("asked"), F.min("root").alias("low"), F.max("root").alias("high"))
-    counts = counts.filter("asked and low < high").select("head", "gram", "often")
-    of = each.join(counts, ["head", "gram"]).groupBy("head", "id", "root", "n", "n_head", "far", "size").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("ranked"))
-    # Differences that no other component shares come first in every order, so only the place among the others is counted.
+    # Differences that the same members have (those of one edit) are one kind, that weighs as many.
+    counts = each.groupBy("head", "gram").agg(F.count("*").alias("often"), F.bit_xor(F.xxhash64("id")).alias("kind"), F.bool_or("far").alias("asked"), F.min("root").alias("low"), F.max("root").alias("high"))
+    counts = counts.filter("asked and low < high").select("head", "gram", "often", "kind")
+    kinds = each.join(counts, ["head", "gram"]).groupBy("head", "id", "root", "n", "n_head", "far", "size", "often", "kind").agg(F.count("*").alias("weight"))
+    # after: the differences from this place on, of which a pair shares no more if this is the first that it shares.
+    after = F.sum("weight").over(Window.partitionBy("head", "id").orderBy(F.desc("often"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     most = F.ceil(F.col("size") - share * (F.col("n") + F.col("n") / least_of_larger) - SLACK)
     half = F.floor((F.col("size") + share * (F.col("n_head") - F.col("n"))) / 2 - SLACK) + 1
-    first = lambda shared: F.greatest(F.lit(0), F.size("ranked") - F.greatest(F.lit(1), shared) + 1).cast("int")
-    places = of.withColumn("asks", F.when(F.col("far"), first(most)).otherwise(0)).withColumn("answers", first(F.greatest(most, half)))
-    places = places.select("head", "id", "root", "n", "far", "size", "asks", "answers", F.size("ranked").alias("some"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest("asks", "answers"))).alias("at", "r"))
-    # after: differences from this place on, of which a pair shares this one at most and the rest.
-    places = settle(places.select("head", "id", "root", "n", "far", "size", (F.col("at") < F.col("asks")).alias("asks"), (F.col("at") < F.col("answers")).alias("answers"), (F.col("some") - F.col("at")).alias("after"), F.col("r.gram").alias("gram")))
-    a, b = (places.filter(use).select("head", "gram", *[F.col(c).alias(c + k) for c in ("id", "root", "n", "far", "size", "after")]) for k, use in (("a", "asks"), ("b", "answers")))
+    places = kinds.withColumn("after", after).withColumn("asks", F.col("far") & (F.col("after") >= most)).withColumn("answers", F.col("after") >= F.greatest(most, half))
+    places = settle(places.filter("asks or answers").select("head", "id", "root", "n", "far", "size", "weight", "asks", "answers", "after", "often", "kind"))
+    a, b = (places.filter(use).select("head", "often", "kind", *[F.col(c).alias(c + k) for c in ("id", "root", "n", "far", "size", "weight", "after")]) for k, use in (("a", "asks"), ("b", "answers")))
     fits = (F.col("roota") != F.col("rootb")) & (100 * F.least("na", "nb") >= hundredths * F.greatest("na", "nb")) & (~F.col("farb") | (F.col("ida") > F.col("idb")))
     shared = (F.col("sizea") + F.col("sizeb") - share * (F.col("na") + F.col("nb"))) / 2 - SLACK
-    met = a.join(b, ["head", "gram"]).filter(fits & (F.least("aftera", "afterb") >= shared))
-    tally = settle(met.groupBy("head", "ida", "idb").agg(F.count("*").alias("n"), F.first("rootb").alias("rootb")))
+    met = a.join(b, ["head", "often", "kind"]).filter(fits & (F.least("aftera", "afterb") >= shared))
+    tally = settle(met.groupBy("head", "ida", "idb").agg(F.sum(F.least("weighta", "weightb")).alias("n"), F.first("rootb").alias("rootb")))
     best = tally.groupBy("head", "ida", "rootb").agg(F.max_by("idb", F.struct("n", "idb")).alias("idb"))
     found = settle(_linked(best, differ, hundredths))
     # Where the likeliest member of a component isn't linked, all the others are tried.

@@ -7,9 +7,8 @@ probability of 0.98. Lines that meet are compared exactly, by the Jaccard simila
 verified links are joined to components by distributed union-find.
 
 Each band is first linked through one representative. What that leaves in different components is compared again:
-pair by pair in bands of up to PAIRED lines, and in larger ones by an exact search, since two sets of Jaccard
-similarity 0.8 share one of the first fifth of the larger set, in any order common to all lines, that is also of the
-first ninth of the smaller one; of so many more on either side, they share as many more. Rare shingles come first. Everything is built from DataFrame functions.
+pair by pair in bands of up to PAIRED lines, and in larger ones by an exact search among the lines of all bands of one
+head, by what each differs in from it (crowds.py). Everything is built from DataFrame functions.
 
 Lines are compared in lower case with white space collapsed. Of a component the occurrence with the smallest
 (doc_id, text hash, line number) stays, null ids last.
@@ -27,16 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotlens.llm.common import GAP, choices, components, discard, left_join_checked, once, settle, small_or_none, text_key, text_of
+from lotlens.llm.crowds import linked_apart
 
 SIMILARITY, CHARS = 0.8, 9
 #: Hashes in a signature, and how many of them make a band.
 SIGNATURE, ROWS = 5, 3
 #: Bands of up to this many lines are compared in pairs.
 PAIRED = 40
-#: Counters of shingles that order them from rare to common; shingles of one counter are ordered by their hash.
-COUNTERS = 1 << 15
-#: Share of a line's shingles that its searched ones are more than the least, and that pairs must share beyond one.
-MORE = 0.05
 #: Tables of line hashes up to this number are broadcast; larger ones are joined by a shuffle.
 BROADCAST_LINES = 500_000
 #: Shingles whose sets are broadcast to the pairs, at most.
@@ -93,8 +89,10 @@ def meetings(occurrences: DataFrame) -> DataFrame:
     members = lines.select("hash", F.explode(F.array_distinct(F.array_compact(F.array(*of)))).alias("band"))
     shared = settle(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     met = settle(members.join(small_or_none(shared, BROADCAST_LINES) or shared, "band"))
-    heads = met.groupBy("band").agg(F.min("hash").alias("least"), F.min_by("hash", F.xxhash64("hash", "band")).alias("any"))
-    # One head in all small bands of a group spares comparisons; large bands have different ones.
+    # One head in all bands of a group spares comparisons. In large ones it is the line that most lines meet: of copies that
+    # differ from each other, what they were made from.
+    central = met.filter(f"n > {PAIRED}").groupBy("hash").agg(F.sum("n").alias("central"))
+    heads = left_join_checked(met, central, "hash", BROADCAST_LINES).groupBy("band").agg(F.max_by("hash", F.struct("central", F.xxhash64("hash"))).alias("any"), F.min("hash").alias("least"))
     heads = settle(heads)
     out = settle(met.join(small_or_none(heads, BROADCAST_LINES) or heads, "band").select("hash", "band", "n", F.when(F.col("n") > PAIRED, F.col("any")).otherwise(F.col("least")).alias("head")))
     discard(lines, shared, met, heads)
@@ -148,34 +146,16 @@ def pairs_apart(met: DataFrame) -> DataFrame:
 
 
 def crowd_apart(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines of larger bands in different components that may reach the similarity; none that does is left out."""
-    ids = met.filter(f"n > {PAIRED}").groupBy("hash").agg(F.first("root").alias("root"))
-    crowd = settle(texts.join(ids, "hash").select("hash", "root", shingles(F.col("norm")).alias("grams")))
-    counter = lambda g: F.pmod(g, F.lit(COUNTERS)).cast("int")
-    counts = crowd.select(F.explode("grams").alias("g")).groupBy(counter(F.col("g")).alias("c")).agg(F.count("*").alias("n"))
-    # One row of COUNTERS numbers.
-    every = met.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c")).join(counts, "c", "left")
-    order = settle(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", F.coalesce("n", F.lit(0)).alias("n")))), lambda e: e["n"]).alias("order")))
-    ranked = crowd.crossJoin(F.broadcast(order)).select("hash", "root", F.sort_array(F.transform("grams", lambda g: F.struct(F.get("order", counter(g)).alias("n"), g.alias("g")))).alias("grams"))
-    size = F.size("grams")
-    more = F.floor(size * MORE)
-    first = lambda share: (F.floor(size * share + 1e-9) + 1 + more).cast("int")
-    keys = settle(
-        ranked.select("hash", "root", size.alias("size"), first((1 - SIMILARITY) / (1 + SIMILARITY)).alias("few"), F.posexplode(F.slice("grams", F.lit(1), first(1 - SIMILARITY))).alias("at", "gram"))
-        .select("hash", "root", "size", (F.col("at") < F.col("few")).alias("small"), F.col("gram.g").alias("key"))
-    )
-    discard(crowd)
-    mains = keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("n > 1")
-    held = settle(keys.join(mains.drop("n"), "key").withColumn("rest", F.col("root") != F.col("main")).drop("main"))
-    discard(keys)
-    large = held.select("key", F.col("hash").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("rest").alias("xa"))
-    small = held.filter("small").select("key", F.col("hash").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("rest").alias("xb"))
-    # Lines of the commonest component of a key are one already; they meet the others, never each other.
-    met_again = large.filter("xa").join(small, "key").unionByName(large.filter("not xa").join(small.filter("xb"), "key"))
-    fits = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    fits = fits & (F.col("nb") >= SIMILARITY * F.col("na"))
-    tally = met_again.filter("ra <> rb").filter(fits).groupBy(*_pair("a", "b")).agg(F.count("*").alias("n"), F.first("nb").alias("nb"))
-    return tally.filter(F.col("n") > F.floor(F.col("nb") * MORE)).select("u", "v")
+    """Linked pairs (u, v) of lines in different components that larger bands of one head hold; they join all that are. met: with root."""
+    member = settle(met.filter(f"n > {PAIRED}").groupBy("head", F.col("hash").alias("id")).agg(F.first("root").alias("root")))
+    open_heads = member.groupBy("head").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("head")
+    some = settle(member.join(open_heads, "head", "left_semi"))
+    # The head is a member itself.
+    ids = settle(some.select(F.col("id").alias("hash")).distinct())
+    sets = settle(texts.join(small_or_none(ids, BROADCAST_LINES) or ids, "hash").select(F.col("hash").alias("id"), shingles(F.col("norm")).alias("own")))
+    out = linked_apart(some, sets, round(100 * SIMILARITY))
+    discard(member, some, ids, sets)
+    return out
 
 
 def joined(occurrences: DataFrame) -> DataFrame:
@@ -186,11 +166,11 @@ def joined(occurrences: DataFrame) -> DataFrame:
     links = settle(verified(stars, texts))
     roots = settle(components(links).select(F.col("node").alias("hash"), "root"))
     rooted = settle(left_join_checked(met, roots, "hash", BROADCAST_LINES).withColumn("root", F.coalesce("root", "hash")))
-    rest = pairs_apart(rooted)
-    if not rooted.filter(f"n > {PAIRED}").isEmpty():
-        rest = rest.union(crowd_apart(rooted, texts)).distinct()
-    rest = settle(rest)
+    rest = settle(pairs_apart(rooted))
     more = settle(verified(rest, texts))
+    if not rooted.filter(f"n > {PAIRED}").isEmpty():
+        before, more = more, settle(more.union(crowd_apart(rooted, texts)).distinct())
+        discard(before)
     if not more.isEmpty():
         known = roots.select(F.col("hash").alias("u"), F.col("root").alias("v"))
         before, roots = roots, settle(components(known.union(more)).select(F.col("node").alias("hash"), "root"))
