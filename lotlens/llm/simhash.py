@@ -82,10 +82,16 @@ def links(fps: DataFrame, positions: int | None = None) -> DataFrame:
     masks = [sum(0xFF << 8 * p for p in some) for some in choices(8, positions)]
     signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
     postings = fps.select("fp", F.explode(signed).alias("mask")).select("fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("posting"))
-    shared = settle(postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = settle(postings.join(small_or_none(shared, BROADCAST_POSTINGS) or shared, "posting"))
+    # A posting of two is its least and its largest fingerprint: only larger ones need their members looked up.
+    shared = settle(postings.groupBy("posting").agg(F.count("*").alias("n"), F.max("fp").alias("u"), F.min("fp").alias("v")).filter(f"n > 2 or n = 2 and bit_count(u ^ v) <= {BITS_APART}"))
+    few = small_or_none(shared, BROADCAST_POSTINGS)
+    larger = (few or shared).filter("n > 2").select("posting", "n")
+    if few is None and larger.limit(BROADCAST_POSTINGS + 1).count() <= BROADCAST_POSTINGS:
+        larger = F.broadcast(larger)
+    met = settle(postings.join(larger, "posting"))
     a = met.filter(f"n <= {PAIRED}").drop("n")
-    pairs = a.join(a.select(F.col("fp").alias("v"), "posting"), "posting").filter("fp > v").groupBy(F.col("fp").alias("u"), "v").agg(F.count("*").alias("tally"))
+    pairs = a.join(a.select(F.col("fp").alias("v"), "posting"), "posting").filter("fp > v").select(F.col("fp").alias("u"), "v")
+    pairs = pairs.union(shared.filter("n = 2").select("u", "v")).groupBy("u", "v").agg(F.count("*").alias("tally"))
     # Four shared bytes are met in every choice of them; a pair that misses one meets in a large posting, see below.
     pairs = pairs.filter(F.col("tally") >= math.comb(8 - BITS_APART, positions)).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS_APART).select("u", "v")
 

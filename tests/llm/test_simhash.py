@@ -96,3 +96,14 @@ def test_many_shared_postings_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(s, "small_or_none", lambda df, rows: seen.append(small_or_none(df, rows)) or seen[-1])
     assert {(r.u, r.v) for r in s.links(fps).collect()} == {(max(f, f ^ 1), min(f, f ^ 1)) for f in some}
     assert seen == [None]
+
+
+def test_postings_of_two_are_not_looked_up(spark, monkeypatch):
+    """Their fingerprints are their least and their largest; before, the members of all shared postings were joined to them."""
+    rng, rows = random.Random(4), []
+    settle = s.settle
+    monkeypatch.setattr(s, "settle", lambda df: rows.append(settle(df)) or rows[-1])
+    both = {x: x ^ (1 << k % 61) ^ (7 << (k + 20) % 61) for k, x in enumerate(rng.getrandbits(60) for _ in range(40))}
+    fps = spark.createDataFrame([(x,) for x in {*both, *both.values()}], "fp long")
+    assert {frozenset((r.u, r.v)) for r in s.links(fps).collect()} == {frozenset(x) for x in both.items()}
+    assert [df.count() > 0 for df in rows] == [True, False]
