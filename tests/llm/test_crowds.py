@@ -61,3 +61,24 @@ def test_a_crowd_gives_links_not_candidates(spark):
     assert got and all(linked(sets[a], sets[b], m.HUNDREDTHS) for a, b in got)
     assert len(got) < len(sets)
     assert lists.filter(F.col("same") == F.col("head")).count() == 1
+
+
+def test_twins_away_from_the_head(spark):
+    """Many members that are linked to each other and not to the head: before, all their pairs left the search."""
+    rng = random.Random(11)
+    base, own = list(range(300)), list(range(10**6, 10**6 + 150))
+    sets = {0: set(base)} | {k: set(base[:150]) | set(own) - set(rng.sample(own, 2)) | {10**7 + k} for k in range(1, 151)}
+    member = spark.createDataFrame([(0, k, k) for k in sets], "head long, id long, root long")
+    rows = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "id long, own array<long>")
+    got = [(r.u, r.v) for r in crowds.linked_apart(member, rows, 80).collect()]
+    assert all(linked(sets[a], sets[b], 80) for a, b in got) and len(got) < 2 * len(sets)
+    assert closed(sets, got) == {frozenset([0]), frozenset(range(1, 151))}
+
+
+def test_parities_differ_in_no_more_bits_than_the_sets(spark):
+    rng = random.Random(12)
+    sets = {k: set(rng.sample(range(400), rng.randint(1, 300))) for k in range(40)}
+    rows = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "id long, own array<long>")
+    found = {r.id: [x & (2**64 - 1) for x in r[1:]] for r in crowds._parities(rows).collect()}
+    far = [(sum((x ^ y).bit_count() for x, y in zip(found[a], found[b], strict=True)), len(sets[a] ^ sets[b])) for a in sets for b in range(a)]
+    assert all(bits <= apart and (apart - bits) % 2 == 0 for bits, apart in far) and max(bits for bits, _ in far) > 100
