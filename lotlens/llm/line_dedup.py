@@ -65,11 +65,14 @@ def shingles(norm: Column) -> Column:
     return F.array_distinct(all_shingles(norm))
 
 
-def signature(norm: Column) -> Column:
-    """The smallest different shingle hashes; the whole list is searched for repeats only where its beginning repeats."""
+def signed(rows: DataFrame) -> DataFrame:
+    """rows with sig, the smallest different shingle hashes of norm; the whole list is searched for repeats only where its
+    beginning repeats. The list is sorted in a column of its own: within a lambda Spark sorts boxed values.
+    """
     some = 4 * SIGNATURE
-    first = lambda s: once(F.array_distinct(F.slice(s, 1, some)), lambda d: F.when((F.size(d) >= SIGNATURE) | (F.size(s) <= some), d).otherwise(F.array_distinct(s)))
-    return F.slice(once(F.sort_array(all_shingles(norm)), first), 1, SIGNATURE)
+    rows = rows.withColumn("sorted", F.sort_array(all_shingles(F.col("norm")))).withColumn("first", F.array_distinct(F.slice("sorted", 1, some)))
+    whole = (F.size("first") >= SIGNATURE) | (F.size("sorted") <= some)
+    return rows.withColumn("sig", F.slice(F.when(whole, F.col("first")).otherwise(F.array_distinct("sorted")), 1, SIGNATURE)).drop("sorted", "first")
 
 
 def lines_of(docs: DataFrame, min_chars: int = 0) -> DataFrame:
@@ -77,8 +80,7 @@ def lines_of(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"))
     each = rows.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     each = each.select("doc_id", "key", "line", normal(F.col("raw")).alias("norm")).filter(F.length("norm") >= max(min_chars, 1))
-    signed = each.withColumn("sig", signature(F.col("norm")))
-    return signed.select("doc_id", "key", "line", F.xxhash64("norm").alias("hash"), "norm", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)])
+    return signed(each).select("doc_id", "key", "line", F.xxhash64("norm").alias("hash"), "norm", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE)])
 
 
 def meetings(occurrences: DataFrame) -> DataFrame:

@@ -202,3 +202,14 @@ def test_large_band(spark, monkeypatch, limit):
     rows = [(k, " ".join(w if j != k % 60 else f"new{k}" for j, w in enumerate(base))) for k in range(300)]
     out = d.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in out.filter("n_removed = 0").collect()] == [0]
+
+
+def test_signatures_are_sorted_outside_of_lambdas(spark):
+    """The five smallest different hashes, also where the list begins with repeats; before, boxed values were sorted."""
+    rng = random.Random(9)
+    lines = ["ab" * 300, letters(rng, 200), "é" * 40, "short", "nine char", letters(rng, 12) + "x" * 500, letters(rng, 11)]
+    rows = d.signed(spark.createDataFrame([(x,) for x in lines], "norm string"))
+    all_ = rows.select("norm", "sig", d.all_shingles(F.col("norm")).alias("all")).collect()
+    assert len(all_) == len(lines) and all(r.sig == sorted(set(r["all"]))[: d.SIGNATURE] for r in all_)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "lambdafunction(sort_array" not in plan and "transform(array(sort_array" not in plan
