@@ -136,7 +136,7 @@ def stable_identities(tokens: DataFrame, known: DataFrame) -> tuple[DataFrame, D
     new = F.sha2(F.concat_ws(":", F.lit("vehicle"), "best.kind", "best.token"), 256)
     named_groups = settle(best.select("vehicle_key", F.coalesce(F.col("kept").cast("string"), new).alias("vehicle_id"), F.col("kept").isNull().alias("is_new")))
     assigned = groups.join(named_groups, "vehicle_key").select("listing_id", "vehicle_id", "is_new")
-    merged = old.filter("old_id is not null").select("vehicle_key", F.col("old_id").cast("string").alias("old_id")).distinct().join(named_groups, "vehicle_key").filter("old_id <> vehicle_id").select("old_id", "vehicle_id")
+    merged = old.filter("old_id is not null").select("vehicle_key", F.col("old_id").cast("string").alias("old_id")).distinct().join(named_groups, "vehicle_key").filter("old_id <> vehicle_id").select("old_id", "vehicle_id").distinct()
     return assigned, merged
 
 

@@ -50,3 +50,11 @@ def test_a_chain_closes_in_few_rounds(spark, monkeypatch):
     rows = [(k, f"c{i // 2}") for i, k in enumerate(ids)] + [(k, f"d{(i + 1) // 2}") for i, k in enumerate(ids)]
     assert set(found(spark, rows).values()) == {0}
     assert len(written) < 60
+
+
+def test_a_merge_is_told_once(spark):
+    """Two vehicles whose identifiers had the same two ids."""
+    tokens = spark.createDataFrame([(1, "vin", "a"), (1, "vin", "c"), (2, "vin", "b"), (2, "vin", "d")], "listing_id long, kind string, token string")
+    known = spark.createDataFrame([("vin", "a", "v0"), ("vin", "c", "v1"), ("vin", "b", "v0"), ("vin", "d", "v1")], "kind string, token string, vehicle_id string")
+    _, merged = ingest.stable_identities(tokens, known)
+    assert [tuple(x) for x in merged.collect()] == [("v1", "v0")]
