@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lotlens.functions.lineage import settle
 from lotlens.functions.selection import numbered
+from lotlens.operators import strict
 
 CATEGORIES = ["make", "model_of", "body_style", "fuel_type", "transmission", "seller_type"]
 NUMBERS = ["age", "age_over_5", "age_over_10", "log_mileage", "log_power"]
@@ -59,11 +66,18 @@ def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def strict_median(targets: DataFrame, pool: DataFrame, nearest: int = 40, least: int = 3) -> DataFrame:
     """The median price of the nearest cars that agree in every respect; none where they are too few."""
     keys = ["make", "model", "body_style", "fuel_type", "transmission", "horsepower"]
-    t = targets.filter("body_style <> 'other'").select(*keys, F.col("listing_id").alias("t_id"), F.col("vehicle_id").alias("t_vehicle"), F.col("model_year").alias("t_year"), F.col("mileage_km").alias("t_km"))
-    far = F.abs(F.col("model_year") - F.col("t_year")) * 60_000 + F.abs(F.col("mileage_km") - F.col("t_km"))
-    near = Window.partitionBy("t_id").orderBy(far, "listing_id")
-    pairs = pool.join(t, keys).filter(F.col("vehicle_id") != F.col("t_vehicle")).withColumn("k", F.row_number().over(near)).filter(F.col("k") <= nearest)
-    return pairs.groupBy(F.col("t_id").alias("listing_id")).agg(F.count("*").alias("n"), F.percentile("price", 0.5).alias("predicted")).filter(F.col("n") >= least).drop("n")
+    t = targets.filter("body_style <> 'other'").dropna(subset=[*keys, "vehicle_id"]).select(*keys, F.col("listing_id").alias("t_id"), F.col("vehicle_id").alias("t_vehicle"), F.col("model_year").alias("t_year"), F.col("mileage_km").alias("t_km"))
+    c = pool.filter("body_style <> 'other'").dropna(subset=[*keys, "vehicle_id"]).select(*keys, "listing_id", "vehicle_id", "model_year", "mileage_km", F.col("price").cast("double").alias("price"))
+    names = (t.columns[len(keys) :], c.columns[len(keys) :])
+    both = t.withColumn("is_target", F.lit(True)).unionByName(c.withColumn("is_target", F.lit(False)), allowMissingColumns=True)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        ours, theirs = rows.filter(rows["is_target"]).select(names[0]), rows.filter(pc.invert(rows["is_target"])).select(names[1])
+        if len(ours) and len(theirs):
+            yield from strict.medians_in(ours, theirs, nearest, least).to_batches()
+
+    return both.groupBy(*keys).applyInArrow(made, StructType([StructField("listing_id", t.schema["t_id"].dataType), StructField("predicted", DoubleType())]))
 
 
 def log_radius(calibration: DataFrame, coverage: float = 0.9) -> float | None:
@@ -116,12 +130,8 @@ def hybrid(targets: DataFrame, pool: DataFrame, predictions: DataFrame, nearest:
 #: Fixed values of the seeded draws: x -> (A x + C) mod 2^32 from SEED; replicates, and the order statistics of the interval.
 LCG_A, LCG_C, SEED = 1_664_525, 1_013_904_223, 37
 REPLICATES, LOWER, UPPER = 500, 12, 487
-
-
-def _times(a: Column, x: Column) -> Column:
-    """a x mod 2^32 of numbers below 2^32, in longs."""
-    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(a, 16)
-    return (low * x + F.shiftleft((high * x).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+#: Differences that a task of the draws holds at once; beyond, each part is drawn for anew.
+PLACES = 1 << 23
 
 
 def _jump(steps: int) -> int:
@@ -134,30 +144,13 @@ def _jump(steps: int) -> int:
     return x
 
 
-def _after(steps: Column, bits: int = 40) -> Column:
-    """A struct (a, c): so many steps of the generator in one, x -> a x + c mod 2^32, by doubling."""
-    out = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("c"))
-    doubled, a, c = [], LCG_A, LCG_C
-    for _ in range(bits):
-        doubled.append((a, c))
-        a, c = a * a % 2**32, (a * c + c) % 2**32
-    steps_of = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c"), F.lit(1 << j).cast("long").alias("bit")) for j, (a, c) in enumerate(doubled)])
-
-    def step(s: Column, k: Column) -> Column:
-        one = F.get(steps_of, k)
-        more = F.struct(_times(one["a"], s["a"]).alias("a"), ((_times(one["a"], s["c"]) + one["c"]).bitwiseAND(F.lit(0xFFFFFFFF))).alias("c"))
-        return F.when(steps.cast("long").bitwiseAND(one["bit"]) != 0, more).otherwise(s)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), out, step)
-
-
 def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "vehicle_id", replicates: int = REPLICATES) -> DataFrame:
     """One row (paired, difference, low, high): absolute log errors of b less those of a on the cars that both price,
     with the interval of seeded resamples.
 
-    a, b: (key, price, predicted), one row a key. The generator's n-th number is computed for each (replicate, position) from
-    its two parts, so that draws need no order of running: a position's step and a replicate's start are each made once.
-    Draws are counted by (replicate, position drawn) before they meet the differences. Positions go by key.
+    a, b: (key, price, predicted), one row a key. A replicate's start in the generator's numbers is a jump, so that replicates
+    need no order of running. A task draws for a block of them and holds the differences of PLACES places and DRAWS numbers;
+    only sums leave it. The differences are copied once a block, not once a draw. Positions go by key.
     """
     error = F.abs(F.log(F.col("predicted") / F.col("price")))
     # Written first: predictions may be long expressions, which a filter on them would repeat all the way down.
@@ -167,10 +160,18 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "vehicle_id", replic
     n = deltas.count()
     if not n:
         return deltas.sparkSession.range(1).select(F.lit(0).cast("long").alias("paired"), *[F.lit(None).cast("double").alias(c) for c in ("difference", "low", "high")])
-    starts = F.array(*[F.lit(_jump(r * n)).cast("long") for r in range(replicates)])
-    steps = deltas.select(_after(F.col("place") + 1).alias("s"))
-    drawn = steps.select("s", F.posexplode(starts).alias("replicate", "start")).select("replicate", (_times(F.col("s.a"), F.col("start")) + F.col("s.c")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("x"))
-    counted = drawn.select("replicate", F.floor(F.col("x") / 4294967296.0 * n).alias("place")).groupBy("place", "replicate").agg(F.count("*").alias("times"))
-    means = counted.join(deltas.select("place", "delta"), "place").groupBy("replicate").agg((F.sum(F.col("delta") * F.col("times")) / n).alias("mean"))
+    blocks = min(replicates, max(8, 2 * deltas.sparkSession.sparkContext.defaultParallelism))
+    starts = [_jump(r * n) for r in range(replicates)]
+
+    def sums(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, first, rows = key[0].as_py(), key[1].as_py() * PLACES, pa.Table.from_batches(batches)
+        values = np.empty(len(rows))
+        values[rows["place"].to_numpy() - first] = rows["delta"].to_numpy()
+        of = strict.drawn_in(values, first, n, {r: starts[r] for r in range(block, replicates, blocks)}, LCG_A, LCG_C)
+        yield pa.RecordBatch.from_pydict({"replicate": pa.array(of.keys(), pa.int32()), "total": pa.array(of.values(), pa.float64())})
+
+    copies = deltas.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.floor(F.col("place") / PLACES).alias("part"), F.col("place").cast("long").alias("place"), "delta")
+    totals = copies.repartition(blocks, "block", "part").groupBy("block", "part").applyInArrow(sums, "replicate int, total double")
+    means = totals.groupBy("replicate").agg((F.sum("total") / n).alias("mean"))
     ends = means.agg(F.sort_array(F.collect_list("mean")).alias("m")).select(F.get("m", F.lit(LOWER)).alias("low"), F.get("m", F.lit(UPPER)).alias("high"))
     return deltas.agg(F.count("*").alias("paired"), F.avg("delta").alias("difference")).crossJoin(F.broadcast(ends))

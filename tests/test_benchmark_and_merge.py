@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -67,3 +69,41 @@ def test_upsert_and_evidence(spark):
     checks = [(1, noon, "active", 90), (1, t - timedelta(days=1), "missing", None), (2, noon, "missing", None), (3, noon, "active", 100), (4, noon, "active", 100), (5, noon, "missing", None)]
     out = {r.listing_id: (r.status, r.price, r.deal_score, r.checked_at) for r in ingest.host_evidence(listings, spark.createDataFrame(checks, "listing_id long, at timestamp, availability string, seen_price long")).collect()}
     assert out == {1: ("active", 90, None, noon), 2: ("active", 100, 70, None), 3: ("active", 100, 70, noon), 4: ("removed", 100, 70, None), 5: ("active", 100, 70, late)}
+
+
+def test_strict_medians_without_pairs(spark):
+    """The nearest by year, mileage and id of another vehicle, against plain search; no join or window of pairs in the plan."""
+    rng = random.Random(5)
+    keys = ("M", "a", "suv", "petrol", "manual", 100)
+    rows = [(f"l{i:04d}", rng.randrange(60), *keys[:2], rng.choice(["suv", "estate"]), *keys[3:], rng.choice([2010, 2011, 2012, None]), rng.randrange(0, 40_000, 8_000), rng.randrange(5_000, 90_000)) for i in range(400)]
+    pool = spark.createDataFrame(rows, "listing_id string, vehicle_id long, make string, model string, body_style string, fuel_type string, transmission string, horsepower int, model_year int, mileage_km long, price long")
+    targets = pool.filter("vehicle_id % 3 = 0")
+    out = benchmark.strict_median(targets, pool)
+    want = {}
+    for t in targets.collect():
+        far = lambda r: -1 if None in (r[8], t.model_year) else abs(r[8] - t.model_year) * 60_000 + abs(r[9] - t.mileage_km)  # noqa: B023, E731
+        near = sorted((far(r), r[0], r[10]) for r in rows if r[1] != t.vehicle_id and r[4] == t.body_style)[:40]
+        want[t.listing_id] = statistics.median(x[2] for x in near)
+    assert {r.listing_id: r.predicted for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
+def test_draws_are_not_shuffled(spark, monkeypatch):
+    """Sums of draws by parts of the differences are those of plain draws; what is shuffled is the differences."""
+    monkeypatch.setattr(benchmark, "PLACES", 300)
+    rng = random.Random(6)
+    rows = [(k, 10.0, rng.uniform(5, 20), rng.uniform(5, 20)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "vehicle_id long, price double, a double, b double")
+    deltas = [abs(math.log(b / p)) - abs(math.log(a / p)) for _, p, a, b in rows]
+    x, means = benchmark.SEED, []
+    for _ in range(benchmark.REPLICATES):
+        total = 0.0
+        for _ in rows:
+            x = (benchmark.LCG_A * x + benchmark.LCG_C) % 2**32
+            total += deltas[int(x / 2**32 * len(rows))]
+        means.append(total / len(rows))
+    out = benchmark.paired_bootstrap(*[df.select("vehicle_id", "price", F.col(c).alias("predicted")) for c in "ab"])
+    got = out.first()
+    assert abs(got.low - sorted(means)[benchmark.LOWER]) < 1e-12 and abs(got.high - sorted(means)[benchmark.UPPER]) < 1e-12 and got.paired == 1000
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
