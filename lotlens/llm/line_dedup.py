@@ -163,7 +163,10 @@ def crowd_apart(met: DataFrame, texts: DataFrame) -> DataFrame:
 def joined(occurrences: DataFrame) -> DataFrame:
     """(hash, root) of the lines that have near-equal ones."""
     met = meetings(occurrences)
-    texts = texts_of(met, occurrences)
+    return _joined(met, texts_of(met, occurrences))
+
+
+def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
     stars = settle(met.filter("hash <> head").select(*_pair("hash", "head")).distinct())
     links = settle(verified(stars, texts))
     roots = settle(components(links).select(F.col("node").alias("hash"), "root"))
@@ -183,10 +186,15 @@ def joined(occurrences: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """(doc_id, key, lines): the numbers (from 0) of the lines that each document loses."""
-    occurrences = settle(lines_of(docs, min_chars))
-    roots = joined(occurrences)
+    whole = settle(lines_of(docs, min_chars))
+    met = meetings(whole)
+    texts = texts_of(met, whole)
+    # Texts and signatures of all lines aren't needed beyond this, and are most of what lies on disk.
+    occurrences = settle(whole.select("doc_id", "key", "line", "hash"))
+    discard(whole)
+    roots = _joined(met, texts)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    grouped = left_join_checked(occurrences.select("doc_id", "key", "line", "hash"), roots, "hash", BROADCAST_LINES).select(
+    grouped = left_join_checked(occurrences, roots, "hash", BROADCAST_LINES).select(
         "doc_id", "key", "line", F.coalesce("root", "hash").alias("group")
     )
     # Written, so that the join below is one of plain exchanges, which Spark can split where one line is very common.

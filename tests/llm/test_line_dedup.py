@@ -213,3 +213,23 @@ def test_signatures_are_sorted_outside_of_lambdas(spark):
     assert len(all_) == len(lines) and all(r.sig == sorted(set(r["all"]))[: d.SIGNATURE] for r in all_)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array(" in plan and "lambdafunction(sort_array" not in plan and "transform(array(sort_array" not in plan
+
+
+def test_texts_of_all_lines_are_gone_before_lines_are_compared(spark, monkeypatch):
+    """While pairs are compared, no table on disk but that of lines which meet others holds text."""
+    from pathlib import Path
+
+    from lotlens.llm import line_dedup as module
+
+    held, verified, settle = [], module.verified, module.settle
+    written = []
+    monkeypatch.setattr(module, "settle", lambda df: (out := settle(df), written.append(out))[0])
+
+    def seen(pairs, texts):
+        held.append([t.columns for t in written if "norm" in t.columns and Path(t.settled_at.removeprefix("file:")).exists()])
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(module, "verified", seen)
+    docs = spark.createDataFrame([(k, f"one line of words that is number {k % 7} here\nanother line that all share in this text") for k in range(40)], "doc_id long, text string")
+    assert module.repeated_lines(docs).count() > 0
+    assert held and all(x == [["hash", "norm", "size"]] for x in held)
